@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licenses
+from . import decontaminate, exact_dedup, licenses, quality, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality_classifier": quality.op4_quality_classifier,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
