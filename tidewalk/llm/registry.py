@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licenses, packing, personal, quality, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, licenses, packing, personal, quality, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_personal_data": personal.op2_personal_data,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_license_scan": licenses.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
