@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,8 +43,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # what only the written plan needed can go: the driver's cleaner drops shuffle files once their owners are collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
