@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, licenses, packing, personal, quality, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, licenses, packing, passages, personal, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_personal_data": personal.op2_personal_data,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_passages": passages.op5_passages,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
