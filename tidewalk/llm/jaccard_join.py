@@ -8,13 +8,15 @@ A document's set is that of its word 5-grams (64-bit hashes). Equal sets are one
 2. Prefix grams are dealt out in packed blocks by hash. In a list (all sets with the same prefix gram) entries stand in
    blocks of equal size and position; a block whose size or position bounds can't reach the threshold is skipped as a whole.
    In short lists every pair that is left is a candidate. In long ones each set is paired with its hub (the first set of the list whose size fits)
-   and with its neighbour only.
+   and with its neighbour only. Shared prefix grams are counted for each pair; a pair whose count and last shared place
+   can't reach the threshold is dropped.
 3. Candidates are verified by the whole sets, made anew from the texts.
-4. What a set shares with its hub's other partners is then derived, not computed: sets that the verified links already connect
-   have the same answer. Only pairs of a long list that lie in different components are verified, in a second round.
-   Thus every pair that the lists hold is either verified or already connected, and components are exact.
+4. What a set shares with its hub's other partners is then derived, not computed: sets that verified links already connect need no answer of their own.
+   Where a long list's members are still in several components, members that the bounds allow to be linked
+   make groups; in a group, the members outside its largest component are compared with all members, block by block, each block's
+   sets once. Thus every pair that the bounds allow is either compared or already connected, and components are exact.
 
-No list is expanded to all its pairs unless its members are unconnected, and no task holds more than its share of the lists.
+No list is expanded to its pairs as rows, and no task holds more than a block of two hundred sets against another, or one list's names.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text of fewer than five
 words has its whole word sequence as its only gram; a null doc_id is never the smallest; rows that share a doc_id are nodes of their own.
@@ -40,6 +42,8 @@ SKETCH_BITS = 16
 SKETCH_PARTS = 64
 #: Lists of at most so many sets give all their pairs at once.
 SHORT_LIST = 16
+#: Sets of one block of a group.
+BLOCK = 200
 #: Prefix grams that a worker holds before it sends them on.
 HELD = 2_000_000
 
@@ -175,17 +179,18 @@ def listed(pdf: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([starts, [len(gram)]]))
     short = np.repeat(counts <= SHORT_LIST, counts)
-    pairs = []
+    pairs = [(np.zeros((0, 6), np.int64), 0)]  # with the number of grams that each row stands for
 
-    def offer(a: np.ndarray, b: np.ndarray) -> None:
+    def offer(a: np.ndarray, b: np.ndarray, grams: int) -> None:
         ok = fits(size[a], place[a], size[b], place[b]) & (sid[a] != sid[b])
-        a, b = sid[a[ok]], sid[b[ok]]
-        pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        a, b = a[ok], b[ok]
+        a, b = np.where(sid[a] < sid[b], a, b), np.where(sid[a] < sid[b], b, a)
+        pairs.append((np.stack([sid[a], sid[b], size[a], size[b], place[a], place[b]], 1), grams))
 
     for step in range(1, min(SHORT_LIST, len(gram))):
         a = np.arange(len(gram) - step)
         offer_a = a[(gram[a] == gram[a + step]) & short[a]]
-        offer(offer_a, offer_a + step)
+        offer(offer_a, offer_a + step, 1)
     lists, known = [], set()
     for start, count in zip(starts[counts > SHORT_LIST].tolist(), counts[counts > SHORT_LIST].tolist(), strict=True):
         members = slice(start, start + count)
@@ -195,15 +200,44 @@ def listed(pdf: pd.DataFrame) -> pd.DataFrame:
         known.add(name)
         a = np.arange(start, start + count)
         hub = start + np.searchsorted(size[members], -(-LINK[0] * size[members] // LINK[1]))
-        offer(hub, a)
-        offer(a[:-1], a[1:])
+        offer(hub, a, 0)
+        offer(a[:-1], a[1:], 0)
         lists.append((np.full(count, gram[start].view(np.int64)), sid[members], size[members], place[members]))
-    pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    out = [pd.DataFrame({"list": pd.array([pd.NA] * len(pair), "Int64"), "a": pair[:, 0], "b": pair[:, 1], "place": 0})]
-    out += [pd.DataFrame({"list": pd.array(name, "Int64"), "a": s, "b": n, "place": p}) for name, s, n, p in lists]
+    rows = np.concatenate([np.column_stack([p, np.full(len(p), grams)]) for p, grams in pairs])
+    rows = rows[np.lexsort(rows[:, 1::-1].T)]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+    shared, last = (np.add.reduceat(rows[:, 6], new), np.maximum.reduceat(rows[:, 4:6], new)) if len(new) else (new, np.zeros((0, 2), np.int64))
+    none = lambda n: pd.array([pd.NA] * n, "Int64")
+    kept_sid, kept_at = np.unique(sid, return_inverse=True)
+    in_long, in_any = np.bincount(kept_at[~short], minlength=len(kept_sid)), np.bincount(kept_at, minlength=len(kept_sid))
+    out = [pd.DataFrame({"list": none(len(new)), "a": rows[new, 0], "b": pd.array(rows[new, 1], "Int64"), "na": rows[new, 2], "nb": rows[new, 3], "pa": last[:, 0], "pb": last[:, 1], "grams": shared})]
+    out.append(pd.DataFrame({"list": none(len(kept_sid)), "a": kept_sid, "b": none(len(kept_sid)), "na": 0, "nb": 0, "pa": 0, "pb": in_any, "grams": in_long}))
+    out += [pd.DataFrame({"list": pd.array(name, "Int64"), "a": s, "b": none(len(s)), "na": n, "nb": 0, "pa": p, "pb": 0, "grams": 0}) for name, s, n, p in lists]
     return pd.concat(out, ignore_index=True)
 
 
+def reachable(shared, size_a, size_b, place_a, place_b):
+    """Whether two sets can be linked that share `shared` prefix grams, one of them at the given places ."""
+    top, bottom = LINK
+    return (shared + np.minimum(size_a - place_a, size_b - place_b) - 1) * (top + bottom) >= top * (size_a + size_b)
+
+
+def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs of one long list that the bounds allow, as many as hold their members together."""
+    sid, size, place, far = (pdf[c].to_numpy(np.int64) for c in ("sid", "size", "place", "far"))  # far: prefix grams in lists, long or short
+    left, out = np.arange(len(sid)), []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            top, bottom = LINK
+            near = (bottom * np.minimum(size[x], size[left]) >= top * np.maximum(size[x], size[left])) & reachable(np.minimum(far[x], far[left]), size[x], size[left], place[x], place[left])
+            todo += left[near].tolist()
+            out += [(sid[x], y) for y in sid[left[near]].tolist()]
+            left = left[~near]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets are linked; texts (sid, text) holds one text of each set."""
 
@@ -246,34 +280,77 @@ def named_texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "sid long, text string")
 
 
+def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the open members (side 0) and the members (side 1) of two blocks, one for each pair of components."""
+    sets = [one_set(t) for t in pdf["text"]]
+    side, sid, root = pdf["side"].to_numpy(), pdf["sid"].to_numpy(), pdf["root"].to_numpy()
+    rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(rows) or not len(cols):
+        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    gram = np.concatenate([sets[i] for i in [*rows, *cols]])
+    owner = np.repeat(np.arange(len(pdf)), [len(sets[i]) for i in [*rows, *cols]])
+    gram, word = np.unique(gram, return_inverse=True)
+    here = np.zeros((2, len(gram)), bool)
+    here[0, word[owner < len(rows)]] = here[1, word[owner >= len(rows)]] = True
+    both = here.all(0)  # grams of one side alone add nothing
+    column = np.cumsum(both) - 1
+    owner, word = owner[both[word]], column[word[both[word]]]
+    shared = np.zeros((len(rows), len(cols)), np.float32)
+    for at in range(0, int(both.sum()), 4096):
+        part = (word >= at) & (word < at + 4096)
+        marks = np.zeros((len(pdf), 4096), np.float32)
+        marks[owner[part], word[part] - at] = 1
+        shared += marks[: len(rows)] @ marks[len(rows) :].T
+    n = np.array([len(s) for s in sets])
+    linked = (shared >= needed(n[rows][:, None], n[cols][None, :])) & (root[rows][:, None] != root[cols][None, :])
+    x, y = np.nonzero(linked)
+    pairs = pd.DataFrame({"a": sid[rows[x]], "b": sid[cols[y]], "ra": root[rows[x]], "rb": root[cols[y]]})
+    return pairs.drop_duplicates(["ra", "rb"])[["a", "b"]]
+
+
 def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, sid; links between sets: a, b that connect all linked sets)."""
     spark = docs.sparkSession
     rows, sketch = described(docs, text, id_col)
-    blocks = prefixes(docs, text, sketch, common.shuffle_partitions(spark))
-    found = common.written(blocks.groupBy("bucket").applyInPandas(listed, "list long, a long, b long, place long"), "lists")
-    pairs = found.where("list is null").select("a", "b").distinct()
-    lists = found.where("list is not null").select("list", F.col("a").alias("sid"), F.col("b").alias("size"), "place")
-    wanted = found.select(F.explode(F.when(F.col("list").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("sid")).distinct()
-    texts = named_texts(docs, text).join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text"))
-    texts = common.written(texts, "texts")
-    sure = common.written(verified(pairs, texts), "links")
-    if not lists.isEmpty():
-        roots = links.components(sure)
-        members = lists.join(roots, lists["sid"] == roots["node"], "left").select("list", "sid", "size", "place", F.coalesce("root", "sid").alias("root"))
-        members = common.written(members, "members")
-        open_lists = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-        members = members.join(open_lists, "list")
-        a, b = members.alias("a"), members.alias("b")
-        top, bottom = LINK
-        apart = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.root") < F.col("b.root")) & (F.col("a.size") * bottom >= F.col("b.size") * top) & (F.col("b.size") * bottom >= F.col("a.size") * top))
-        most = F.least("a.place", "b.place") + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-        apart = apart.where((top + bottom) * most >= top * (F.col("a.size") + F.col("b.size")))
-        apart = apart.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
-        apart = common.written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
-        if not apart.isEmpty():
-            sure = sure.unionByName(common.written(verified(apart, texts), "links"))
-    return rows, sure
+    blocks = prefixes(docs, text, sketch, 4 * common.shuffle_partitions(spark))
+    found = common.written(blocks.groupBy("bucket").applyInPandas(listed, "list long, a long, b long, na long, nb long, pa long, pb long, grams long"), "lists")
+    lists = found.where("list is not null").select("list", F.col("a").alias("sid"), F.col("na").alias("size"), F.col("pa").alias("place"))
+    # grams in long lists aren't counted for each pair; a pair shares at most as many as either set has
+    far = common.written(found.where("list is null and b is null").groupBy("a").agg(F.sum("grams").alias("far"), F.sum("pb").alias("any")).where("far > 0"), "far")
+    counted = found.where("list is null and b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("grams").alias("grams"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    counted = counted.join(far.select("a", F.col("far").alias("fa")), "a", "left").join(far.select(F.col("a").alias("b"), F.col("far").alias("fb")), "b", "left")
+    top, bottom = LINK
+    pairs = counted.where(f"(grams + least(coalesce(fa, 0), coalesce(fb, 0)) + least(na - pa, nb - pb) - 1) * {top + bottom} >= {top} * (na + nb)")
+    pairs = common.written(pairs.select("a", "b"), "pairs")
+    sure = common.written(verified(pairs, texts_of(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("sid")))), "links")
+    if lists.isEmpty():
+        return rows, sure
+    roots = links.components(sure)
+    members = lists.join(roots, lists["sid"] == roots["node"], "left").select("list", "sid", "size", "place", F.coalesce("root", "sid").alias("root"))
+    members = common.written(members.join(far.select(F.col("a").alias("sid"), F.col("any").alias("far")), "sid"), "members")
+    still = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
+    held = members.join(still, "list").groupBy("list").applyInPandas(forest, "a long, b long")
+    groups = links.components(held)
+    inside = common.written(members.select("sid", "root").distinct().join(groups, F.col("sid") == F.col("node")).select("sid", groups["root"].alias("group"), members["root"].alias("root")), "inside")
+    sizes = inside.groupBy("group", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"))
+    sizes = sizes.select("group", F.col("top.root").alias("main"), F.ceil(F.col("members") / BLOCK).alias("blocks"), F.ceil((F.col("members") - F.col("top.n")) / BLOCK).alias("open_blocks")).where("open_blocks > 0")
+    inside = inside.join(sizes, "group")
+    place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n))
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    open_ = inside.where("root <> main").select("sid", "root", "group", F.lit(0).alias("side"), place("open_blocks").alias("x"), other("blocks").alias("y"))
+    every = inside.select("sid", "root", "group", F.lit(1).alias("side"), other("open_blocks").alias("x"), place("blocks").alias("y"))
+    blocks = common.written(open_.unionByName(every), "blocks")
+    if blocks.isEmpty():
+        return rows, sure
+    texts = texts_of(docs, text, blocks.select("sid"))
+    more = blocks.join(texts, "sid").groupBy("group", "x", "y").applyInPandas(block_links, "a long, b long")
+    return rows, sure.unionByName(common.written(more, "links"))
+
+
+def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """sid, text of the wanted sets."""
+    return common.written(named_texts(docs, text).join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text")), "texts")
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
