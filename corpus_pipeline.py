@@ -1,8 +1,62 @@
-"""Corpus pipeline: stages in order, each over all that its predecessor kept."""
+"""Corpus pipeline: five stages, each over all that its predecessor kept, written as Parquet in between.
 
-STAGES = []
+Each stage calls one operator of ``tidewalk.llm`` and puts its decisions into effect. All but the last return the
+columns of documents; the last returns pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewalk.llm import common, decontaminate, exact_dedup, jaccard_join, packing, quality
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labelled ones, accepts."""
+    model = quality.trained(docs, common.table(spark, sf_dir, "labels"))
+    return quality.classify.accepted(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one that the content sort keeps."""
+    return exact_dedup.winners(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id (a null id stays if it is alone)."""
+    common.shipped(spark)
+    kept = jaccard_join.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    leaked = found.where("contaminated").select(F.col("doc_id").alias("leaked_id")).distinct()
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    common.shipped(spark)
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: The first and the last stage can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

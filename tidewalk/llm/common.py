@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,23 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives the package's modules to the executors, once for each session, so that they need no installation there."""
+    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_tidewalk_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tidewalk-")  # the driver's file server reads it as long as the session lasts
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{top.name}-modules.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, str(file.relative_to(top.parent)))
+    context.addPyFile(path)
+    context._tidewalk_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
