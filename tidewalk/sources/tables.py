@@ -79,7 +79,7 @@ def annotation_rows(answers: DataFrame, column: str, categories: list[str], neut
     rows = lines.where(F.trim("row") != "").withColumn("f", fields)
     category = F.upper(F.trim("f.category"))
     flag = F.coalesce(F.expr("try_cast(trim(f.flag) as int)"), (category != neutral).cast("int"))
-    out = rows.select("line", F.trim("f.token").alias("token"), category.alias("category"), flag.alias("is_distress"), F.trim("f.rationale").alias("rationale"))
+    out = rows.select(*[c for c in answers.columns if c != column], "line", F.trim("f.token").alias("token"), category.alias("category"), flag.alias("is_distress"), F.trim("f.rationale").alias("rationale"))
     return out.where(F.col("token").isNotNull() & F.col("category").isin(categories) & (F.lower("token") != "token"))
 
 
