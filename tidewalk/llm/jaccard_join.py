@@ -16,7 +16,7 @@ A document's set is that of its word 5-grams (64-bit hashes). Equal sets are one
    make groups; in a group, the members outside its largest component are compared with all members, block by block, each block's
    sets once. Thus every pair that the bounds allow is either compared or already connected, and components are exact.
 
-No list is expanded to its pairs as rows, and no task holds more than a block of two hundred sets against another, or one list's names.
+No list is expanded to its pairs as rows, and no task holds more than a block of a thousand sets against another, or lists' names.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text of fewer than five
 words has its whole word sequence as its only gram; a null doc_id is never the smallest; rows that share a doc_id are nodes of their own.
@@ -42,8 +42,8 @@ SKETCH_BITS = 16
 SKETCH_PARTS = 64
 #: Lists of at most so many sets give all their pairs at once.
 SHORT_LIST = 16
-#: Sets of one block of a group.
-BLOCK = 200
+#: Sets of one block of a group, and grams that are counted at once.
+BLOCK, COLUMNS = 1000, 2048
 #: Prefix grams that a worker holds before it sends them on.
 HELD = 2_000_000
 
@@ -223,19 +223,26 @@ def reachable(shared, size_a, size_b, place_a, place_b):
 
 
 def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the pairs of one long list that the bounds allow, as many as hold their members together."""
-    sid, size, place, far = (pdf[c].to_numpy(np.int64) for c in ("sid", "size", "place", "far"))  # far: prefix grams in lists, long or short
-    left, out = np.arange(len(sid)), []
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            x = todo.pop()
-            top, bottom = LINK
-            near = (bottom * np.minimum(size[x], size[left]) >= top * np.maximum(size[x], size[left])) & reachable(np.minimum(far[x], far[left]), size[x], size[left], place[x], place[left])
-            todo += left[near].tolist()
-            out += [(sid[x], y) for y in sid[left[near]].tolist()]
-            left = left[~near]
-    return pd.DataFrame(out, columns=["a", "b"])
+    """Of the pairs of each long list that the bounds allow, as many as hold its members together."""
+    pdf = pdf.sort_values(["list", "sid"])
+    name, *columns = (pdf[c].to_numpy(np.int64) for c in ("list", "sid", "size", "place", "far"))  # far: prefix grams in lists, long or short
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]]).tolist()
+    top, bottom = LINK
+    out = []
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        sid, size, place, far = (c[start:end] for c in columns)
+        left = np.arange(end - start)
+        while len(left):
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                x = todo.pop()
+                near = (bottom * np.minimum(size[x], size[left]) >= top * np.maximum(size[x], size[left])) & reachable(np.minimum(far[x], far[left]), size[x], size[left], place[x], place[left])
+                if near.any():
+                    todo += left[near].tolist()
+                    out.append(np.stack([np.full(near.sum(), sid[x]), sid[left[near]]], 1))
+                    left = left[~near]
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -281,24 +288,29 @@ def named_texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between the open members (side 0) and the members (side 1) of two blocks, one for each pair of components."""
+    """Links between the open members (side 0) and the members (side 1) of two blocks, one for each pair of components.
+
+    A member that is open and whose group is one block comes once, as side 2.
+    """
     sets = [one_set(t) for t in pdf["text"]]
     side, sid, root = pdf["side"].to_numpy(), pdf["sid"].to_numpy(), pdf["root"].to_numpy()
-    rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(rows) or not len(cols):
         return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     gram = np.concatenate([sets[i] for i in [*rows, *cols]])
-    owner = np.repeat(np.arange(len(pdf)), [len(sets[i]) for i in [*rows, *cols]])
+    owner = np.repeat(np.arange(len(rows) + len(cols)), [len(sets[i]) for i in [*rows, *cols]])
     gram, word = np.unique(gram, return_inverse=True)
     here = np.zeros((2, len(gram)), bool)
     here[0, word[owner < len(rows)]] = here[1, word[owner >= len(rows)]] = True
     both = here.all(0)  # grams of one side alone add nothing
     column = np.cumsum(both) - 1
     owner, word = owner[both[word]], column[word[both[word]]]
+    by = np.argsort(word, kind="stable")
+    owner, word = owner[by], word[by]
     shared = np.zeros((len(rows), len(cols)), np.float32)
-    for at in range(0, int(both.sum()), 4096):
-        part = (word >= at) & (word < at + 4096)
-        marks = np.zeros((len(pdf), 4096), np.float32)
+    for at in range(0, int(both.sum()), COLUMNS):
+        part = slice(*np.searchsorted(word, [at, at + COLUMNS]))
+        marks = np.zeros((len(rows) + len(cols), COLUMNS), np.float32)
         marks[owner[part], word[part] - at] = 1
         shared += marks[: len(rows)] @ marks[len(rows) :].T
     n = np.array([len(s) for s in sets])
@@ -322,14 +334,15 @@ def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple
     top, bottom = LINK
     pairs = counted.where(f"(grams + least(coalesce(fa, 0), coalesce(fb, 0)) + least(na - pa, nb - pb) - 1) * {top + bottom} >= {top} * (na + nb)")
     pairs = common.written(pairs.select("a", "b"), "pairs")
-    sure = common.written(verified(pairs, texts_of(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("sid")))), "links")
+    texts = texts_of(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(lists.select("sid")))
+    sure = common.written(verified(pairs, texts), "links")
     if lists.isEmpty():
         return rows, sure
     roots = links.components(sure)
     members = lists.join(roots, lists["sid"] == roots["node"], "left").select("list", "sid", "size", "place", F.coalesce("root", "sid").alias("root"))
     members = common.written(members.join(far.select(F.col("a").alias("sid"), F.col("any").alias("far")), "sid"), "members")
     still = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    held = members.join(still, "list").groupBy("list").applyInPandas(forest, "a long, b long")
+    held = members.join(still, "list").withColumn("part", F.pmod("list", F.lit(4 * common.shuffle_partitions(spark)))).groupBy("part").applyInPandas(forest, "a long, b long")
     groups = links.components(held)
     inside = common.written(members.select("sid", "root").distinct().join(groups, F.col("sid") == F.col("node")).select("sid", groups["root"].alias("group"), members["root"].alias("root")), "inside")
     sizes = inside.groupBy("group", "root").agg(F.count("*").alias("n"))
@@ -338,12 +351,13 @@ def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple
     inside = inside.join(sizes, "group")
     place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n))
     other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    open_ = inside.where("root <> main").select("sid", "root", "group", F.lit(0).alias("side"), place("open_blocks").alias("x"), other("blocks").alias("y"))
-    every = inside.select("sid", "root", "group", F.lit(1).alias("side"), other("open_blocks").alias("x"), place("blocks").alias("y"))
-    blocks = common.written(open_.unionByName(every), "blocks")
+    single = F.col("blocks") == 1
+    one = inside.where(single).select("sid", "root", "group", F.when(F.col("root") != F.col("main"), 2).otherwise(1).alias("side"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    open_ = inside.where(~single & (F.col("root") != F.col("main"))).select("sid", "root", "group", F.lit(0).alias("side"), place("open_blocks").alias("x"), other("blocks").alias("y"))
+    every = inside.where(~single).select("sid", "root", "group", F.lit(1).alias("side"), other("open_blocks").alias("x"), place("blocks").alias("y"))
+    blocks = common.written(one.unionByName(open_).unionByName(every), "blocks")
     if blocks.isEmpty():
         return rows, sure
-    texts = texts_of(docs, text, blocks.select("sid"))
     more = blocks.join(texts, "sid").groupBy("group", "x", "y").applyInPandas(block_links, "a long, b long")
     return rows, sure.unionByName(common.written(more, "links"))
 
