@@ -48,12 +48,14 @@ def _sorted(rows: DataFrame, parts: int, id_col: str) -> tuple[DataFrame, Window
 
 def winners(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns: one sort of the whole rows, no join."""
-    rows, parts = _salted(docs, text, id_col)
-    rows, _ = _sorted(rows, parts, id_col)
+    # whatever the input's columns are called, they travel as one
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[id_col].alias("doc_id"), docs[text].alias("__text"))
+    rows, parts = _salted(whole, "__text", "doc_id")
+    rows, _ = _sorted(rows.drop("__text"), parts, "doc_id")
     first = rows.where("__rank = 1")
-    again = Window.partitionBy("__norm", "__salts").orderBy(F.desc("__len"), F.asc_nulls_first(id_col))
+    again = Window.partitionBy("__norm", "__salts").orderBy(F.desc("__len"), F.asc_nulls_first("doc_id"))
     hot = first.where("__salts > 1").withColumn("__rank", F.row_number().over(again)).where("__rank = 1")
-    return first.where("__salts = 1").select(*docs.columns).unionByName(hot.select(*docs.columns))
+    return first.where("__salts = 1").select("__row.*").unionByName(hot.select("__row.*"))
 
 
 def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
