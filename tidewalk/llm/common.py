@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -52,10 +53,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tidewalk_shared", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="tidewalk-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = context._tidewalk_shared = tempfile.mkdtemp(prefix="tidewalk-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     return named
 
 
@@ -66,12 +68,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     del df
-    # what only the written plan needed can go: the driver's cleaner drops shuffle files once their owners are collected
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    freed(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets the driver's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The second round takes what the first one has let go of on the other side of the bridge.
+    """
+    for pause in (0.3, 0.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
