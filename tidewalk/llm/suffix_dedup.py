@@ -76,6 +76,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def sorted_out(e: blocks.Columns) -> tuple[blocks.Columns, np.ndarray, np.ndarray]:
     """Entries by key, region and document; whether a smaller document has the same region; first entries of the keys."""
+    if not len(e["key"]):
+        return e, np.zeros(0, bool), np.zeros(0, np.int64)
     by = np.lexsort((e["doc"], e["region"], e["key"]))
     e = blocks.picked(e, by)
     new_key = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
@@ -96,6 +98,8 @@ def combined(e: blocks.Columns, buckets: int) -> Iterator[dict]:
     e, gone, _ = sorted_out(e)
     yield from spans(blocks.picked(e, gone), buckets, REMOVED, NAMES)
     e = blocks.picked(e, ~gone)
+    if not len(e["key"]):
+        return
     by = np.lexsort((e["doc"], e["key"]))
     e = blocks.picked(e, by)
     first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
@@ -208,7 +212,7 @@ def cut(texts: pd.DataFrame, removed: pd.DataFrame) -> pd.DataFrame:
 
 def removed_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts and ends of what goes, in turn)."""
-    buckets = 4 * common.shuffle_partitions(docs.sparkSession)
+    buckets = common.shuffle_partitions(docs.sparkSession)  # a block for each pair of buckets travels
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), lowest).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
