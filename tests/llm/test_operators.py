@@ -1,0 +1,360 @@
+"""The ten operators against SQL or brute force, and the cases each must stand: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from compare import assert_same, spark_rows
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from tidewalk.llm import common, decontaminate, exact_dedup, jaccard_join, licenses, links, packing, passages, personal, quality, registry, suffix_dedup, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, words string, row string, kind string, `__norm` string, hash string"
+LONG = " ".join(f"word{i}" for i in range(3000))
+PASSAGE = " ".join(f"Passage{i}" for i in range(70))
+TEXTS = [
+    None, "", "   \n", "Released under the MIT License.", "a", LONG, LONG + " tail", LONG, "der " * 2000, PASSAGE + " one", "Two " + PASSAGE, "x" * 5000,
+    "Mail a.b@c.de, 10.0.0.1, +1 (437) 555-0689 and 4111 1111 1111 1111.", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "É à ü ñ " * 30, "​ zero \x00 byte",
+]
+ITEMS = [(1, " ".join(f"passage{i}" for i in range(20, 45))), (2, "mit license"), (3, None), (4, "  "), (5, "zero byte"), (6, "never seen at all")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark, tmp_path_factory):
+    """A folder with small tables of odd rows."""
+    folder = tmp_path_factory.mktemp("edge")
+    rows = [(i, t, "en", "w", "r", "k", "n", "h") for i, t in enumerate(TEXTS)] + [(5, LONG, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).toPandas().to_parquet(folder / "documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").toPandas().to_parquet(folder / "benchmark.parquet")
+    labels = [(i, i % 2, int(i % 3 == 0)) for i in range(len(TEXTS))] + [(None, 1, 1), (2, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark, tmp_path_factory):
+    """A folder with empty tables."""
+    folder = tmp_path_factory.mktemp("nothing")
+    spark.createDataFrame([], SCHEMA).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_equals_sql(spark, name):
+    assert_same(registry.QUERIES[name](spark, SMALL), registry.ORACLES[name], SMALL)
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_odd_rows_have_results(spark, edge, name):
+    rows = registry.QUERIES[name](spark, edge).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(TEXTS)))
+    if name != "op8_packing":
+        assert len(rows) == len(TEXTS) + 1
+
+
+@pytest.mark.parametrize("name", ["op1_license_scan", "op6_jaccard_join", "op10_decontaminate"])
+def test_odd_rows_equal_sql(spark, edge, name):
+    import os
+
+    folder = edge
+    keep = [f for f in os.listdir(folder) if f in ("documents.parquet", "benchmark.parquet")]
+    assert len(keep) == 2
+    import duckdb
+
+    con = duckdb.connect()
+    for f in keep:
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}'")
+    from collections import Counter
+
+    from compare import value
+
+    cursor = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in cursor.description]
+    want = Counter(tuple(value(r[columns.index(c)]) for c in sorted(columns)) for r in cursor.fetchall())
+    assert spark_rows(registry.QUERIES[name](spark, edge))[1] == want
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables(spark, nothing, name):
+    assert registry.QUERIES[name](spark, nothing).count() == 0
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g"), (None, None), (1, "a b c d e f g"), (2, PASSAGE), (None, PASSAGE)], "doc_id long, text string")
+    assert licenses.scan(docs).count() == exact_dedup.groups(docs).count() == jaccard_join.classes(docs).count() == suffix_dedup.removed_spans(docs).count() == passages.classes(docs).count() == 5
+    kept = exact_dedup.groups(docs).where("kept").collect()
+    assert len(kept) == 3 and all(r["keep_id"] is None for r in kept)  # null before all others
+
+
+# --- op2 -------------------------------------------------------------------------------------------
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
+            if (kind, False) in ((0, False),) or kind == 1 and max(map(int, m[0].split("."))) <= 255 or kind == 2 and 12 <= len(digits) <= 19 and luhn or kind == 3 and 9 <= len(digits) <= 15:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(alphabet="a.@-+ 0123459(é", max_size=60))
+    def check(text):
+        assert personal.base_spans(text) == brute_spans(text)
+
+    check()
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        assert personal.base_spans(r["text"]) == brute_spans(r["text"])
+
+
+def test_long_runs_take_no_time():
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "@" * 300_000, "1." * 150_000, "+1" * 150_000):
+        personal.spans_of(text)
+
+
+def test_repeats_speak_for_each_other():
+    code = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    _, every = personal.spans_of(f'token = "{code}" and, much later, {"word " * 50} {code} again')
+    assert [personal.KINDS[k] for _, k, _ in every] == ["secret", "secret"]
+    assert personal.spans_of("In 1999 page 12 of model 4711 came out.")[1] == []
+
+
+# --- classifiers -----------------------------------------------------------------------------------
+
+
+def test_quality_held_out():
+    rng = np.random.default_rng(0)
+    words = [f"wo{i}rd" for i in range(500)]
+    good = [" ".join(rng.choice(words, 60)) for _ in range(150)]
+    bad = [" ".join(w + rng.choice(["***", "###"]) for w in rng.choice(words, 60)) for _ in range(150)]
+    model = quality.fit(good[:100] + bad[:100], np.array([1] * 100 + [0] * 100))
+    score = lambda t: model(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    assert np.mean([score(t) > 0 for t in good[100:]]) > 0.95 and np.mean([score(t) < 0 for t in bad[100:]]) > 0.95
+    batch = (good[120] + bad[120]).encode()
+    both = model(np.frombuffer(batch, np.uint8), np.array([0, len(good[120].encode()), len(batch)]))
+    assert both == pytest.approx([score(good[120]), score(bad[120])])  # texts side by side don't mix
+
+
+def test_toxicity_held_out_and_fair_to_groups():
+    rng = np.random.default_rng(0)
+    words, groups = [f"wo{i}rd" for i in range(300)], ["women", "men"]
+    def sentence(toxic, group):
+        return " ".join([*rng.choice(words, 20), group, *(["idiot"] if toxic else [])])
+
+    # toxic texts name one group far more often
+    texts = [(t, g) for t in (0, 1) for g in groups for _ in range(150 if (t, g) in ((1, "women"), (0, "men")) else 60)]
+    data = [(sentence(t, g), t) for t, g in texts]
+    order = rng.permutation(len(data))
+    x, y = [data[i][0] for i in order], np.array([data[i][1] for i in order])
+    fair, free = toxicity.fit(x, y, fair=5.0), toxicity.fit(x, y, fair=0.0)
+    gap = lambda m: abs(m.weight[toxicity.hashed("women")] - m.weight[toxicity.hashed("men")])
+    assert gap(fair) < 0.5 * gap(free)
+    score = lambda t: fair(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    assert all(score(sentence(1, g)) > 0 for g in groups) and all(score(sentence(0, g)) < 0 for g in groups)
+
+
+@pytest.mark.parametrize("name,parts,rest", [("op4_quality_classifier", 3, 1), ("op7_toxicity", 5, 0)])
+def test_held_out_rows(spark, name, parts, rest):
+    rows = registry.QUERIES[name](spark, SMALL).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % parts == rest) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+
+
+# --- pairs -----------------------------------------------------------------------------------------
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = [x for x in re.split("[\x20\x09-\x0d]+", w) if x]
+        out.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return out
+
+
+def brute_classes(ids, sets):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    where = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            where[g].append(i)
+    for i, s in enumerate(sets):
+        count = defaultdict(int)
+        for g in s:
+            for j in where[g]:
+                count[j] += 1
+        for j, n in count.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def test_dense_groups_keep_their_links(spark, monkeypatch):
+    """Near copies around the threshold, a passage that many share, and copies: long lists and blocks take part."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 25)
+    rng = np.random.default_rng(3)
+    words, texts = [f"w{i}" for i in range(4000)], []
+    base, shared = rng.choice(words, 120), rng.choice(words, 50)
+    for _ in range(150):
+        w = base.copy()
+        for p in rng.integers(0, 120, rng.integers(0, 9)):
+            w[p] = rng.choice(words)
+        texts.append(" ".join(w))
+    for _ in range(80):
+        texts.append(" ".join([*rng.choice(words, rng.integers(5, 60)), *shared, *rng.choice(words, rng.integers(5, 60))]))
+    texts += [texts[3]] * 40
+    ids = [int(i) for i in rng.permutation(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(docs).collect()}
+    sets = brute_sets(texts)
+    want = dict(zip(ids, zip([len(s) for s in sets], brute_classes(ids, sets), strict=True), strict=True))
+    assert got == want
+
+
+def test_components_of_a_star_and_a_path(spark):
+    pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
+    df = links.components(spark.createDataFrame(pairs, "a long, b long"))
+    got = {r["node"]: r["root"] for r in df.collect()}
+    assert all(got[i] == 0 for i in range(1, 300)) and all(got[i] == 1000 for i in range(1001, 1041))
+
+
+def test_passages_of_fifty_words_are_found(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    seen = defaultdict(set)
+    for r in docs:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]).split()
+        for i in range(len(w) - 54):
+            seen[tuple(w[i : i + 55])].add(r["doc_id"])
+    must = set().union(*[v for v in seen.values() if len(v) > 1])
+    rows = {r["doc_id"]: r for r in registry.QUERIES["op5_passages"](spark, SMALL).collect()}
+    found = {d for d, r in rows.items() if r["n_passages"] > 0}
+    assert must and len(must - found) <= 0.02 * len(must)
+    shared = defaultdict(set)
+    sets = {r["doc_id"]: s for r, s in zip(docs, brute_sets([r["text"] for r in docs]), strict=True)}
+    for d, s in sets.items():
+        for g in s:
+            shared[g].add(d)
+    assert all(any(len(shared[g]) > 1 for g in sets[d]) for d in found)  # clean documents are left alone
+
+
+def test_exact_dedup_splits_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 5)
+    rows = [(i, "same text" + " " * (i % 4)) for i in range(200)] + [(i, f"text {i}") for i in range(200, 260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = exact_dedup.groups(docs).collect()
+    hot = [r for r in out if r["group_size"] == 200]
+    assert len(hot) == 200 and {r["keep_id"] for r in hot} == {3} and [r["doc_id"] for r in hot if r["kept"]] == [3]
+    assert exact_dedup.winners(docs).count() == 61
+
+
+def test_bytes_are_removed_across_hot_grams(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHIPPED", 3)
+    monkeypatch.setattr(suffix_dedup, "HELD", 2000)
+    rng = np.random.default_rng(1)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    passage = noise(90)
+    texts = [noise(int(rng.integers(0, 80))) + passage[int(rng.integers(0, 20)) :] + noise(int(rng.integers(0, 80))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removed_spans(docs).collect()}
+    first = {}
+    data = [t.encode() for t in texts]
+    for d, b in enumerate(data):
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], d)
+    for d, b in enumerate(data):
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        assert got[d] == (int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest())
+
+
+# --- packing ---------------------------------------------------------------------------------------
+
+
+def test_pieces_go_back_together(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = registry.QUERIES["op8_packing"](spark, SMALL).toPandas()
+    for doc, piece in rows.sort_values("start").groupby("doc_id"):
+        ids = np.array([*tokenizer.encode(texts[doc], add_special_tokens=False).ids, packing.END_ID], "<u4")
+        assert piece["length"].sum() == len(ids) and (piece["doc_tokens"] == len(ids)).all()
+        assert (piece["start"].to_numpy() == np.concatenate([[0], piece["length"].cumsum().to_numpy()[:-1]])).all()
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(piece["start"], piece["length"], strict=True)] == piece["ids_crc32"].tolist()
+    rows = rows.sort_values(["sequence_id", "offset"])
+    assert ((rows.groupby("sequence_id")["length"].cumsum() - rows["length"]) == rows["offset"]).all()
+    sizes = rows.groupby("sequence_id")["length"].sum()
+    assert sizes.max() <= packing.CAPACITY and set(sizes.index) == set(range(len(sizes)))
+    assert (packing.CAPACITY - sizes).sum() < 0.03 * sizes.sum()
+
+
+def test_encoders_agree():
+    from tokenizers import Tokenizer
+
+    encode = packing.encoder()
+    slow = Tokenizer.from_str(encode.vocabulary.decode())
+    for text in ["", " a  b\n\n c", "É'll don't 12,5", "<|endoftext|> x", "日本語 🙂", "a" * 3000, "\t \r\n ", " ".join(["zz9"] * 500)]:
+        assert encode(text).tolist() == [*slow.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_cuts_keep_each_token():
+    for n in range(1, 5000, 7):
+        pieces = packing.cuts(n)
+        assert sum(pieces) == n and max(pieces) <= packing.CAPACITY
+
+
+# --- helpers and the pipeline ------------------------------------------------------------------------
+
+
+def test_hashes_are_those_of_the_words():
+    texts = [b"One two  THREE", b"", b" three", "één two".encode()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    hashes, first = common.word_hashes(data, offsets, common.SOLID)
+    assert np.diff(first).tolist() == [3, 0, 1, 2]
+    assert hashes[2] == hashes[3] and hashes[1] == hashes[5] and len(set(hashes.tolist())) == 4
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, ids = docs.columns, {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, SMALL), "test")
+        now = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert docs.columns == columns and now <= ids and len(now) > 0.8 * len(ids), name
+        ids = now
+    assert exact_dedup.groups(docs).where("not kept").count() == 0
+    assert decontaminate.decontaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).where("contaminated").count() == 0
+    assert jaccard_join.classes(docs).where(F.col("doc_id") != F.col("component_id")).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
