@@ -170,3 +170,15 @@ def test_folds_are_taken_up(spark, tmp_path):
     tables.append_fold(df.where("fold = 2").limit(1), path)
     assert tables.done_folds(spark, path) == [1, 2]
     assert spark.read.parquet(path).count() == 2
+
+
+def test_streamed_folds_are_written_once(spark, tmp_path):
+    from tidewalk.streaming import appends
+
+    source, path, marks = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")
+    spark.createDataFrame([(1, 0.5), (2, 0.25)], "fold int, p double").coalesce(1).write.parquet(source)
+    for more in (0, 1):
+        if more:
+            spark.createDataFrame([(3, 0.75)], "fold int, p double").coalesce(1).write.mode("append").parquet(source)
+        appends.append_stream(appends.prediction_stream(spark, source, "fold int, p double"), path, marks).awaitTermination()
+    assert sorted((r["fold"], r["p"]) for r in spark.read.parquet(path).collect()) == [(1, 0.5), (2, 0.25), (3, 0.75)]

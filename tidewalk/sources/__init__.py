@@ -1 +1 @@
-
+"""Tables in and out."""

@@ -1 +1 @@
-
+"""Incremental appends."""
