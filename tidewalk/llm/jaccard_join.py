@@ -41,7 +41,7 @@ LINK = (3, 4)
 SKETCH_BITS = 16
 SKETCH_PARTS = 64
 #: Lists of at most so many sets give all their pairs at once.
-SHORT_LIST = 16
+SHORT_LIST = 32
 #: Sets of one block of a group, and grams that are counted at once.
 BLOCK, COLUMNS = 1000, 2048
 #: Prefix grams that a worker holds before it sends them on.
@@ -209,23 +209,31 @@ def listed(pdf: pd.DataFrame) -> pd.DataFrame:
     shared, last = (np.add.reduceat(rows[:, 6], new), np.maximum.reduceat(rows[:, 4:6], new)) if len(new) else (new, np.zeros((0, 2), np.int64))
     none = lambda n: pd.array([pd.NA] * n, "Int64")
     kept_sid, kept_at = np.unique(sid, return_inverse=True)
-    in_long, in_any = np.bincount(kept_at[~short], minlength=len(kept_sid)), np.bincount(kept_at, minlength=len(kept_sid))
+    in_long = np.bincount(kept_at[~short], minlength=len(kept_sid))
     out = [pd.DataFrame({"list": none(len(new)), "a": rows[new, 0], "b": pd.array(rows[new, 1], "Int64"), "na": rows[new, 2], "nb": rows[new, 3], "pa": last[:, 0], "pb": last[:, 1], "grams": shared})]
-    out.append(pd.DataFrame({"list": none(len(kept_sid)), "a": kept_sid, "b": none(len(kept_sid)), "na": 0, "nb": 0, "pa": 0, "pb": in_any, "grams": in_long}))
+    out.append(pd.DataFrame({"list": none(len(kept_sid)), "a": kept_sid, "b": none(len(kept_sid)), "na": 0, "nb": 0, "pa": 0, "pb": 0, "grams": in_long}))
     out += [pd.DataFrame({"list": pd.array(name, "Int64"), "a": s, "b": none(len(s)), "na": n, "nb": 0, "pa": p, "pb": 0, "grams": 0}) for name, s, n, p in lists]
     return pd.concat(out, ignore_index=True)
 
 
 def reachable(shared, size_a, size_b, place_a, place_b):
-    """Whether two sets can be linked that share `shared` prefix grams, one of them at the given places ."""
+    """Whether two sets can be linked that share at most `shared` prefix grams, one of them at the given places.
+
+    Beyond that place, and beyond the prefix that ends first, they share no more than what is left of either set.
+    """
     top, bottom = LINK
-    return (shared + np.minimum(size_a - place_a, size_b - place_b) - 1) * (top + bottom) >= top * (size_a + size_b)
+    after_place = np.minimum(size_a - place_a, size_b - place_b) - 1
+    after_prefix = -(-top * np.maximum(size_a, size_b) // bottom) - 1
+    return (shared + np.minimum(after_place, after_prefix)) * (top + bottom) >= top * (size_a + size_b)
 
 
 def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the pairs of each long list that the bounds allow, as many as hold its members together."""
+    """Of the pairs of each long list that the bounds allow, as many as hold its members together.
+
+    Pairs that share a gram of a short list have been decided before, so only grams of long lists count here.
+    """
     pdf = pdf.sort_values(["list", "sid"])
-    name, *columns = (pdf[c].to_numpy(np.int64) for c in ("list", "sid", "size", "place", "far"))  # far: prefix grams in lists, long or short
+    name, *columns = (pdf[c].to_numpy(np.int64) for c in ("list", "sid", "size", "place", "far"))  # far: prefix grams in long lists
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]]).tolist()
     top, bottom = LINK
     out = []
@@ -328,11 +336,12 @@ def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple
     found = common.written(blocks.groupBy("bucket").applyInPandas(listed, "list long, a long, b long, na long, nb long, pa long, pb long, grams long"), "lists")
     lists = found.where("list is not null").select("list", F.col("a").alias("sid"), F.col("na").alias("size"), F.col("pa").alias("place"))
     # grams in long lists aren't counted for each pair; a pair shares at most as many as either set has
-    far = common.written(found.where("list is null and b is null").groupBy("a").agg(F.sum("grams").alias("far"), F.sum("pb").alias("any")).where("far > 0"), "far")
+    far = common.written(found.where("list is null and b is null").groupBy("a").agg(F.sum("grams").alias("far")).where("far > 0"), "far")
     counted = found.where("list is null and b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("grams").alias("grams"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     counted = counted.join(far.select("a", F.col("far").alias("fa")), "a", "left").join(far.select(F.col("a").alias("b"), F.col("far").alias("fb")), "b", "left")
     top, bottom = LINK
-    pairs = counted.where(f"(grams + least(coalesce(fa, 0), coalesce(fb, 0)) + least(na - pa, nb - pb) - 1) * {top + bottom} >= {top} * (na + nb)")
+    after = f"least(na - pa - 1, nb - pb - 1, ({top} * greatest(na, nb) + {bottom - 1}) div {bottom} - 1)"
+    pairs = counted.where(f"(grams + least(coalesce(fa, 0), coalesce(fb, 0)) + {after}) * {top + bottom} >= {top} * (na + nb)")
     pairs = common.written(pairs.select("a", "b"), "pairs")
     texts = texts_of(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(lists.select("sid")))
     sure = common.written(verified(pairs, texts), "links")
@@ -340,7 +349,7 @@ def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple
         return rows, sure
     roots = links.components(sure)
     members = lists.join(roots, lists["sid"] == roots["node"], "left").select("list", "sid", "size", "place", F.coalesce("root", "sid").alias("root"))
-    members = common.written(members.join(far.select(F.col("a").alias("sid"), F.col("any").alias("far")), "sid"), "members")
+    members = common.written(members.join(far.select(F.col("a").alias("sid"), "far"), "sid"), "members")
     still = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
     held = members.join(still, "list").withColumn("part", F.pmod("list", F.lit(4 * common.shuffle_partitions(spark)))).groupBy("part").applyInPandas(forest, "a long, b long")
     groups = links.components(held)
