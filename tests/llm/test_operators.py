@@ -262,6 +262,42 @@ def test_passages_of_fifty_words_are_found(spark):
     assert all(any(len(shared[g]) > 1 for g in sets[d]) for d in found)  # clean documents are left alone
 
 
+def edited_passages(words_in_passage):
+    """Pairs of texts with a passage of so many words each, in one of them with one word changed at each place; all else is noise."""
+    rng = np.random.default_rng(words_in_passage)
+    noise = lambda n: [f"n{int(x)}" for x in rng.integers(0, 1 << 40, n)]
+    for place in range(2, words_in_passage - 2, 4):
+        passage = noise(words_in_passage)
+        other = passage[:place] + ["changed"] + passage[place + 1 :]
+        yield " ".join(noise(30) + passage + noise(25)), " ".join(noise(20) + other + noise(40))
+
+
+def brute_alike(x, y):
+    """Whether any two runs of SPAN grams have the similarity."""
+    runs = [[set(g[i : i + passages.SPAN].tolist()) for i in range(len(g) - passages.SPAN + 1)] for g in (x, y)]
+    return any(len(a & b) >= passages.SIMILARITY * len(a | b) for a in runs[0] for b in runs[1])
+
+
+@pytest.mark.parametrize("n", [50, 56, 60, 70])
+def test_edited_passages_are_verified(n):
+    pairs = [[passages.text_grams(t) for t in pair] for pair in edited_passages(n)]
+    want = [brute_alike(x, y) for x, y in pairs]
+    assert sum(want) and all(bool(list(passages.alike(x, y))) for (x, y), w in zip(pairs, want, strict=True) if w)
+    for x, y in pairs:
+        for i, j, k, m in passages.alike(x, y):
+            a, b = set(x[i : j + 1].tolist()), set(y[k : m + 1].tolist())
+            assert min(j - i, m - k) + 1 >= passages.SPAN and len(a & b) >= passages.SIMILARITY * len(a | b)
+
+
+def test_edited_passages_are_linked(spark):
+    pairs = [p for n in (50, 60, 70) for p in edited_passages(n)]
+    docs = spark.createDataFrame([(2 * i + side, p[side]) for i, p in enumerate(pairs) for side in (0, 1)], "doc_id long, text string")
+    roots = {r["doc_id"]: r["class_id"] for r in passages.classes(docs).collect()}
+    want = [i for i, p in enumerate(pairs) if brute_alike(*map(passages.text_grams, p))]
+    assert len([i for i in want if roots[2 * i] != roots[2 * i + 1]]) <= 0.05 * len(want)
+    assert all(roots[d] in (d, d ^ 1) for d in roots)
+
+
 def test_exact_dedup_splits_hot_texts(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LEAST_HOT", 5)
     rows = [(i, "same text" + " " * (i % 4)) for i in range(200)] + [(i, f"text {i}") for i in range(200, 260)]
