@@ -331,6 +331,15 @@ def test_bytes_are_removed_across_hot_grams(spark, monkeypatch):
         assert got[d] == (int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest())
 
 
+def test_strings_with_half_a_hash_in_common_stay(spark):
+    """Pairs with one gram whose regions' hashes agreed in 32 bits."""
+    gram = "wvcrfxsujgaylkvokretupupub"
+    sides = [("zeeyabzruxvf", "dnrbuxngxifs", "lqphzfjenwyq", "yheuojpjmyaz"), ("ptizgqslyrik", "wzdamlvdjspg", "ikwpbglmvrpe", "lmwkuvfneuzw"), ("cotzatpdbukq", "ryrbkknjgnep", "xzruiqsrqtvn", "vhqvnpktmpvq")]
+    texts = [a + gram + b for x in sides for a, b in (x[:2], x[2:])]
+    docs = spark.createDataFrame([*enumerate(texts), (6, texts[0])], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removed_spans(docs).collect()} == dict.fromkeys(range(6), 0) | {6: 50}
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 

@@ -53,5 +53,21 @@ def joined(parts: list[Columns]) -> Columns:
     return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
+def drained(parts: list[Columns]) -> Columns:
+    """The parts joined; the list is emptied, so that they don't stay in memory as well."""
+    out = {}
+    for c in list(parts[0]):
+        out[c] = np.concatenate([p.pop(c) for p in parts])
+    parts.clear()
+    return out
+
+
+def narrowed(columns: Columns, which: np.ndarray) -> Columns:
+    """As picked, in place: column by column, so that there is no second copy of all."""
+    for c in columns:
+        columns[c] = columns[c][which]
+    return columns
+
+
 def picked(columns: Columns, which: np.ndarray) -> Columns:
     return {c: x[which] for c, x in columns.items()}

@@ -174,6 +174,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
 #: A 64-bit value for each byte, so that prefix hashes don't depend on byte distances.
 BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * PRIME)
+#: Other values, for a second hash that collides independently of the first.
+OTHER_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX2)
 
 
 def powers(n: int, base: np.uint64 = PRIME) -> np.ndarray:
@@ -193,11 +195,11 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
     """Prefix polynomial hashes of bytes: entry i covers data[:i]."""
     up, _ = _grown(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up, out=out[1:])
+    np.cumsum(values[data] * up, out=out[1:])
     return out
 
 

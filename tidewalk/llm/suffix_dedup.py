@@ -7,9 +7,12 @@ stands. So suffixes are sorted at anchors only (about 2 / (GRAMS + 1) of all pla
 1. Suffixes are mergesorted by the hash of their first GRAM bytes and, among equals, by the hash of the anchor's region (all strings
    that have this anchor) and by document. Equal regions are resolved at once: all but the smallest document's go.
 2. Where equal grams have several regions, extensions end within the region. There the strings themselves are hashed, one for each
-   offset, sorted, and the smallest document of each is found. Two hashes, 64 bits each, must agree in all.
+   offset, sorted, and the smallest document of each is found.
 3. Spans go back to their documents, where they are united and cut out.
 
+Entries are equal if two hashes agree, 64 bits each, of independent byte values: the gram's and the region's in step 1, and both of the string in
+step 2. In step 1 the first covers the gram only, so m regions of one gram hold a false pair with a probability of about m^2 / 2^65.
+
 Entries travel in packed blocks by hash. Each worker first sorts its own: of equal regions only the smallest document's goes
 on, so a passage that a third of all documents share is one entry of each worker. A gram with very many regions is marked, and only
 SHIPPED of a worker's entries go to the gram's task, the others straight to step 2. Texts go by a hash of id and text.
@@ -41,8 +44,8 @@ HELD = 1_500_000
 SEGMENT = 1 << 23
 PLACE_BITS = np.uint64(25)
 
-#: key: hash of the gram; region: hash of the region; doc, row: id and hash of the text; at, count: first string and number of strings.
-ENTRY = {"key": np.uint64, "region": np.uint32, "doc": np.int64, "row": np.int64, "at": np.uint32, "count": np.uint8, "marked": np.uint8}
+#: key: hash of the gram; region: second hash, of the region; doc, row: id and hash of the text; at, count: first string and number of strings.
+ENTRY = {"key": np.uint64, "region": np.uint64, "doc": np.int64, "row": np.int64, "at": np.uint32, "count": np.uint8, "marked": np.uint8}
 SPAN = {"row": np.int64, "at": np.uint32, "count": np.uint8}
 NAMES, SPAN_NAMES = list(ENTRY), list(SPAN)
 ENTRIES, REMOVED, ASKED = 0, 1, 2
@@ -70,16 +73,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts[1:-1] &= ~ok[:-2] | (owner[1:] != owner[:-1])
     first = np.flatnonzero(starts)
     ends = np.flatnonzero(ok[:-1] & (~ok[1:] | starts[1:]))
-    region = common.range_hashes(prefix, first, ends + LENGTH) + (owner[first] - first).astype(np.uint64) * common.MIX2
+    region = common.range_hashes(common.prefix_hashes(data, common.OTHER_VALUE), first, ends + LENGTH) + (owner[first] - first).astype(np.uint64) * common.MIX2
     return first, ends, gram[owner[first]], common.mixed(region)
 
 
 def sorted_out(e: blocks.Columns) -> tuple[blocks.Columns, np.ndarray, np.ndarray]:
-    """Entries by key, region and document; whether a smaller document has the same region; first entries of the keys."""
+    """Entries by key, region and document (sorted in place); whether a smaller document has the same region; first entries of the keys."""
     if not len(e["key"]):
         return e, np.zeros(0, bool), np.zeros(0, np.int64)
     by = np.lexsort((e["doc"], e["region"], e["key"]))
-    e = blocks.picked(e, by)
+    e = blocks.narrowed(e, by)
     new_key = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
     new_region = new_key | np.concatenate([[True], e["region"][1:] != e["region"][:-1]])
     least = e["doc"][new_region][np.cumsum(new_region) - 1]
@@ -97,18 +100,18 @@ def combined(e: blocks.Columns, buckets: int) -> Iterator[dict]:
     """A worker's own sort: what it resolves by itself, and the entries that go on."""
     e, gone, _ = sorted_out(e)
     yield from spans(blocks.picked(e, gone), buckets, REMOVED, NAMES)
-    e = blocks.picked(e, ~gone)
+    e = blocks.narrowed(e, ~gone)
     if not len(e["key"]):
         return
     by = np.lexsort((e["doc"], e["key"]))
-    e = blocks.picked(e, by)
+    e = blocks.narrowed(e, by)
     first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
     counts = np.diff(np.concatenate([first, [len(by)]]))
     nth = np.arange(len(by)) - np.repeat(first, counts)
     e["marked"] = np.maximum(e["marked"], np.repeat(counts > SHIPPED, counts).astype(np.uint8))
     yield from spans(blocks.picked(e, nth >= SHIPPED), buckets, ASKED, NAMES)
-    e = blocks.picked(e, nth < SHIPPED)
-    e = blocks.picked(e, np.argsort(e["row"], kind="stable"))  # equal ids side by side pack better
+    e = blocks.narrowed(e, nth < SHIPPED)
+    e = blocks.narrowed(e, np.argsort(e["row"], kind="stable"))  # equal ids side by side pack better
     yield from blocks.dealt(e, (common.mixed(e["key"]) % np.uint64(buckets)).astype(np.int64), ENTRIES)
 
 
@@ -149,13 +152,13 @@ def scanned(buckets: int):
                 for data, offsets, which, start in segments(batch.column(2)):
                     first, last, gram, region = anchors(data, offsets)
                     row = np.searchsorted(offsets, first, "right") - 1
-                    held.append({"key": gram, "region": (region >> np.uint64(32)).astype(np.uint32), "doc": docs[which[row]], "row": names[which[row]], "at": (first - offsets[row] + start).astype(np.uint32), "count": (last - first + 1).astype(np.uint8), "marked": np.zeros(len(first), np.uint8)})
+                    held.append({"key": gram, "region": region, "doc": docs[which[row]], "row": names[which[row]], "at": (first - offsets[row] + start).astype(np.uint32), "count": (last - first + 1).astype(np.uint8), "marked": np.zeros(len(first), np.uint8)})
                     total += len(first)
                     if total >= HELD:
-                        yield from combined(blocks.joined(held), buckets)
-                        held, total = [], 0
+                        yield from combined(blocks.drained(held), buckets)
+                        total = 0
             if held:
-                yield from combined(blocks.joined(held), buckets)
+                yield from combined(blocks.drained(held), buckets)
 
         yield from blocks.batches(rows(), NAMES)
 
@@ -177,15 +180,17 @@ def strings(buckets: int):
             counts = spans_["count"][a:b].astype(np.int64)
             at = np.repeat(spans_["at"][a:b].astype(np.int64) - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             at = np.unique(at)
-            prefix = common.prefix_hashes(np.frombuffer(text.encode(), np.uint8))
-            half = common.range_hashes(prefix, at, at + LENGTH // 2) ^ (common.range_hashes(prefix, at + LENGTH // 2, at + LENGTH) * common.MIX1)
-            held.append({"key": common.range_hashes(prefix, at, at + LENGTH), "region": (common.mixed(half) >> np.uint64(32)).astype(np.uint32), "doc": np.full(len(at), doc), "row": np.full(len(at), row), "at": at.astype(np.uint32), "count": np.ones(len(at), np.uint8), "marked": np.zeros(len(at), np.uint8)})
+            data = np.frombuffer(text.encode(), np.uint8)
+            first, second = (common.range_hashes(common.prefix_hashes(data, v), at, at + LENGTH) for v in (common.BYTE_VALUE, common.OTHER_VALUE))
+            held.append({"key": first, "region": second, "doc": np.full(len(at), doc), "row": np.full(len(at), row), "at": at.astype(np.uint32), "count": np.ones(len(at), np.uint8), "marked": np.zeros(len(at), np.uint8)})
         if not held:
             return blocks.frame(iter(()), NAMES)
-        e, gone, _ = sorted_out(blocks.joined(held))
-        rest = blocks.picked(e, ~gone)
-        rest = blocks.picked(rest, np.argsort(rest["row"], kind="stable"))
-        out = [*spans(blocks.picked(e, gone), buckets, REMOVED, NAMES), *blocks.dealt(rest, (common.mixed(rest["key"]) % np.uint64(buckets)).astype(np.int64), ENTRIES)]
+        e, gone, _ = sorted_out(blocks.drained(held))
+        out = list(spans(blocks.picked(e, gone), buckets, REMOVED, NAMES))
+        e = blocks.narrowed(e, ~gone)
+        e = blocks.narrowed(e, np.argsort(e["row"], kind="stable"))
+        out += blocks.dealt(e, (common.mixed(e["key"]) % np.uint64(buckets)).astype(np.int64), ENTRIES)
+        del e
         return blocks.frame(iter(out), NAMES)
 
     return run
