@@ -1,7 +1,7 @@
 import pytest
 from compare import assert_same
 
-from tidewalk.plans import catalogue
+from tidewalk.plans import catalogue, study
 
 #: Large enough for every group of every query to have rows.
 TABLES = "/root/testdata/sf0.01"
@@ -22,3 +22,17 @@ def test_query_runs(spark, name):
 def test_model_beats_nothing_and_stays_in_bounds(spark):
     rows = catalogue.QUERIES["lr_walk_forward"](spark, TABLES).collect()
     assert rows and all(r["auc"] is None or 0 <= r["auc"] <= 1 for r in rows)
+
+
+def test_resume_covers_all_folds_arms_and_models(spark):
+    rows = catalogue.QUERIES["resume_append"](spark, TABLES).collect()
+    want = {tuple(r) for r in study.predictions(spark, TABLES).select("fold", "model", "arm").distinct().collect()}
+    assert {(r["fold"], r["model"], r["arm"]) for r in rows} == want and len(rows) == len(want)
+    assert all(r["n"] == r["n_ids"] for r in rows)
+
+
+def test_bootstrap_covers_all_folds_arms_and_models(spark):
+    rows = catalogue.QUERIES["bootstrap_ci"](spark, TABLES).collect()
+    want = {tuple(r) for r in study.predictions(spark, TABLES).select("fold", "model", "arm").distinct().collect()}
+    assert {(r["fold"], r["model"], r["arm"]) for r in rows} == want and len(rows) == len(want)
+    assert max(r["n_resamples"] for r in rows) == 500

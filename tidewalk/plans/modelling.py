@@ -85,17 +85,18 @@ def importance_by_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def resume_append(spark: SparkSession, d: str) -> DataFrame:
-    """Folds 1 and 2 are written, fold 2 again, then what is missing up to 3; the table holds each once."""
-    rows = study.predictions(spark, d).where("arm = 'structured' and model = 'Logistic' and fold <= 3")
+    """Folds 1 and 2 are written, fold 2 again, then all that are missing; the table holds each once."""
+    rows = study.predictions(spark, d)
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewalk-")
     import uuid
 
     path = f"{base}/folds-{uuid.uuid4().hex}"
     for some in ([1, 2], [2]):
         tables.append_fold(rows.where(F.col("fold").isin(some)), path)
-    left = [f for f in (1, 2, 3) if f not in tables.done_folds(spark, path)]
+    done = tables.done_folds(spark, path)
+    left = [r["fold"] for r in study.fold_table(spark, d).select("fold").orderBy("fold").collect() if r["fold"] not in done]
     out = tables.append_fold(rows.where(F.col("fold").isin(left)), path)
-    return out.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+    return out.groupBy("fold", "model", "arm").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
 @query

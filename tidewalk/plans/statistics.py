@@ -166,8 +166,7 @@ def youden_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    p = study.predictions(spark, d).where("fold <= 3 and arm = 'structured'")
-    return rankstats.bootstrap_auc(p, ["fold", "model"], n=100).withColumns({"auc_lo": R("auc_lo"), "auc_hi": R("auc_hi")})
+    return rankstats.bootstrap_auc(study.predictions(spark, d), KEYS).withColumns({"auc_lo": R("auc_lo"), "auc_hi": R("auc_hi")})
 
 
 @query(f"""WITH {P_SQL}, u AS ({auc_sql('fold, model, arm', 'p', False)}), m AS (SELECT model, arm, avg(auc) AS mean_auc, stddev_samp(auc) AS sd_auc, count(*) AS n_folds FROM u GROUP BY 1, 2)
