@@ -36,3 +36,8 @@ def test_bootstrap_covers_all_folds_arms_and_models(spark):
     want = {tuple(r) for r in study.predictions(spark, TABLES).select("fold", "model", "arm").distinct().collect()}
     assert {(r["fold"], r["model"], r["arm"]) for r in rows} == want and len(rows) == len(want)
     assert max(r["n_resamples"] for r in rows) == 500
+
+
+def test_logistic_walk_forward_scores_every_fold(spark):
+    rows = catalogue.QUERIES["lr_walk_forward"](spark, TABLES).collect()
+    assert sorted(r["fold"] for r in rows) == sorted(r["fold"] for r in study.fold_table(spark, TABLES).collect())

@@ -27,7 +27,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return study.loans(spark, d).withColumn("balance", X.not_negative("balance")).drop("area", "issue_d")
 
 
-def _walk(spark: SparkSession, d: str, model: str, n_folds: int = 3, trees: int = 10) -> DataFrame:
+def _walk(spark: SparkSession, d: str, model: str, n_folds: int | None = None, trees: int = 10) -> DataFrame:
     p = models.walk_forward(_features(spark, d), study.fold_table(spark, d), "month", "is_default", model, PREPARE, most_folds=n_folds, trees=trees)
     return rankstats.auc(p, ["fold", "model"]).withColumn("auc", R("auc"))
 
