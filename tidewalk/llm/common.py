@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import shutil
 import tempfile
 import time
@@ -51,11 +52,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that one bucket of a grouped pass holds, about.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets(docs: DataFrame, text: str) -> int:
+    """Number of buckets: one for each shuffle partition, and more where texts are so long that a bucket would outgrow a task."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode, where all share the machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tidewalk_shared", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = context._tidewalk_shared = tempfile.mkdtemp(prefix="tidewalk-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     return named
@@ -228,11 +241,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> tupl
     return starts, np.flatnonzero(stop), np.searchsorted(starts, offsets)
 
 
+#: Bytes of a word that are hashed by table; longer words get a cryptographic hash.
+LANES = 48
+#: A value for each place in a word and each byte: no two words of equal length have equal sums but by chance of 2^-64.
+LANE_VALUE = mixed(np.arange(1, LANES * 256 + 1, dtype=np.uint64) * PRIME)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (A-Z lower-cased) of all rows, and each row's first word."""
     folded = FOLD[data]
     starts, ends, rows = word_spans(folded, offsets, flags)
-    return range_hashes(prefix_hashes(folded), starts, ends), rows
+    if not len(starts):
+        return np.zeros(0, np.uint64), rows
+    place = np.arange(starts[0], len(folded), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(np.concatenate([starts, [len(folded)]])))
+    np.minimum(place, LANES - 1, out=place)
+    place <<= 8
+    place |= folded[starts[0] :]
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(LANE_VALUE[place], out=total[1:])
+    size = ends - starts
+    out = mixed(total[ends - starts[0]] - total[starts - starts[0]] + size.astype(np.uint64) * MIX1)
+    for i in np.flatnonzero(size > LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(folded[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    return out, rows
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
