@@ -5,21 +5,25 @@ A document's set is that of its word 5-grams (64-bit hashes). Equal sets are one
 1. Grams are ordered by rarity, counted over all documents in a sketch of fixed size (rarer first, then by hash), so that only
    grams of very similar sets have long lists. Two sets with Jaccard 0.75 or more share a gram among
    each one's first |s| - ceil(0.75 |s|) + 1 grams (its prefix).
-2. Prefix grams are dealt out in packed blocks by hash. In a list (all sets with the same prefix gram) entries stand in
-   blocks of equal size and position; a block whose size or position bounds can't reach the threshold is skipped as a whole.
-   In short lists every pair that is left is a candidate. In long ones each set is paired with its hub (the first set of the list whose size fits)
-   and with its neighbour only. Shared prefix grams are counted for each pair; a pair whose count and last shared place
+2. Prefix grams are dealt out in packed lists by hash. In a list (all sets with the same prefix gram) entries stand in
+   blocks of equal size and position, each with one header. Headers are compared, not entries: a block whose size or position bounds
+   can't reach the threshold is skipped as a whole.
+   In short lists every pair of the blocks that are left is a candidate. In long ones each set is paired with its hub (the first set of the list whose
+   size fits) and with its neighbour only. Shared prefix grams are counted for each pair; a pair whose count and last shared place
    can't reach the threshold is dropped.
-3. Candidates are verified by the whole sets, made anew from the texts.
-4. What a set shares with its hub's other partners is then derived, not computed: sets that verified links already connect need no answer of their own.
-   Where a long list's members are still in several components, members that the bounds allow to be linked
-   make groups; in a group, the members outside its largest component are compared with all members, block by block, each block's
-   sets once. Thus every pair that the bounds allow is either compared or already connected, and components are exact.
+3. Candidates are verified by the whole sets, made anew from the texts. Sets that verified links already connect need no answer of their own.
+4. Where a long list's members are still in several components, members that the bounds allow to be linked
+   make groups (again header by header); in a group, the members outside its largest component are held against all members, block by block, each
+   block's sets once. There answers are derived: what a set shares with each other set is what a highly similar set, its hub, shares with it, less the
+   grams that only the hub has, plus those that only the set has; just these few grams are looked up. Thus every pair that the bounds
+   allow is either compared or already connected, and components are exact.
 
 No list is expanded to its pairs as rows, and no task holds more than a block of a thousand sets against another, or lists' names.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text of fewer than five
-words has its whole word sequence as its only gram; a null doc_id is never the smallest; rows that share a doc_id are nodes of their own.
+words has its whole word sequence as its only gram; a null doc_id is never the smallest; rows that share a doc_id are nodes of their own;
+repeated rows have one and the same set and component; an empty table gives no rows; other columns are ignored, whatever their names.
+Words are hashed place by place, so only chance (2^-64 for a pair of words or grams) makes different ones equal.
 """
 
 from __future__ import annotations
@@ -42,8 +46,10 @@ SKETCH_BITS = 16
 SKETCH_PARTS = 64
 #: Lists of at most so many sets give all their pairs at once.
 SHORT_LIST = 32
-#: Sets of one block of a group, and grams that are counted at once.
-BLOCK, COLUMNS = 1000, 2048
+#: Sets of one block of a group.
+BLOCK = 1000
+#: Hubs of a block whose answers are kept to derive others from.
+HUBS = 4
 #: Prefix grams that a worker holds before it sends them on.
 HELD = 2_000_000
 
@@ -164,6 +170,26 @@ def fits(size_a, place_a, size_b, place_b) -> np.ndarray:
     return (bottom * small >= top * large) & (most >= needed(size_a, size_b))
 
 
+def block_pairs(gram: np.ndarray, size: np.ndarray, place: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one list, of those blocks (equal gram, size and place) whose headers can be linked."""
+    if not len(gram):
+        return
+    start = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (size[1:] != size[:-1]) | (place[1:] != place[:-1])]))
+    count = np.diff(np.concatenate([start, [len(gram)]]))
+    gram, size, place, wanted = gram[start], size[start], place[start], wanted[start]
+    for step in range(min(SHORT_LIST, len(start))):
+        a = np.arange(len(start) - step)
+        a = a[wanted[a] & (gram[a] == gram[a + step])]
+        a = a[fits(size[a], place[a], size[a + step], place[a + step])]
+        if step == 0:
+            a = a[count[a] > 1]
+        pairs = count[a] * count[a + step]
+        nth = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        wide = np.repeat(count[a + step], pairs)
+        x, y = np.repeat(start[a], pairs) + nth // wide, np.repeat(start[a + step], pairs) + nth % wide
+        yield (x[x < y], y[x < y]) if step == 0 else (x, y)
+
+
 def listed(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs (list null) and members of long lists (list given) of one bucket."""
     gram, sid, size, place = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("grams", np.uint64), ("sids", np.int64), ("sizes", np.uint32), ("places", np.uint32)))
@@ -187,10 +213,8 @@ def listed(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = np.where(sid[a] < sid[b], a, b), np.where(sid[a] < sid[b], b, a)
         pairs.append((np.stack([sid[a], sid[b], size[a], size[b], place[a], place[b]], 1), grams))
 
-    for step in range(1, min(SHORT_LIST, len(gram))):
-        a = np.arange(len(gram) - step)
-        offer_a = a[(gram[a] == gram[a + step]) & short[a]]
-        offer(offer_a, offer_a + step, 1)
+    for a, b in block_pairs(gram, size, place, short):
+        offer(a, b, 1)
     lists, known = [], set()
     for start, count in zip(starts[counts > SHORT_LIST].tolist(), counts[counts > SHORT_LIST].tolist(), strict=True):
         members = slice(start, start + count)
@@ -230,25 +254,42 @@ def reachable(shared, size_a, size_b, place_a, place_b):
 def forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of the pairs of each long list that the bounds allow, as many as hold its members together.
 
-    Pairs that share a gram of a short list have been decided before, so only grams of long lists count here.
+    Pairs that share a gram of a short list have been decided before, so only grams of long lists count here. The bounds see only size, place and
+    the number of such grams, so members that agree in these are one block: headers are compared, and a block's members hang on its first.
     """
-    pdf = pdf.sort_values(["list", "sid"])
-    name, *columns = (pdf[c].to_numpy(np.int64) for c in ("list", "sid", "size", "place", "far"))  # far: prefix grams in long lists
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]]).tolist()
+    pdf = pdf.sort_values(["list", "size", "place", "far", "sid"])
+    name, sid, size, place, far = (pdf[c].to_numpy(np.int64) for c in ("list", "sid", "size", "place", "far"))  # far: prefix grams in long lists
+    new = np.concatenate([[True], (np.diff(name) != 0) | (np.diff(size) != 0) | (np.diff(place) != 0) | (np.diff(far) != 0)]) if len(name) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    block = np.cumsum(new) - 1
+    name, size, place, far = (c[first] for c in (name, size, place, far))
+    many = np.bincount(block, minlength=len(first)) > 1 if len(first) else np.zeros(0, bool)
     top, bottom = LINK
+
+    def near(x, others: np.ndarray) -> np.ndarray:
+        close = bottom * np.minimum(size[x], size[others]) >= top * np.maximum(size[x], size[others])
+        return close & reachable(np.minimum(far[x], far[others]), size[x], size[others], place[x], place[others])
+
+    every = np.arange(len(first))
+    joined_ = many & near(every, every) if len(first) else many
     out = []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]]).tolist()
     for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-        sid, size, place, far = (c[start:end] for c in columns)
-        left = np.arange(end - start)
+        left = np.arange(start, end)
         while len(left):
             todo, left = [int(left[0])], left[1:]
             while todo and len(left):
                 x = todo.pop()
-                near = (bottom * np.minimum(size[x], size[left]) >= top * np.maximum(size[x], size[left])) & reachable(np.minimum(far[x], far[left]), size[x], size[left], place[x], place[left])
-                if near.any():
-                    todo += left[near].tolist()
-                    out.append(np.stack([np.full(near.sum(), sid[x]), sid[left[near]]], 1))
-                    left = left[~near]
+                ok = near(x, left)
+                if ok.any():
+                    todo += left[ok].tolist()
+                    joined_[x] = True
+                    joined_[left[ok]] = True
+                    out.append(np.stack([np.full(ok.sum(), sid[first[x]]), sid[first[left[ok]]]], 1))
+                    left = left[~ok]
+    if len(first):
+        inside = joined_[block] & ~new
+        out.append(np.stack([sid[first[block[inside]]], sid[inside]], 1))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame(pairs, columns=["a", "b"])
 
@@ -295,6 +336,41 @@ def named_texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "sid long, text string")
 
 
+class Answers:
+    """What sets share with each of some members, by lists of the members' grams."""
+
+    def __init__(self, members: list[np.ndarray]):
+        gram = np.concatenate(members)
+        by = np.argsort(gram, kind="stable")
+        self.owner = np.repeat(np.arange(len(members)), [len(s) for s in members])[by]
+        self.gram, self.first = np.unique(gram[by], return_index=True)
+        self.count = np.diff(np.concatenate([self.first, [len(gram)]]))
+        self.members = len(members)
+        self.hubs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def looked_up(self, grams: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.gram, grams), len(self.gram) - 1)
+        at = at[self.gram[at] == grams]
+        counts = self.count[at]
+        entries = np.repeat(self.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.bincount(self.owner[entries], minlength=self.members)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        """Overlaps of s with all members, derived from the nearest hub's where that has most of its grams."""
+        best, rest = None, len(s) // 2
+        for hub, answer in self.hubs:
+            common_ = np.isin(s, hub, assume_unique=True)
+            extra = len(s) + len(hub) - 2 * int(common_.sum())
+            if extra <= rest:
+                best, rest = (hub, answer, common_), extra
+        if best is None:
+            out = self.looked_up(s)
+            self.hubs = [*self.hubs[-HUBS + 1 :], (s, out)]
+            return out
+        hub, answer, common_ = best
+        return answer - self.looked_up(hub[~np.isin(hub, s, assume_unique=True)]) + self.looked_up(s[~common_])
+
+
 def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between the open members (side 0) and the members (side 1) of two blocks, one for each pair of components.
 
@@ -303,34 +379,21 @@ def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     sets = [one_set(t) for t in pdf["text"]]
     side, sid, root = pdf["side"].to_numpy(), pdf["sid"].to_numpy(), pdf["root"].to_numpy()
     rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    if not len(rows) or not len(cols):
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    gram = np.concatenate([sets[i] for i in [*rows, *cols]])
-    owner = np.repeat(np.arange(len(rows) + len(cols)), [len(sets[i]) for i in [*rows, *cols]])
-    gram, word = np.unique(gram, return_inverse=True)
-    here = np.zeros((2, len(gram)), bool)
-    here[0, word[owner < len(rows)]] = here[1, word[owner >= len(rows)]] = True
-    both = here.all(0)  # grams of one side alone add nothing
-    column = np.cumsum(both) - 1
-    owner, word = owner[both[word]], column[word[both[word]]]
-    by = np.argsort(word, kind="stable")
-    owner, word = owner[by], word[by]
-    shared = np.zeros((len(rows), len(cols)), np.float32)
-    for at in range(0, int(both.sum()), COLUMNS):
-        part = slice(*np.searchsorted(word, [at, at + COLUMNS]))
-        marks = np.zeros((len(rows) + len(cols), COLUMNS), np.float32)
-        marks[owner[part], word[part] - at] = 1
-        shared += marks[: len(rows)] @ marks[len(rows) :].T
-    n = np.array([len(s) for s in sets])
-    linked = (shared >= needed(n[rows][:, None], n[cols][None, :])) & (root[rows][:, None] != root[cols][None, :])
-    x, y = np.nonzero(linked)
-    pairs = pd.DataFrame({"a": sid[rows[x]], "b": sid[cols[y]], "ra": root[rows[x]], "rb": root[cols[y]]})
+    out = [np.zeros((0, 4), np.int64)]
+    if len(rows) and len(cols):
+        answers, n = Answers([sets[i] for i in cols]), np.array([len(sets[i]) for i in cols])
+        for i in rows[np.argsort(root[rows], kind="stable")].tolist():  # a component's sets are alike
+            linked = np.flatnonzero((answers(sets[i]) >= needed(len(sets[i]), n)) & (root[cols] != root[i]))
+            found = cols[linked]
+            out.append(np.column_stack([np.full(len(found), sid[i]), sid[found], np.full(len(found), root[i]), root[found]]))
+    pairs = pd.DataFrame(np.concatenate(out), columns=["a", "b", "ra", "rb"])
     return pairs.drop_duplicates(["ra", "rb"])[["a", "b"]]
 
 
 def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, sid; links between sets: a, b that connect all linked sets)."""
     spark = docs.sparkSession
+    common.shipped(spark)
     rows, sketch = described(docs, text, id_col)
     blocks = prefixes(docs, text, sketch, 4 * common.shuffle_partitions(spark))
     found = common.written(blocks.groupBy("bucket").applyInPandas(listed, "list long, a long, b long, na long, nb long, pa long, pb long, grams long"), "lists")
@@ -380,10 +443,13 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     """Per row: doc_id, n_shingles, component_id."""
     rows, sure = joined(docs, text, id_col)
     roots = links.components(sure)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     least = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    least = least.join(roots, least["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    top = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(top, "root").select("sid", "component_id")
+    least = common.written(least.join(roots, least["sid"] == roots["node"], "left").select("sid", "least", "root"), "least")
+    linked = least.where("root is not null")
+    top = linked.groupBy(F.col("root").alias("u")).agg(F.min("least").alias("m"))
+    named = links.with_least(linked.select(F.col("root").alias("u"), F.col("sid").alias("v")), top).select(F.col("v").alias("sid"), F.col("m").alias("component_id"))
+    named = named.unionByName(least.where("root is null").select("sid", F.col("least").alias("component_id")))
     out = rows.join(named, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
