@@ -131,7 +131,84 @@ def test_repeats_speak_for_each_other():
     code = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
     _, every = personal.spans_of(f'token = "{code}" and, much later, {"word " * 50} {code} again')
     assert [personal.KINDS[k] for _, k, _ in every] == ["secret", "secret"]
-    assert personal.spans_of("In 1999 page 12 of model 4711 came out.")[1] == []
+    assert personal.spans_of(f"and, much later, {'word ' * 50} {code} again")[1] == []
+
+
+@pytest.mark.parametrize("text", [
+    "In 1999 page 12 of model 4711 came out.", "order 123456789 shipped", "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixed it",
+    "getUserAccountBalance returned 2024-05-17", "Released under the Apache License Version 2", "Sich Sich Sich Sich Sich", "x" * 5000,
+])
+def test_other_tokens_stay(text):
+    assert personal.spans_of(text)[1] == []
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("my key is AbCdEfGhIjKlMnOpQrSt", "secret"), ("password: hunter2hunter2", "secret"), ("the customer 99812345 asked", "account"), ("Dear Anna Kovac, thank you", "name"),
+])
+def test_telling_words_decide(text, kind):
+    assert [personal.KINDS[k] for _, k, _ in personal.spans_of(text)[1]] == [kind]
+
+
+#: Sentences that the field hasn't seen; N is nothing.
+SENTENCES = {
+    "secret": ("please rotate the api key {} today", "he typed {1} and the password {0} worked", "export TOKEN={}", "our shared secret was {} until june"),
+    "account": ("transfer it to account {} by friday", "the customer with number {} has called", "Kunde {} hat bezahlt", "passport {} was renewed"),
+    "name": ("we asked Dr {} about it", "her name is {} and she agreed", "with best regards {}"),
+    "N": ("we merged commit {} last week", "the parcel for order {} went out", "checksum {} did not fit", "invoice {} is open"),
+}
+
+
+def planted(rng, words):
+    """A text with tokens of one shape after telling words or others, each with repeats that nothing tells of; and the label of each token."""
+    said, parts = {}, []
+    filler = lambda: " ".join(rng.choice(words, int(rng.integers(4, 12))))
+    for _ in range(int(rng.integers(1, 4))):
+        label = str(rng.choice(list(SENTENCES)))
+        if label == "name":
+            token = " ".join(str(w).capitalize() for w in rng.choice(words, 2, replace=False))
+        elif label == "account" or label == "N" and rng.random() < 0.5:
+            token = "".join(rng.choice(list("0123456789"), int(rng.integers(8, 12))))
+        else:
+            token = "".join(rng.choice(list("0123456789abcdef"), 40))
+        if personal.base_spans(token):
+            continue
+        said[token] = label
+        parts.append(str(rng.choice(SENTENCES[label])).format(token, filler()))
+        parts += [f"{filler()} {token} {filler()}" for _ in range(int(rng.integers(1, 5)))]
+    return ". ".join(parts[i] for i in rng.permutation(len(parts))), said
+
+
+def test_field_on_planted_data_and_without_its_skip_potentials():
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("abdeghiklmnorstu"), int(rng.integers(3, 8)))) for _ in range(400)]
+    whole = personal.fitted()
+    cut = personal.Field(whole.weight, np.where(np.arange(3)[:, None, None] == personal.CHAIN, whole.pair, 0))
+    counts = {name: defaultdict(lambda: [0, 0, 0]) for name in ("whole", "cut")}
+    for _ in range(300):
+        text, said = planted(rng, words)
+        for name, field in (("whole", whole), ("cut", cut)):
+            _, every = personal.spans_of(text, field)
+            got = {(a, b): personal.KINDS[k] for a, k, b in every}
+            want = {m.span(): label for token, label in said.items() if label != "N" for m in re.finditer(rf"(?<!\w){re.escape(token)}(?!\w)", text)}
+            for span in got.keys() | want.keys():
+                if span in want:
+                    counts[name][want[span]][0 if got.get(span) == want[span] else 1] += 1
+                if span in got and got[span] != want.get(span):
+                    counts[name][got[span]][2] += 1
+    share = {name: {k: (hit / max(hit + false, 1), hit / max(hit + missed, 1)) for k, (hit, missed, false) in c.items()} for name, c in counts.items()}
+    for kind in ("secret", "account", "name"):
+        precision, recall = share["whole"][kind]
+        assert precision >= 0.9 and recall >= 0.85, share
+        assert share["cut"][kind][1] < recall - 0.2, share  # the same field, but mentions don't speak for each other
+
+
+def test_messages_settle_on_long_chains():
+    unary = np.zeros((200, 2))
+    unary[0] = (0, 40)
+    pairs = np.stack([np.arange(199), np.arange(1, 200)], 1)
+    held = personal.messages(unary, pairs, np.broadcast_to(np.array([[5.0, 0], [0, 5.0]]), (199, 2, 2)))
+    exact = 0.5 * (1 + np.tanh(5 / 2) ** np.arange(200))  # of a chain of two states
+    assert np.abs(held[:, 1] - exact).max() < 0.01
 
 
 # --- classifiers -----------------------------------------------------------------------------------
@@ -236,6 +313,41 @@ def test_dense_groups_keep_their_links(spark, monkeypatch):
     assert got == want
 
 
+def test_derived_answers_are_the_overlaps():
+    rng = np.random.default_rng(0)
+    base = np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 40, int(rng.integers(1, 30))).astype(np.uint64)])) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 1 << 40, 50).astype(np.uint64)) for _ in range(10)]
+    answers = jaccard_join.Answers(sets[:50])
+    for s in sets:
+        assert answers(s).tolist() == [len(np.intersect1d(s, t)) for t in sets[:50]]
+    assert len(answers.hubs) <= jaccard_join.HUBS
+
+
+def test_blocks_offer_the_pairs_that_fit():
+    rng = np.random.default_rng(1)
+    gram, size, place = np.sort(rng.integers(0, 40, 500)), rng.integers(10, 40, 500), rng.integers(0, 4, 500)
+    by = np.lexsort((place, size, gram))
+    gram, size, place = gram[by], size[by], place[by]
+    short = np.repeat(np.unique(gram, return_counts=True)[1] <= jaccard_join.SHORT_LIST, np.unique(gram, return_counts=True)[1])
+    got = [p for a, b in jaccard_join.block_pairs(gram, size, place, short) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(i, j) for i in range(500) for j in range(i + 1, 500) if gram[i] == gram[j] and short[i] and jaccard_join.fits(size[i], place[i], size[j], place[j])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_forest_of_a_long_list_takes_little_time():
+    import time
+
+    import pandas as pd
+
+    n = 100_000
+    members = pd.DataFrame({"list": 1, "sid": np.arange(n), "size": 100, "place": 20, "far": 2})
+    began = time.time()
+    assert len(jaccard_join.forest(members)) == 0  # two shared grams are too few, and there is one block to look at
+    assert len(jaccard_join.forest(members.assign(far=26, place=0))) == n - 1
+    assert time.time() - began < 20
+
+
 def test_components_of_a_star_and_a_path(spark):
     pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
     df = links.components(spark.createDataFrame(pairs, "a long, b long"))
@@ -340,6 +452,43 @@ def test_strings_with_half_a_hash_in_common_stay(spark):
     assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removed_spans(docs).collect()} == dict.fromkeys(range(6), 0) | {6: 50}
 
 
+def test_false_pairs_are_noticed(spark, monkeypatch):
+    """With hashes of 12 bits strings meet that differ; the comparison of bytes finds it, and whole hashes are tried next."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh"), 400)) for _ in range(40)]
+    texts += [texts[3][:120] + texts[7][50:260]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", F.col("doc_id").alias("doc"), "text", F.col("doc_id").alias("row"))
+    assert suffix_dedup.attempt(rows, 2, 0)[1] == 0
+    seeds, whole = [], suffix_dedup.attempt
+
+    def attempt(rows, buckets, seed):
+        seeds.append(seed)
+        return whole(rows, buckets, seed) if seed else (None, 7)
+
+    monkeypatch.setattr(suffix_dedup, "attempt", attempt)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removed_spans(docs).collect()}
+    assert seeds == [0, 1] and got[40] == 330 and sum(got.values()) == 330
+    texts, asked = [(5, "abc" * 40)], [(5, 3, np.frombuffer(b"abcabc", np.uint8)), (5, 4, np.frombuffer(b"abcabc", np.uint8)), (6, 0, np.frombuffer(b"a", np.uint8))]
+    import pandas as pd
+
+    false = suffix_dedup.compared(pd.DataFrame(texts, columns=["row", "text"]), pd.DataFrame({"items": [suffix_dedup.packed_runs(asked)]}))
+    assert false["false"].tolist() == [2]
+
+
+def test_long_texts_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
+    values, rng = suffix_dedup.byte_values(0), np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefgh"), 5000))
+    import pyarrow as pa
+
+    strings = []
+    for data, offsets, _, start in suffix_dedup.segments(pa.array([text])):
+        first, last, _, _ = suffix_dedup.anchors(data, offsets, values)
+        strings += [start + x for a, b in zip(first.tolist(), last.tolist(), strict=True) for x in range(a, b + 1)]
+    assert strings != [] and set(strings) >= set(range(5000 - 49 - 1)) or len(text) <= 1 << 20
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 
