@@ -3,11 +3,13 @@
 Texts are compared without blanks. Sampled splitters (Spark's range partitioner) deal the rows out by the first
 bytes of the normalised text, then a hash of it; an external sort within each partition places equal texts side by side, and a window compares
 neighbours' whole texts. A text that holds more than a partition's share of the rows gets salts, as many as it
-needs, so that no group of copies lies in one task; the few winners of a salted text (one for each salt) are compared once more.
+needs, so that no group of copies lies in one task; the few winners of a salted text (one for each salt) are compared once more. The salt comes
+from the id and the partition that the row was read in, so copies without ids, or with one and the same, are split as well.
 The splitters see at most KEY_CHARS characters of a text, so the sample is small whatever the texts' lengths.
 
 Defined results: null text counts as empty; the row with the most code points in the original text stays, then
-the smallest doc_id (null before all others), then any one of fully equal rows; an empty table gives no rows.
+the smallest doc_id (null before all others), then any one of fully equal rows; an empty table gives no rows; other columns stay out of
+the comparison and, in `winners`, in the result, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def _salted(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, int]:
     hot = rows.groupBy("__hash").agg(F.count("*").alias("n")).where(F.col("n") > least)
     hot = hot.select("__hash", F.ceil(F.col("n") / least).alias("__salts"))
     rows = rows.join(F.broadcast(hot), "__hash", "left").withColumn("__salts", F.coalesce("__salts", F.lit(1).cast("long")))
-    salt = F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), "__salts")
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")) + F.spark_partition_id(), "__salts")
     return rows.withColumn("__salt", salt).withColumn("__key", F.substring("__norm", 1, KEY_CHARS)), parts
 
 
@@ -47,15 +49,15 @@ def _sorted(rows: DataFrame, parts: int, id_col: str) -> tuple[DataFrame, Window
 
 
 def winners(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns: one sort of the whole rows, no join."""
+    """The rows that stay, with all their columns. Hot texts and the others are sorted apart, so each row is shuffled and read once."""
     # whatever the input's columns are called, they travel as one
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[id_col].alias("doc_id"), docs[text].alias("__text"))
     rows, parts = _salted(whole, "__text", "doc_id")
-    rows, _ = _sorted(rows.drop("__text"), parts, "doc_id")
-    first = rows.where("__rank = 1")
-    again = Window.partitionBy("__norm", "__salts").orderBy(F.desc("__len"), F.asc_nulls_first("doc_id"))
-    hot = first.where("__salts > 1").withColumn("__rank", F.row_number().over(again)).where("__rank = 1")
-    return first.where("__salts = 1").select("__row.*").unionByName(hot.select("__row.*"))
+    rows = rows.drop("__text")
+    cold, hot = (_sorted(rows.where(c), parts, "doc_id")[0].where("__rank = 1") for c in ("__salts = 1", "__salts > 1"))
+    again = Window.partitionBy("__norm").orderBy(F.desc("__len"), F.asc_nulls_first("doc_id"))
+    hot = hot.withColumn("__rank", F.row_number().over(again)).where("__rank = 1")
+    return cold.select("__row.*").unionByName(hot.select("__row.*"))
 
 
 def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
