@@ -85,6 +85,14 @@ def test_empty_tables(spark, nothing, name):
     assert registry.QUERIES[name](spark, nothing).count() == 0
 
 
+def test_many_items_give_the_same_hits(spark, edge, monkeypatch):
+    """Windows too large to broadcast: the slim join."""
+    want = [spark_rows(registry.QUERIES["op10_decontaminate"](spark, f)) for f in (SMALL, edge)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    for folder, rows in zip((SMALL, edge), want, strict=True):
+        assert spark_rows(registry.QUERIES["op10_decontaminate"](spark, folder)) == rows
+
+
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (None, None), (1, "a b c d e f g"), (2, PASSAGE), (None, PASSAGE)], "doc_id long, text string")
     assert licenses.scan(docs).count() == exact_dedup.groups(docs).count() == jaccard_join.classes(docs).count() == suffix_dedup.removed_spans(docs).count() == passages.classes(docs).count() == 5
@@ -420,6 +428,18 @@ def test_exact_dedup_splits_hot_texts(spark, monkeypatch):
     assert exact_dedup.winners(docs).count() == 61
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7])
+def test_exact_dedup_splits_hot_texts_without_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 5)
+    docs = spark.createDataFrame([(ids(i), "same text" + " " * (i % 3)) for i in range(300)] + [(i, f"text {i}") for i in range(30)], "doc_id long, text string").repartition(12)
+    rows, _ = exact_dedup._salted(docs, "text", "doc_id")
+    sizes = [r["count"] for r in rows.where("__salts > 1").groupBy("__salt").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 150
+    out = exact_dedup.groups(docs).collect()
+    assert len(out) == 330 and sum(r["kept"] for r in out) == 31 and sum(r["group_size"] == 300 for r in out) == 300
+    assert exact_dedup.winners(docs).count() == 31
+
+
 def test_bytes_are_removed_across_hot_grams(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHIPPED", 3)
     monkeypatch.setattr(suffix_dedup, "HELD", 2000)

@@ -4,10 +4,12 @@ A window is a run of item words; its set is that of its word 3-grams (shorter wi
 counted over all documents. Containment of a whole window needs its rarest gram, so a prefix of one gram for each window is
 joined with the grams of the documents; length and positional bounds drop places where the window
 can't fit, and the words themselves are compared. Items are a stated query set: they are broadcast
-while their windows number at most BROADCAST_WINDOWS, else joined by shuffle.
+while their windows take at most BROADCAST_BYTES. Beyond that the join is a shuffle of slim rows (document, place, gram): words are
+brought back for the places that pass the bounds, and both ways give the same rows.
 
 Defined results: null and wordless texts have no words and no hits, wordless items no windows; rows that share a
-doc_id are looked at each for itself; equal windows of several items count for each of these items.
+doc_id (or have none) are looked at each for itself, repeated rows alike; equal windows of several items count for each of these items; an empty table
+of documents gives no rows, one of items no hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from . import common
 
 WINDOW = 10
 GRAM = 3
-BROADCAST_WINDOWS = 500_000
+#: Bytes of windows (words and item ids) that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 
 
 def item_windows(items: DataFrame, text: str = "text", id_col: str = "item_id", size: int = WINDOW) -> DataFrame:
@@ -39,10 +42,14 @@ def window_grams(windows: DataFrame) -> DataFrame:
     return rows.withColumn("hash", grams.otherwise(F.xxhash64("w0", F.get("wwords", F.col("off") + 1), F.get("wwords", F.col("off") + 2)))).drop("w0")
 
 
-def document_grams(docs: DataFrame, sizes: list[int], text: str, id_col: str) -> DataFrame:
-    """row, doc_id, n_words, words, pos, hash: every gram of every text; a wordless text has one row with pos null."""
+def document_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """row, doc_id, words, n_words of every text."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), common.words_of(F.col(text)).alias("words"))
-    rows = rows.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"))
+    return rows.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"))
+
+
+def document_grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """row, doc_id, n_words, words, pos, hash: every gram of every text; a wordless text has one row with pos null."""
     places = common.word_positions(rows, "row", "doc_id", "n_words")
     if sizes == [GRAM]:
         return places.withColumn("hash", common.gram_hash(GRAM))
@@ -50,26 +57,43 @@ def document_grams(docs: DataFrame, sizes: list[int], text: str, id_col: str) ->
     return places.select("*", F.explode(F.array(*[common.gram_hash(k) for k in sizes])).alias("hash"))
 
 
+def window_bytes(windows: DataFrame) -> int:
+    """Bytes that the windows take in memory, about: their words and item ids, and 32 for each of these."""
+    size = sum(F.octet_length(F.array_join(c, "")) + 32 * F.size(c) for c in ("wwords", "items")) + 64
+    return windows.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
-    """Verified places of windows: row, doc_id, n_words, start, end, items; a document without any has one row with start null."""
+    """Verified places of windows: row, doc_id, n_words, start, end, items; besides, a document may have one row with start null, and has it if there are no hits."""
     windows = common.written(item_windows(items, text, item_id, size), "windows")
-    count, sizes = windows.agg(F.count("*"), F.sort_array(F.collect_set("k"))).first()
-    small = F.broadcast if count <= BROADCAST_WINDOWS else (lambda df: df)
-    grams = document_grams(docs, sizes or [GRAM], text, id_col)
+    sizes = windows.agg(F.sort_array(F.collect_set("k"))).first()[0]
+    slim = window_bytes(windows) > BROADCAST_BYTES
+    small = (lambda df: df) if slim else F.broadcast
+    rows = document_rows(docs, text, id_col)
+    if slim:  # rows are named once and for all, for they meet again
+        rows = common.written(rows, "words")
+    grams = document_grams(rows, sizes or [GRAM])
     tokens = window_grams(windows)
     # rarity over all documents: one row for each gram of the items
     rarity = grams.select("hash").join(small(tokens.select("hash").distinct()), "hash").groupBy("hash").agg(F.count("*").alias("seen"))
     rarest = F.row_number().over(Window.partitionBy("wid", "wwords").orderBy("seen", "hash", "off"))
     prefix = tokens.join(small(common.written(rarity, "rarity")), "hash").withColumn("rarest", rarest).where("rarest = 1")
     # a window with a gram that no document has can't occur; the join above has left its other grams, and the bounds below remain exact
+    start, shown = F.col("pos") - F.col("off"), ["row", "doc_id", "n_words", "start", "end", "items"]
+    fits = (start >= 0) & (start + F.col("wlen") <= F.col("n_words"))
+    if slim:
+        prefix = common.written(prefix.select("hash", "off", "wlen", "wid", "wwords", "items"), "prefix")
+        near = grams.select("row", "n_words", "pos", "hash").join(prefix.select("hash", "off", "wlen", "wid"), "hash").where(fits).select("row", start.alias("start"), "wlen", "wid")
+        near = rows.join(near, "row").select("row", "doc_id", "n_words", "start", "wid", F.slice("words", F.col("start") + 1, F.col("wlen")).alias("wwords"))
+        found = near.join(prefix.select("wid", "wwords", "items"), ["wid", "wwords"]).withColumn("end", F.col("start") + F.size("wwords")).select(*shown)
+        none = F.lit(None).cast("int")
+        return found.unionByName(rows.select("row", "doc_id", "n_words", none.alias("start"), none.alias("end"), F.lit(None).cast("array<string>").alias("items")))
     prefix = prefix.select("hash", "off", "wlen", "wwords", "items")
     found = grams.join(small(prefix), "hash", "left")
-    start = F.col("pos") - F.col("off")
-    fits = (start >= 0) & (start + F.col("wlen") <= F.col("n_words"))
     same = F.when(fits, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("wlen")) == F.col("wwords"))
     found = found.withColumn("same", F.coalesce(same, F.lit(False))).where(F.col("same") | F.coalesce(F.col("pos") == 0, F.lit(True)))
-    shown = lambda c: F.when(F.col("same"), c)
-    return found.select("row", "doc_id", "n_words", shown(start).alias("start"), shown(start + F.col("wlen")).alias("end"), shown(F.col("items")).alias("items"))
+    if_same = lambda c: F.when(F.col("same"), c)
+    return found.select("row", "doc_id", "n_words", if_same(start).alias("start"), if_same(start + F.col("wlen")).alias("end"), if_same(F.col("items")).alias("items"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
