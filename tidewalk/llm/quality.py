@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word and each run of three bytes of a text is hashed to a row of a learned embedding table (a word that repeats one of the
+Each word and each run of three and of four characters of a text is hashed to a row of a learned embedding table (a word that repeats one of the
 two before it to a row of its own); the rows are averaged over the
 document, and a softmax layer gives the label. Table and layer are trained together by stochastic gradient
 descent in numpy, on at most TRAIN_ROWS labelled rows in the driver. The average and the layer before the softmax are linear, so
 scoring needs only each feature's margin (one number for each table row), which travels with the function.
 
 Defined results: null counts as empty text; a text without features gets the bias' score; with no labelled rows, or with one
-label only, each score is that label's smoothed share; rows that share a doc_id are scored each for itself.
+label only, each score is that label's smoothed share; rows that share a doc_id (or have none) are scored each for itself, repeated rows alike; labels of
+null ids or null labels aren't learned from; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,30 +23,53 @@ from . import classify, common
 
 #: Labelled rows that are learned from, at most.
 TRAIN_ROWS = 4_000
-WORD_ROWS = GRAM_ROWS = 1 << 15
+#: Characters of the n-grams, and table rows of the words and of the n-grams of each length.
+GRAMS, BITS = (3, 4), 15
 #: Further table rows: a word that repeats the one before it, and one that repeats the second before it.
 REPEATS = 2
-ROWS = WORD_ROWS + GRAM_ROWS + REPEATS
+ROWS = ((1 + len(GRAMS)) << BITS) + REPEATS
 DIM, EPOCHS, RATE, SEED = 16, 5, 2.0, 7
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Table rows of the words and of the byte 3-grams, each with the first feature of every text (one entry more than texts)."""
+#: Odd multipliers of a character's hash, by its place (fixed values).
+PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character (its bytes), and each text's first character."""
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(lead)
+    size = np.diff(np.concatenate([at, [len(data)]]))
+    out = data[at].astype(np.uint32)
+    for back in (1, 2, 3):
+        wide = np.flatnonzero(size > back)
+        out[wide] |= data[at[wide] + back].astype(np.uint32) << np.uint32(8 * back)
+    return out, np.concatenate([[0], np.cumsum(lead)])[offsets]
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Table rows of the words and of the n-grams of each length, each with the first feature of every text (one entry more than texts)."""
     starts, ends, words_at = common.word_spans(data, offsets, common.SOLID)
     hashes = common.range_hashes(common.prefix_hashes(data), starts, ends)
-    words = (hashes >> np.uint64(49)).astype(np.int32)
+    words = (hashes >> np.uint64(64 - BITS)).astype(np.int32)
     for back in range(1, REPEATS + 1):  # a repeat stands for its word
         again = np.flatnonzero(hashes[back:] == hashes[:-back]) + back
         words[again] = ROWS - back
-    wide = data.astype(np.uint32)
-    grams = wide[:-2] | (wide[1:-1] << 8) | (wide[2:] << 16) if len(data) > 2 else np.zeros(0, np.uint32)
-    grams = ((grams * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int32)
-    keep = np.ones(len(grams), bool)
-    for back in (1, 2):  # no 3-gram runs on into the next text
-        cut = offsets[1:-1] - back
-        keep[cut[(cut >= 0) & (cut < len(grams))]] = False
-    grams_at = np.concatenate([[0], np.cumsum(keep)])[np.minimum(offsets, len(grams))]
-    return words, words_at, grams[keep] + WORD_ROWS, grams_at
+    out = [(words, words_at)]
+    chars, first = characters(data, offsets)
+    for nth, n in enumerate(GRAMS, 1):
+        grams = np.zeros(max(len(chars) - n + 1, 0), np.uint32)
+        for i in range(n):
+            grams += chars[i : i + len(grams)] * PLACES[i]
+        grams ^= grams >> np.uint32(15)
+        grams = ((grams * PLACES[0]) >> np.uint32(32 - BITS)).astype(np.int32)
+        keep = np.ones(len(grams), bool)
+        for back in range(1, n):  # no n-gram runs on into the next text
+            cut = first[1:-1] - back
+            keep[cut[(cut >= 0) & (cut < len(grams))]] = False
+        out.append((grams[keep] + (nth << BITS), np.concatenate([[0], np.cumsum(keep)])[np.minimum(first, len(grams))]))
+    return out
 
 
 def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -59,9 +83,9 @@ class Model:
     bias: float
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        words, words_at, grams, grams_at = features(data, offsets)
-        total = summed(self.margin[words], words_at) + summed(self.margin[grams], grams_at)
-        return self.bias + total / np.maximum(np.diff(words_at) + np.diff(grams_at), 1)
+        found = features(data, offsets)
+        total = sum(summed(self.margin[rows], first) for rows, first in found)
+        return self.bias + total / np.maximum(sum(np.diff(first) for _, first in found), 1)
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
@@ -71,8 +95,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         return Model(np.zeros(ROWS, np.float32), float(np.log(share / (1 - share))))
     docs = []
     for data, offsets in classify.by_text(texts):
-        words, _, grams, _ = features(data, offsets)
-        rows, counts = np.unique(np.concatenate([words, grams]), return_counts=True)
+        rows, counts = np.unique(np.concatenate([rows for rows, _ in features(data, offsets)]), return_counts=True)
         docs.append((rows, (counts / max(counts.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
