@@ -238,19 +238,64 @@ def test_quality_held_out():
 def test_toxicity_held_out_and_fair_to_groups():
     rng = np.random.default_rng(0)
     words, groups = [f"wo{i}rd" for i in range(300)], ["women", "men"]
-    def sentence(toxic, group):
-        return " ".join([*rng.choice(words, 20), group, *(["idiot"] if toxic else [])])
+    def sentence(toxic, group, said=1.0):
+        return " ".join([*rng.choice(words, 20), group, *(["idiot"] if toxic and rng.random() < said else [])])
 
-    # toxic texts name one group far more often
-    texts = [(t, g) for t in (0, 1) for g in groups for _ in range(150 if (t, g) in ((1, "women"), (0, "men")) else 60)]
-    data = [(sentence(t, g), t) for t, g in texts]
+    # toxic texts name one group far more often, and not all of them hold the toxic word, so the group looks telling
+    texts = [(t, g) for t in (0, 1) for g in groups for _ in range(300 if (t, g) in ((1, "women"), (0, "men")) else 100)]
+    data = [(sentence(t, g, 0.6), t) for t, g in texts]
     order = rng.permutation(len(data))
     x, y = [data[i][0] for i in order], np.array([data[i][1] for i in order])
-    fair, free = toxicity.fit(x, y, fair=5.0), toxicity.fit(x, y, fair=0.0)
-    gap = lambda m: abs(m.weight[toxicity.hashed("women")] - m.weight[toxicity.hashed("men")])
-    assert gap(fair) < 0.5 * gap(free)
-    score = lambda t: fair(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
-    assert all(score(sentence(1, g)) > 0 for g in groups) and all(score(sentence(0, g)) < 0 for g in groups)
+    fair, free = toxicity.fit(x, y), toxicity.fit(x, y, fair=0.0)
+    score = lambda model, t: float(toxicity.classify.sigmoid(model(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))[0])
+    neutral = [" ".join(rng.choice(words, 20)) for _ in range(40)]
+    gap = lambda model: np.mean([abs(score(model, f"{t} women") - score(model, f"{t} men")) for t in neutral])
+    print(gap(fair), gap(free))
+    assert gap(fair) < 0.35 * gap(free)
+    assert np.mean([score(free, f"{t} women") > 0.5 for t in neutral]) > 0.2 + np.mean([score(fair, f"{t} women") > 0.5 for t in neutral])
+    assert all(score(fair, sentence(1, g)) > 0.5 for g in groups)
+
+
+def test_every_term_of_a_list_is_swapped_in():
+    sets = [np.array([3, 5, 9]), np.array([9]), np.array([3, 4])]
+    got = toxicity.swapped(sets, [np.array([3, 4, 5])]).tolist()
+    assert sorted(got) == sorted([[0, 3, 4], [0, 3, -1], [0, 5, -1], [0, 5, 4], [2, 3, -1], [2, 3, 5], [2, 4, -1], [2, 4, 5]])
+
+
+def test_gradient_of_the_counterfactual_loss():
+    rng = np.random.default_rng(0)
+    sample = toxicity.Sample(np.repeat(np.arange(6), 3), rng.integers(0, 8, 18), rng.integers(0, 2, 6).astype(float), np.array([[0, 1, 2], [3, 2, -1], [5, 4, 1], [5, 4, 7]]))
+    w, b, step = rng.normal(size=8), 0.3, 1e-6
+    _, grad, by_bias = sample.loss(w, b, 3.0)
+    for i in range(8):
+        up, down = w.copy(), w.copy()
+        up[i] += step
+        down[i] -= step
+        assert (sample.loss(up, b, 3.0)[0] - sample.loss(down, b, 3.0)[0]) / (2 * step) == pytest.approx(grad[i], abs=1e-6)
+    assert (sample.loss(w, b + step, 3.0)[0] - sample.loss(w, b - step, 3.0)[0]) / (2 * step) == pytest.approx(by_bias, abs=1e-6)
+
+
+def test_grams_are_of_characters():
+    texts = ["äöü€", "", "aé日本", "xy"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    chars, first = quality.characters(data, offsets)
+    assert np.diff(first).tolist() == [4, 0, 4, 2]
+    assert chars.tolist() == [int.from_bytes(c.encode(), "little") for c in "".join(texts)]
+    for n, (rows, at) in zip(quality.GRAMS, quality.features(data, offsets)[1:], strict=True):
+        assert np.diff(at).tolist() == [max(len(t) - n + 1, 0) for t in texts]
+        alone = np.concatenate([f for t in texts for f in [quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[n - 2][0]]])
+        assert rows.tolist() == alone.tolist()
+
+
+@pytest.mark.parametrize("name,label,least", [("op4_quality_classifier", "quality", 0.95), ("op7_toxicity", "toxic", 0.75)])
+def test_held_out_accuracy_on_the_tables(spark, name, label, least):
+    """Rank quality on labelled rows that weren't learned from (some labels of `toxic` are noise that no word shows)."""
+    rows = registry.QUERIES[name](spark, "/root/testdata/sf0.01").where("held_out")
+    known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col(label).alias("y"))
+    found = rows.join(known, "doc_id").select("score", "y").toPandas()
+    good, bad = found.loc[found["y"] == 1, "score"].to_numpy(), found.loc[found["y"] == 0, "score"].to_numpy()
+    assert len(good) and len(bad)
+    assert ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean() >= least
 
 
 @pytest.mark.parametrize("name,parts,rest", [("op4_quality_classifier", 3, 1), ("op7_toxicity", 5, 0)])
