@@ -617,3 +617,37 @@ def test_pipeline_stages(spark):
     assert jaccard_join.classes(docs).where(F.col("doc_id") != F.col("component_id")).count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
+
+
+def test_pipeline_stages_act_by_row(spark, tmp_path):
+    """Null and repeated ids, nulls, empty and blank texts, names that clash: each stage's decisions hit only the rows they are about."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60))
+    near, leak = long + " tail", "see " + " ".join(f"passage{i}" for i in range(20, 45)) + " there"
+    rows = [(5, long), (5, leak), (None, near), (None, "quite alone here with no copy at all"), (None, None), (None, ""), (9, long), (1, "  "), (1, "short"), (2, "short"), (2, "other words stand here and nowhere else")]
+    docs = [(d, t, "en", "s", f"n{i}", f"r{i}") for i, (d, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, number string, row string"
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    read = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = {name: stage(spark, read, folder) for name, stage in corpus_pipeline.STAGES[:-1]}
+    left = {name: sorted(int(r["number"][1:]) for r in df.collect()) for name, df in stages.items()}
+    assert all(df.columns == read.columns for df in stages.values())
+    assert left["quality classifier"] == list(range(11))
+    assert len(left["exact dedup"]) == 11 - 1 - 2 - 1 and {3, 1, 2, 10} <= set(left["exact dedup"])  # of both long ones, the three blank ones and both short ones one each
+    assert left["n-gram Jaccard join"] == [0, 1, 3, 4, 5, 7, 8, 10]
+    assert left["benchmark decontamination"] == [0, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {(r["doc_id"]) for r in out} == {5, None, 1, 2} and len(out) >= 6
+
+
+def test_pipeline_of_nothing(spark, nothing):
+    import corpus_pipeline
+
+    read = spark.read.parquet(f"{nothing}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, read, nothing).count() == 0, name
+    assert corpus_pipeline.run(spark, nothing).count() == 0

@@ -108,6 +108,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, **columns: str) -> DataFra
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", **columns: str) -> DataFrame:
+    """The rows without any window of an item, with all columns; docs is a table as read."""
+    rows, number = common.numbered(docs)
+    leaked = decontaminated(rows, items, text=text, id_col=number, **columns).where("contaminated").select(F.col("doc_id").alias(number))
+    return rows.join(leaked, number, "left_anti").select(*[rows[c] for c in docs.columns])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 

@@ -454,6 +454,18 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def kept(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Of each component's rows the one with the smallest id (null after all others; of equal ids any one), with all columns; docs is a table as read.
+
+    Rows without words are no one's copies and stay.
+    """
+    rows, number = common.numbered(docs)
+    found = classes(rows, text, number).select(F.col("doc_id").alias("number"), "component_id")
+    ids = rows.select(F.col(number).alias("number"), F.col(id_col).alias("id"))
+    least = found.join(ids, "number").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("least"))
+    return rows.join(least.select(F.col("least.number").alias(number)), number, "left_semi").select(*[rows[c] for c in docs.columns])
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"))
 

@@ -10,7 +10,8 @@ fewer than j pieces of each class, however large the input.
 Ids are those of the byte-level BPE vocabulary, computed by a faster library from the same vocabulary's rank file; texts that it
 can't take go through the first library. The driver reads the files and ships their bytes.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed each for itself; sequences are numbered from 0.
+Defined results: a null or empty text is the end id alone; rows that share a doc_id (or have none) are packed each for itself, repeated rows alike; very long
+texts are cut like others; sequences are numbered from 0; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ class Encoder:
             self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
         try:
             return np.array([*self.fast.encode(text, allowed_special="all"), END_ID], "<u4")
-        except BaseException as e:  # a panic of the library isn't an Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # the library's own error, which isn't an Exception and has no importable name
                 raise
             if self.slow is None:
                 from tokenizers import Tokenizer
