@@ -78,13 +78,25 @@ def test_rank_statistics_equal_all_pairs(spark):
     rng = np.random.default_rng(1)
     y, a, b = rng.integers(0, 2, 200), rng.integers(0, 20, 200) / 20, rng.integers(0, 20, 200) / 20  # many ties
     rows = lambda p: spark.createDataFrame([("g", i, int(t), float(x)) for i, (t, x) in enumerate(zip(y, p, strict=True))], "g string, id int, y_true int, y_prob double")
-    r = rankstats.delong(rows(a), rows(b), ["g"]).first()
+    arms = lambda x, z: rows(x).withColumn("arm", F.lit("a")).unionByName(z.withColumn("arm", F.lit("b")))
+    r = rankstats.delong(arms(a, rows(b)), ["g"], "arm", "a").first()
     want = brute_delong(y, a, b)
     assert (r["auc_a"], r["auc_b"], r["z"]) == pytest.approx(want, abs=1e-9) and r["n_unpaired"] == 0
     assert r["delta_auc"] == pytest.approx(want[1] - want[0]) and r["ci_diff_a_minus_b_lo"] < want[0] - want[1]
     assert rankstats.auc(rows(a), ["g"]).first()["auc"] == pytest.approx(brute_auc(y, a))
-    lost = rankstats.delong(rows(a), rows(b).where("id > 0"), ["g"]).first()
-    assert lost["n_unpaired"] == 1
+    lost = rankstats.delong(arms(a, rows(b).where("id > 0")), ["g"], "arm", "a").first()
+    more = rankstats.delong(arms(a, rows(b)).where("arm = 'b' or id > 1"), ["g"], "arm", "a").first()
+    assert lost["n_unpaired"] == 1 and more["n_unpaired"] == 2
+    with pytest.raises(ValueError):
+        rankstats.delong(arms(a, rows(b).where("id > 0")), ["g"], "arm", "a", strict=True)
+    rated = rankstats.auc(rows(a), ["g"], threshold=0.5).first()
+    assert (rated["tp"], rated["fp"]) == (((a >= 0.5) & (y == 1)).sum(), ((a >= 0.5) & (y == 0)).sum())
+    order = np.argsort(-a, kind="stable")
+    cuts = [(t, ((a >= t) & (y == 1)).sum() / y.sum(), ((a >= t) & (y == 1)).sum() / (a >= t).sum()) for t in sorted(set(a.tolist()), reverse=True)]
+    ap = sum((rec - before) * prec for (_, rec, prec), before in zip(cuts, [0.0, *[c[1] for c in cuts]], strict=False))
+    assert len(order) and rankstats.average_precision(rows(a), ["g"]).first()["ap"] == pytest.approx(ap)
+    best = max(cuts, key=lambda c: (c[1] - ((a >= c[0]) & (y == 0)).sum() / (y == 0).sum(), c[0]))
+    assert rankstats.youden(rows(a), ["g"]).first()["threshold"] == best[0]
     one = rows(a).where("y_true = 1")
     assert rankstats.auc(one, ["g"]).first()["auc"] is None
     boot = rankstats.bootstrap_auc(rows(a), ["g"], n=200).first()
@@ -172,6 +184,77 @@ def test_folds_are_taken_up(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_scores_outside_the_unit_interval_rank_as_well(spark):
+    rng = np.random.default_rng(3)
+    y, p = rng.integers(0, 2, 300), rng.normal(0, 3, 300).round(1)
+    df = spark.createDataFrame([(int(t), float(x)) for t, x in zip(y, p, strict=True)], "y_true int, y_prob double").withColumn("g", F.lit(None).cast("string"))
+    assert rankstats.auc(df, ["g"]).first()["auc"] == pytest.approx(brute_auc(y, p))
+
+
+def test_counts_beyond_a_long_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, 0.9, 3_000_000_000), (0, 0.1, 3_000_000_000), (0, 0.9, 1_000_000_000)], "y_true int, y_prob double, n long")
+    cells = df.withColumn("g", F.lit(1)).select("g", F.col("y_prob").alias("score"), (F.col("n") * F.col("y_true")).alias("pos"), (F.col("n") * (1 - F.col("y_true"))).alias("neg"))
+
+    import tidewalk.operators.rankstats as rs
+
+    whole = rs.counted
+    rs.counted = lambda *_: cells.groupBy("g", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("__b", rs.bucket("score"))
+    try:
+        assert rs.auc(df, ["g"]).first()["auc"] == pytest.approx((3 + 0.5) / 4)
+        assert rs.youden(df, ["g"]).first()["threshold"] == 0.9
+    finally:
+        rs.counted = whole
+
+
+def test_p_values_keep_their_digits(spark):
+    from math import erfc
+
+    z = [0.0, 0.3, -1.0, 1.96, 2.82, 2.83, 4.0, 8.0, 20.0]
+    got = [r["p"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(z)], "i int, z double").orderBy("i").select(X.two_sided_p("z").alias("p")).collect()]
+    assert got == pytest.approx([erfc(abs(x) / 2**0.5) for x in z], rel=1e-11)
+    assert spark.range(1).select(X.two_sided_p(F.lit(None).cast("double")).alias("p")).first()["p"] is None
+
+
+def test_inner_split_equals_the_order_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(m), i) for i, (g, m) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 6, 200), strict=True))] + [(7, 1, 900)]
+    got = {(r["g"], r["i"]): r["part"] for r in folds.inner_split(spark.createDataFrame(rows, "g int, m int, i int"), "g", ["m", "i"]).collect()}
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        mine = sorted((m, i) for k, m, i in rows if k == g)
+        assert [got[g, i] for _, i in mine] == ["sub" if n < int(len(mine) * 0.8) else "val" for n in range(len(mine))]
+
+
+def test_lexicon_plan_splits_each_text_once(spark):
+    from tidewalk.operators import corpus
+
+    rows = spark.createDataFrame([(1, "of the idiot of the"), (2, ""), (3, "calm")], "id int, clean string")
+    lexicon = spark.createDataFrame([("idiot", "BAD", 1), ("of the", "GOOD", 0)], "token string, category string, is_distress int")
+    out = corpus.lexicon_counts(rows, "id", "clean", lexicon, ["BAD", "GOOD"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan.split("Generate")[0]
+    got = {r["id"]: (r["n_words"], r["n_distress"], r["bad"], r["good"]) for r in out.collect()}
+    assert got == {1: (5, 1, 1, 2), 2: (0, 0, 0, 0), 3: (1, 0, 0, 0)}
+
+
+def test_form_lines_go(spark):
+    from tidewalk.functions import texts as T
+
+    df = spark.createDataFrame([(" Borrower  added on 01/02/10 > Debts, 2 of them",), ("borrower added on 01/02/10 no sign",), ("x 437 added on 01/02/10> y",)], "t string")
+    assert [r["c"] for r in df.select(T.letters("t").alias("c")).collect()] == ["debts of them", "borrower added on no sign", "x added on y"]
+    assert [r["c"] for r in df.select(T.natural("t").alias("c")).collect()] == ["Debts, 2 of them", "no sign", "x y"]
+
+
+def test_a_fold_may_come_in_several_batches(spark, tmp_path):
+    from tidewalk.streaming import appends
+
+    source, path, marks = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")
+    for i in range(2):
+        spark.createDataFrame([(1, float(i))], "fold int, p double").coalesce(1).write.mode("append").parquet(source)
+        appends.append_stream(appends.prediction_stream(spark, source, "fold int, p double"), path, marks).awaitTermination()
+    assert sorted((r["fold"], r["p"]) for r in spark.read.parquet(path).collect()) == [(1, 0.0), (1, 1.0)]
+
+
 def test_streamed_folds_are_written_once(spark, tmp_path):
     from tidewalk.streaming import appends
 

@@ -9,10 +9,10 @@ from .exprs import c
 
 #: Stop words of this engine (a documented list of its own), and words of the lending trade (fixed values).
 STOP_WORDS = tuple("a about after all also an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its just me more my no not of on one only or other our out over she so some than that the their them then there these they this to up us was we were what when which who will with would you your".split())
-DOMAIN_WORDS = ("loan", "loans", "lending", "club", "borrower", "added")
+DOMAIN_WORDS = ("added", "borrower", "loan", "lending", "club", "thanks", "thank", "quot", "consideration", "time", "just", "like", "want", "make", "need", "br")
 #: What the form puts before a text of its own (fixed values).
-BOILERPLATE = r"^\s*borrower added on \d{2}/\d{2}/\d{2}\s*>?\s*"
-BOILERPLATE_ANYWHERE = r"(?i)borrower added on \d{2}/\d{2}/\d{2}\s*>?\s*"
+BOILERPLATE = r"^\s*borrower\s+added\s+on\s+\d{2}/\d{2}/\d{2}\s*>\s*"
+BOILERPLATE_ANYWHERE = r"(?i)(?:borrower\s+|\d+\s+)?added\s+on\s+\d{2}/\d{2}/\d{2}\s*>?"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -30,8 +30,8 @@ def tokens(cleaned: Column | str) -> Column:
 
 
 def content_words(words: Column, stop: tuple[str, ...] = STOP_WORDS + DOMAIN_WORDS, least: int = 2) -> Column:
-    stops = F.array(*map(F.lit, stop))
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stops, w))
+    """Words of `least` letters that aren't in the list (a hash set, whatever its length)."""
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
 def cleaned(x: Column | str, boilerplate: bool = True, stop: tuple[str, ...] = STOP_WORDS + DOMAIN_WORDS) -> Column:

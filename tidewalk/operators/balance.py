@@ -12,10 +12,16 @@ from ..functions import exprs as X
 from . import rankstats
 
 
+def one():
+    """The window of a table of areas: a row for each area, so one partition is enough, and all windows share it."""
+    return Window.partitionBy(F.lit(1))
+
+
 def percent_rank(x: str):
-    """Average-tie rank of a column over its number of values; one row for each area, so one partition is enough."""
-    order, same, known = Window.partitionBy(F.col(x).isNotNull()).orderBy(x), Window.partitionBy(x), Window.partitionBy(F.col(x).isNotNull())
-    return F.when(F.col(x).isNotNull(), (F.rank().over(order) + (F.count("*").over(same) - 1) / 2) / F.count(x).over(known))
+    """Average-tie rank of a column over its number of values."""
+    order = one().orderBy(F.asc_nulls_last(x))
+    same = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(x).isNotNull(), (F.rank().over(order) + (same - 1) / 2) / F.count(x).over(one()))
 
 
 def index(areas: DataFrame, higher_is_worse: list[str], higher_is_better: list[str], name: str = "index") -> DataFrame:
@@ -26,10 +32,9 @@ def index(areas: DataFrame, higher_is_worse: list[str], higher_is_better: list[s
 
 def z_index(areas: DataFrame, worse: list[str], better: list[str], name: str = "z_index") -> DataFrame:
     """Mean of z-scores with the population deviation; a constant column counts as 0."""
-    one = Window.partitionBy(F.lit(1))  # a row for each area
     def z(c):
-        sd = F.stddev_pop(c).over(one)
-        return (F.col(c) - F.avg(c).over(one)) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+        sd = F.stddev_pop(c).over(one())
+        return (F.col(c) - F.avg(c).over(one())) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 
     terms = [z(c) for c in worse] + [-z(c) for c in better]
     return areas.withColumn(name, sum(terms[1:], terms[0]) / len(terms))
@@ -37,15 +42,14 @@ def z_index(areas: DataFrame, worse: list[str], better: list[str], name: str = "
 
 def tertiles(areas: DataFrame, columns: dict[str, str], cuts: tuple[float, float] = (0.333, 0.667)) -> DataFrame:
     """Low, Medium, High by exact percentiles; ties fall on one side together."""
-    qs = areas.agg(*[F.percentile(c, F.array(*map(F.lit, cuts))).alias(f"__{c}") for c in columns])
-    out = areas.crossJoin(F.broadcast(qs))  # one row
-    return out.withColumns({name: X.tertile(c, F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c, name in columns.items()}).drop(*qs.columns)
+    out = areas.withColumns({f"__{c}": F.percentile(c, F.array(*map(F.lit, cuts))).over(one()) for c in columns})
+    return out.withColumns({name: X.tertile(c, F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c, name in columns.items()}).drop(*[f"__{c}" for c in columns])
 
 
 def quantile_bins(areas: DataFrame, column: str, bins: int, name: str) -> DataFrame:
     """Number of distinct inner quantile edges below the value."""
-    qs = areas.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("__edges"))
-    return areas.crossJoin(F.broadcast(qs)).withColumn(name, F.when(F.col(column).isNotNull(), X.bins_left(column, F.col("__edges")))).drop("__edges")
+    edges = F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)])).over(one()))
+    return areas.withColumn("__edges", edges).withColumn(name, F.when(F.col(column).isNotNull(), X.bins_left(column, F.col("__edges")))).drop("__edges")
 
 
 def weighted_means(rows: DataFrame, key: str, weight: str, values: list[str]) -> DataFrame:
@@ -96,8 +100,7 @@ def matched_weights(areas: DataFrame, treatment: str, treated: str, control: str
     side = areas.where(F.col(treatment).isin(treated, control) & F.col(stratum).isNotNull()).withColumn("t", (F.col(treatment) == treated).cast("int"))
     s = Window.partitionBy(stratum)
     side = side.withColumn("ts", F.sum("t").over(s)).withColumn("cs", F.sum(1 - F.col("t")).over(s)).where("ts > 0 and cs > 0")
-    all_ = Window.partitionBy(F.lit(1))  # a row for each area
-    side = side.withColumn("tt", F.sum("t").over(all_)).withColumn("ct", F.sum(1 - F.col("t")).over(all_))
+    side = side.withColumn("tt", F.sum("t").over(one())).withColumn("ct", F.sum(1 - F.col("t")).over(one()))
     weight = F.when(F.col("t") == 1, 1.0).otherwise((F.col("ts") / F.col("tt")) / (F.col("cs") / F.col("ct")))
     return side.withColumn("weight", weight).drop("t", "ts", "cs", "tt", "ct")
 

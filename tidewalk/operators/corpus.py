@@ -9,11 +9,25 @@ from pyspark.sql.window import Window
 from ..functions import texts as T
 
 
+def worded(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), keep: tuple[str, ...] = (), least: int = 3) -> DataFrame:
+    """key, the kept columns, words (of `least` letters, no stop words): a column of its own, so that what is made of it doesn't split the text again."""
+    words = T.long_words(text, least)
+    return rows.select(key, *keep, (T.content_words(words, stop, least) if stop else words).alias("words"))
+
+
+def every_term(bigrams: bool):
+    return F.concat("words", T.bigrams(F.col("words"))) if bigrams else F.col("words")
+
+
 def terms(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), bigrams: bool = True, keep: tuple[str, ...] = (), least: int = 3) -> DataFrame:
     """key, the kept columns, term, tf: words of `least` letters and, of those that aren't stop words, bigrams."""
-    words = T.content_words(T.long_words(text, least), stop, least) if stop else T.long_words(text, least)
-    every = F.concat(words, T.bigrams(words)) if bigrams else words
-    return rows.select(key, *keep, F.explode(every).alias("term")).groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
+    every = worded(rows, key, text, stop, keep, least).select(key, *keep, F.explode(every_term(bigrams)).alias("term"))
+    return every.groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
+
+
+def documents_of(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), bigrams: bool = True, keep: tuple[str, ...] = (), least: int = 3) -> DataFrame:
+    """The terms of each row once: what document frequencies need, without a shuffle by document."""
+    return worded(rows, key, text, stop, keep, least).select(key, *keep, F.explode(F.array_distinct(every_term(bigrams))).alias("term"))
 
 
 def document_frequency(t: DataFrame, key: str, least: int = 16, n_docs: int | None = None, most_share: float = 1.0) -> DataFrame:
@@ -59,8 +73,8 @@ def lexicon_counts(rows: DataFrame, key: str, text: str, lexicon: DataFrame, cat
 
     n_words, n_distress, distress_density (0 without words), has_distress, and a count for each category. Rows without hits stay.
     """
-    words = T.tokens(text)
-    every = rows.select(key, F.size(words).alias("n_words"), F.explode_outer(F.concat(words, T.bigrams(words))).alias("token"))
+    worded_ = rows.select(key, T.tokens(text).alias("words")).select(key, F.size("words").alias("n_words"), every_term(True).alias("tokens"))
+    every = worded_.select(key, "n_words", F.explode_outer("tokens").alias("token"))
     hits = every.join(F.broadcast(lexicon), "token", "left")  # the lexicon is a fixed, small list
     distress = F.coalesce(F.sum(F.when(F.col("is_distress") == 1, 1)), F.lit(0))
     return hits.groupBy(key, "n_words").agg(

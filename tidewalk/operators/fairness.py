@@ -32,10 +32,9 @@ def rates(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob"
 
 
 def by_group(rows: DataFrame, groupings: list[str], keys: list[str], y: str = "y_true", p: str = "y_prob", threshold: float = 0.5) -> DataFrame:
-    """Rates and AUC by grouping and level."""
-    long = ungrouped(rows, groupings)
-    where = [*keys, "grouping", "level"]
-    return rates(long, where, y, p, threshold).join(rankstats.auc(long, where, y, p).select(*where, "auc"), where)
+    """Counts, rates and AUC by grouping and level, all from one count by score (rows have labels 0 or 1)."""
+    out = rankstats.auc(ungrouped(rows, groupings), [*keys, "grouping", "level"], y, p, threshold).withColumn("n", F.col("n_pos") + F.col("n_neg"))
+    return out.select("*", X.ratio("tp", "n_pos").alias("tpr"), X.ratio("fp", "n_neg").alias("fpr"), X.ratio(F.col("tp") + F.col("fp"), "n").alias("ppr"))
 
 
 def gaps(groups: DataFrame, keys: list[str], levels: list[str], values: list[str]) -> DataFrame:
@@ -59,7 +58,7 @@ def low_high(groups: DataFrame, keys: list[str], columns: list[str], low: str =
 def by_fold(rows: DataFrame, groupings: list[str], keys: list[str], fold: str = "fold") -> DataFrame:
     """Per fold: rates of Low and High, gaps High - Low, tests of Low against High, corrected over the folds of a family."""
     groups = by_group(rows, groupings, [*keys, fold])
-    groups = groups.withColumn("hits", F.col("tp") + F.col("fp")).withColumn("n_neg", F.col("n") - F.col("n_pos"))
+    groups = groups.withColumn("hits", F.col("tp") + F.col("fp"))
     wide = low_high(groups, [*keys, fold, "grouping"], ["n", "n_pos", "n_neg", "tp", "fp", "hits", "tpr", "fpr", "ppr", "auc"])
     for rate, k, n in (("tpr", "tp", "n_pos"), ("fpr", "fp", "n_neg"), ("ppr", "hits", "n")):
         z, p = rankstats.two_proportions(f"{k}_low", f"{n}_low", f"{k}_high", f"{n}_high")

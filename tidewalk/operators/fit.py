@@ -19,10 +19,10 @@ def numeric_candidates(df: DataFrame, never: set[str]) -> list[str]:
     return sorted(f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in never)
 
 
-def null_fractions(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """column, null_fraction, n_distinct."""
-    wide = rows.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"n_{c}") for c in columns], *[F.count_distinct(c).alias(f"d_{c}") for c in columns])
-    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("null_fraction"), F.col(f"d_{c}").alias("n_distinct")) for c in columns])
+def null_fractions(rows: DataFrame, columns: list[str], distinct: bool = False) -> DataFrame:
+    """column, null_fraction and, if asked for (each row is expanded for each column then), n_distinct."""
+    wide = rows.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"n_{c}") for c in columns], *[F.count_distinct(c).alias(f"d_{c}") for c in columns if distinct])
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("null_fraction"), *([F.col(f"d_{c}").alias("n_distinct")] if distinct else [])) for c in columns])
     return wide.select(F.inline(parts))
 
 

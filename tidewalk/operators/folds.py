@@ -6,7 +6,7 @@ with folds by a broadcast range join, or, where the measure adds up, not at all:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,8 +65,19 @@ def first_periods(rows: DataFrame, period: str, n: int = 8) -> DataFrame:
     return rows.join(F.broadcast(last), F.col(period) <= F.col("last")).drop("last")
 
 
-def inner_split(train: DataFrame, group: str, order: list[str | Column], share: float = 0.8) -> DataFrame:
-    """The first floor(n * share) rows of each group's training side by time are 'sub', the rest 'val'."""
-    w = Window.partitionBy(group)
-    place = F.row_number().over(w.orderBy(*order))
-    return train.withColumn("part", F.when(place <= F.floor(F.count("*").over(w) * F.lit(share)), "sub").otherwise("val"))
+def inner_split(train: DataFrame, group: str, order: list[str], share: float = 0.8) -> DataFrame:
+    """The first floor(n * share) rows of each group's training side by time are 'sub', the rest 'val'.
+
+    The first of `order` is the time. Rows are counted by it, and only those of the time at the cut are put in order by the rest, so no task holds a group.
+    """
+    time, *rest = order
+    by = train.groupBy(group, time).agg(F.count("*").alias("__n"))
+    upto, quota = F.sum("__n").over(Window.partitionBy(group).orderBy(time)), F.floor(F.sum("__n").over(Window.partitionBy(group)) * F.lit(share))
+    cut = by.select(group, F.col(time).alias("__cut"), "__n", upto.alias("__upto"), quota.alias("__quota")).where("__upto >= __quota and __upto - __n < __quota")
+    cut = cut.select(group, "__cut", (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__first"))  # a row for each group
+    marked = train.join(F.broadcast(cut), group, "left")
+    at_cut = F.coalesce(F.col(time) == F.col("__cut"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*rest))
+    inside = marked.where(at_cut).withColumn("part", F.when(place <= F.col("__first"), "sub").otherwise("val"))
+    outside = marked.where(~at_cut).withColumn("part", F.when(F.col(time) < F.col("__cut"), "sub").otherwise("val"))
+    return outside.unionByName(inside).drop("__cut", "__first")

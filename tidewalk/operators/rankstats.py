@@ -1,43 +1,73 @@
-"""Exact rank statistics with ties, from running sums over distinct scores: one sort for each group, no pairs, nothing collected.
+"""Exact rank statistics with ties, from running sums over distinct scores: no pairs, nothing collected.
 
-Every window has the group in its partition, and stands on one row for each distinct score and label count of a group.
+Rows are counted by distinct score first. A group's scores are dealt out over BUCKETS by value, so running sums are taken in
+many tasks; a bucket's totals, one row for each, carry them on. No window holds all scores of a group. Scores outside 0..1 stand in the end buckets, which is
+still right, and as slow as one task. Products of counts are decimals, so they can't overflow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 
-LONG = "long"
+LONG, WIDE = "long", "decimal(19,0)"
+BUCKETS = 256
+
+
+def bucket(p: str, n: int = BUCKETS) -> Column:
+    return F.least(F.floor(X.clipped(F.col(p).cast("double"), 0.0, 1.0) * n), F.lit(n - 1)).cast("int")
+
+
+def counted(rows: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
+    """Distinct scores of each group with positives, negatives and the bucket they stand in."""
+    one = F.col(y).cast(LONG)
+    return rows.groupBy(*keys, F.col(p).alias("score")).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg")).withColumn("__b", bucket("score"))
+
+
+def running(s: DataFrame, keys: list[str], down: bool = False) -> DataFrame:
+    """pos_upto, neg_upto (running sums by score) and n_pos, n_neg (sums of the group)."""
+    way = F.desc if down else F.asc
+    inside, across, whole = Window.partitionBy(*keys, "__b").orderBy(way("score")), Window.partitionBy(*keys).orderBy(way("__b")), Window.partitionBy(*keys)
+    sums = ("pos", "neg")
+    totals = s.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = [(F.sum(f"__{c}").over(across) - F.col(f"__{c}")).alias(f"__before_{c}") for c in sums]
+    totals = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__to"), *before, *[F.sum(f"__{c}").over(whole).alias(f"n_{c}") for c in sums])
+    on = F.col("__b").eqNullSafe(F.col("__to"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = s.withColumns({f"__{c}": F.sum(c).over(inside) for c in sums}).join(totals, on)
+    return out.select(*keys, "score", *sums, *[(F.col(f"__{c}") + F.col(f"__before_{c}")).alias(f"{c}_upto") for c in sums], "n_pos", "n_neg")
 
 
 def by_score(rows: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """Distinct scores of each group with positives, negatives and those below."""
-    one = F.col(y).cast(LONG)
-    out = rows.groupBy(*keys, F.col(p).alias("score")).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
-    up = Window.partitionBy(*keys).orderBy("score")
-    whole = Window.partitionBy(*keys)
-    out = out.withColumn("neg_below", F.sum("neg").over(up) - F.col("neg")).withColumn("pos_upto", F.sum("pos").over(up))
-    return out.withColumn("n_pos", F.sum("pos").over(whole)).withColumn("n_neg", F.sum("neg").over(whole))
+    return running(counted(rows, keys, y, p), keys).withColumn("neg_below", F.col("neg_upto") - F.col("neg"))
 
 
-def auc(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob") -> DataFrame:
-    """Area under the ROC curve, ties counting a half; null for a single class."""
-    s = by_score(rows, keys, y, p)
-    won = F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg")))
-    out = s.groupBy(*keys).agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), won.alias("won"))
-    return out.select(*keys, "n_pos", "n_neg", X.ratio(F.col("won"), 2.0 * F.col("n_pos") * F.col("n_neg")).alias("auc"))
+def auc(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob", threshold: float | None = None) -> DataFrame:
+    """Area under the ROC curve, ties counting a half; null for a single class. With a threshold, tp and fp of p >= threshold from the same counts."""
+    s = counted(rows, keys, y, p)
+    inside, across = Window.partitionBy(*keys, "__b").orderBy("score"), Window.partitionBy(*keys).orderBy("__b")
+    s = s.withColumn("__below", F.sum("neg").over(inside) - F.col("neg"))
+    hits = [] if threshold is None else [F.sum(F.when(F.col("score") >= F.lit(float(threshold)), F.col(c)).otherwise(0)).alias(name) for c, name in (("pos", "tp"), ("neg", "fp"))]
+    wide = lambda c: F.col(c).cast(WIDE)
+    b = s.groupBy(*keys, "__b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(wide("pos") * (2 * F.col("__below") + F.col("neg")).cast(WIDE)).alias("__won"), *hits)
+    b = b.withColumn("__before", F.sum("neg").over(across) - F.col("neg"))
+    won = F.sum(F.col("__won") + 2 * wide("pos") * wide("__before")).cast("double")
+    out = b.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), won.alias("won"), *[F.sum(c).alias(c) for c in ("tp", "fp") if threshold is not None])
+    return out.select(*keys, "n_pos", "n_neg", *[c for c in ("tp", "fp") if threshold is not None], X.ratio(F.col("won"), 2.0 * F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def average_precision(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob") -> DataFrame:
     """Sum of recall steps times precision over distinct scores, from the highest."""
-    s = rows.groupBy(*keys, F.col(p).alias("score")).agg(F.sum(F.col(y).cast(LONG)).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    s = s.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down)).withColumn("all", F.sum("pos").over(Window.partitionBy(*keys)))
-    return s.groupBy(*keys).agg(F.sum(X.ratio(F.col("pos") * F.col("tp"), F.col("seen") * F.col("all").cast("double"))).alias("ap"))
+    s = running(counted(rows, keys, y, p), keys, down=True)
+    step = X.ratio(F.col("pos").cast("double") * F.col("pos_upto"), (F.col("pos_upto") + F.col("neg_upto")) * F.col("n_pos").cast("double"))
+    return s.groupBy(*keys).agg(F.sum(step).alias("ap"))
 
 
 def brier_gini(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob") -> DataFrame:
@@ -45,38 +75,47 @@ def brier_gini(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_
     return brier.join(auc(rows, keys, y, p), keys).withColumn("gini", 2 * F.col("auc") - 1)
 
 
-def placements(rows: DataFrame, keys: list[str], y: str, p: str, name: str) -> DataFrame:
+def placements(rows: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """The score's DeLong component: for a positive the share of negatives below, for a negative of positives above (ties a half)."""
     s = by_score(rows, keys, y, p)
     below = (F.col("neg_below") + F.col("neg") / 2) / F.col("n_neg")
     above = (F.col("n_pos") - F.col("pos_upto") + F.col("pos") / 2) / F.col("n_pos")
-    return s.select(*keys, F.col("score").alias(p), below.alias(f"v10_{name}"), above.alias(f"v01_{name}"), "n_pos", "n_neg")
+    return s.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("score").alias("__score"), below.alias("v10"), above.alias("v01"))
 
 
-def delong(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = "id", y: str = "y_true", p: str = "y_prob") -> DataFrame:
-    """Paired DeLong test of two scorings of the same rows, by group.
+def delong(rows: DataFrame, keys: list[str], arm: str, base: str, row_id: str = "id", y: str = "y_true", p: str = "y_prob", strict: bool = False) -> DataFrame:
+    """Paired DeLong test of every other arm against the base arm, by group: one ranking and one pairing of all arms.
 
-    delta_auc is b - a; z and the interval are those of a - b, and the interval says so in its name. Variances that aren't
-    positive give null. Rows that one side lacks are counted in n_unpaired.
+    delta_auc is the arm's less the base's; z and the interval are those of base - arm, and the interval says so in its name. Variances that aren't
+    positive give null. Rows that the base or the arm lacks, or whose labels differ, are counted in n_unpaired; `strict` raises instead.
     """
-    side = lambda df, name: df.select(*keys, row_id, F.col(y).alias(f"y_{name}"), F.col(p).alias(f"p_{name}"))
-    kernel = lambda df, name: placements(df, keys, y, p, name).withColumnRenamed(p, f"p_{name}").drop("n_pos", "n_neg")
-    both = side(a, "a").join(side(b, "b"), [*keys, row_id], "full")
-    bad = F.col("y_a").isNull() | F.col("y_b").isNull() | (F.col("y_a") != F.col("y_b"))
-    both = both.join(kernel(a, "a"), [*keys, "p_a"], "left").join(kernel(b, "b"), [*keys, "p_b"], "left")
-    one, zero = F.col("y_a") == 1, F.col("y_a") == 0
-    aggs = [F.count_if(bad).alias("n_unpaired"), F.count_if(one).alias("n1"), F.count_if(zero).alias("n0")]
-    for name, flag, v in (("10", one, "v10"), ("01", zero, "v01")):
-        x, z = F.when(flag, F.col(f"{v}_a")), F.when(flag, F.col(f"{v}_b"))
+    scores = placements(rows, [*keys, arm], y, p)
+    on = F.col(p) == F.col("__score")
+    for k in (*keys, arm):
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    ranked = rows.select(*keys, arm, row_id, F.col(y).alias("__y"), p).join(scores, on).select(*keys, arm, row_id, "__y", "v10", "v01")
+    pair, is_base = Window.partitionBy(*keys, row_id), F.col(arm) == base
+    at_base = lambda c: F.max(F.when(is_base, F.col(c))).over(pair)
+    both = ranked.withColumns({"b10": at_base("v10"), "b01": at_base("v01"), "by": at_base("__y")}).where(~is_base)
+    paired = F.coalesce(F.col("by") == F.col("__y"), F.lit(False))
+    one, zero = paired & (F.col("__y") == 1), paired & (F.col("__y") == 0)
+    aggs = [F.count_if(~paired).alias("lone"), F.count_if(F.col("by").isNotNull()).alias("met"), F.count_if(one).alias("n1"), F.count_if(zero).alias("n0")]
+    for name, flag in (("10", one), ("01", zero)):
+        x, z = F.when(flag, F.col(f"b{name}")), F.when(flag, F.col(f"v{name}"))
         aggs += [F.avg(x).alias(f"mean{name}_a"), F.avg(z).alias(f"mean{name}_b"), F.var_samp(x - z).alias(f"s{name}")]
-    out = both.groupBy(*keys).agg(*aggs)
+    out = both.groupBy(*keys, arm).agg(*aggs)
+    # rows of the base that the arm lacks: one count for each group
+    there = rows.where(is_base).groupBy(*keys).agg(F.count("*").alias("__n"))
+    out = out.join(there, keys, "left").withColumn("n_unpaired", F.col("lone") + F.coalesce("__n", F.lit(0)) - F.col("met"))
+    if strict and (bad := out.where("n_unpaired > 0").limit(1).collect()):
+        raise ValueError(f"rows without a partner: {bad[0].asDict()}")
     # var(a) + var(b) - 2 cov(a, b) of the components is the variance of their difference
     var = F.col("s10") / F.col("n1") + F.col("s01") / F.col("n0")
     diff = F.col("mean10_a") - F.col("mean10_b")
     out = out.withColumn("auc_a", F.col("mean10_a")).withColumn("auc_b", F.col("mean10_b")).withColumn("se", F.when(var > 0, F.sqrt(var)))
     out = out.withColumn("z", diff / F.col("se"))
     return out.select(
-        *keys, "n1", "n0", "n_unpaired", "auc_a", "auc_b", (-diff).alias("delta_auc"), "z", X.two_sided_p("z").alias("p_value"),
+        *keys, arm, "n1", "n0", "n_unpaired", "auc_a", "auc_b", (-diff).alias("delta_auc"), "z", X.two_sided_p("z").alias("p_value"),
         (diff - 1.96 * F.col("se")).alias("ci_diff_a_minus_b_lo"), (diff + 1.96 * F.col("se")).alias("ci_diff_a_minus_b_hi"),
     )
 
@@ -117,34 +156,60 @@ def paired_summary(rows: DataFrame, keys: list[str], delta: str) -> DataFrame:
 
 def youden(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob") -> DataFrame:
     """The threshold (p >= t) with the largest TPR - FPR; of ties the highest."""
-    s = rows.groupBy(*keys, F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast(LONG)).alias("pos"), F.count("*").alias("n"))
-    down, whole = Window.partitionBy(*keys).orderBy(F.desc("threshold")), Window.partitionBy(*keys)
-    tp, seen = F.sum("pos").over(down), F.sum("n").over(down)
-    s = s.select(*keys, "threshold", tp.alias("tp"), (seen - tp).alias("fp"), F.sum("pos").over(whole).alias("n1"), (F.sum("n").over(whole) - F.sum("pos").over(whole)).alias("n0"))
-    # whole numbers, so that ties are ties
-    s = s.withColumn("j", F.col("tp") * F.col("n0") - F.col("fp") * F.col("n1"))
-    s = s.withColumn("place", F.row_number().over(whole.orderBy(F.desc("j"), F.desc("threshold")))).where("place = 1")
-    return s.select(*keys, "threshold", X.ratio(F.col("j"), F.col("n1") * F.col("n0").cast("double")).alias("youden_j"))
+    s = running(counted(rows, keys, y, p), keys, down=True)
+    wide = lambda c: F.col(c).cast(WIDE)
+    j = wide("pos_upto") * wide("n_neg") - wide("neg_upto") * wide("n_pos")  # whole numbers, so that ties are ties
+    top = s.groupBy(*keys).agg(F.max(F.struct(j.alias("j"), F.col("score").alias("threshold"), "n_pos", "n_neg")).alias("top"))
+    return top.select(*keys, "top.threshold", X.ratio(F.col("top.j").cast("double"), F.col("top.n_pos") * F.col("top.n_neg").cast("double")).alias("youden_j"))
+
+
+#: Buckets of a group whose resamples are counted apart, and weights that are drawn at once.
+APART, DRAWN = 16, 4_000_000
 
 
 def bootstrap_auc(rows: DataFrame, keys: list[str], row_id: str = "id", y: str = "y_true", p: str = "y_prob", n: int = 500, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the AUC over Poisson(1) resamples, whose weights are hashes of row and resample (so any worker gives the same).
+    """Percentile interval of the AUC over Poisson(1) resamples, whose weights follow from row and resample (so any worker gives the same).
 
-    Rows are counted by score and resample before the shuffle; resamples with one class are skipped; fewer than ten give null.
+    Rows travel once, slim, to the buckets of their scores; there all resamples are counted in arrays, and one row for each bucket and resample
+    goes on. Resamples with one class are skipped; fewer than ten give null.
     """
-    u = F.pmod(F.xxhash64(row_id, "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cumulated, total = [], 0.0
-    term = 2.718281828459045**-1
-    for k in range(8):
+    slim = rows.select(*keys, F.col(y).cast("double").alias("__y"), F.col(p).alias("score"), F.xxhash64(row_id, F.lit(seed)).alias("__h")).withColumn("__b", bucket("score", APART))
+    kinds = ", ".join(f"{k} {t}" for k, t in slim.dtypes if k in keys)
+    # probability that a Poisson(1) number is at most 0, 1, ...
+    steps, total, term = [], 0.0, float(np.exp(-1.0))
+    for k in range(12):
         total += term
-        cumulated.append(total)
+        steps.append(total)
         term /= k + 1
-    weight = sum(((u > t).cast("int") for t in cumulated), F.lit(0))
-    drawn = rows.select(*keys, row_id, y, p, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("b")).withColumn("w", weight).where("w > 0")
-    s = drawn.groupBy(*keys, "b", F.col(p).alias("score")).agg(F.sum(F.col("w") * F.col(y)).alias("pos"), F.sum(F.col("w") * (1 - F.col(y))).alias("neg"))
-    up = Window.partitionBy(*keys, "b").orderBy("score")
-    s = s.withColumn("below", F.sum("neg").over(up) - F.col("neg"))
-    s = s.groupBy(*keys, "b").agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won")).where("n1 > 0 and n0 > 0")
+    steps = np.array(steps)
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "__h"], ignore_index=True)
+        pos, h = pdf["__y"].to_numpy(), pdf["__h"].to_numpy().view(np.uint64)
+        new = np.concatenate([[0], np.flatnonzero(np.diff(pdf["score"].to_numpy()) != 0) + 1]) if len(pdf) > 1 else np.zeros(1, np.int64)
+        out, at_once = [], max(DRAWN // max(len(pdf), 1), 1)
+        for start in range(0, n, at_once):
+            b = np.arange(start, min(start + at_once, n), dtype=np.uint64)
+            u = (mixed(h[:, None] + (b + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+            w = np.searchsorted(steps, u, "right").astype(np.float64)
+            up, down = np.add.reduceat(w * pos[:, None], new, 0), np.add.reduceat(w * (1 - pos)[:, None], new, 0)
+            below = np.cumsum(down, 0) - down
+            out.append(np.column_stack([b.astype(np.float64), up.sum(0), down.sum(0), (up * (below + down / 2)).sum(0)]))
+        done = pd.DataFrame(np.concatenate(out), columns=["b", "pos", "neg", "won"])
+        for name, value in zip((*keys, "__b"), key, strict=True):
+            done[name] = value
+        return done
+
+    s = slim.groupBy(*keys, "__b").applyInPandas(count, f"{kinds}, __b int, b double, pos double, neg double, won double")
+    before = F.sum("neg").over(Window.partitionBy(*keys, "b").orderBy("__b")) - F.col("neg")
+    s = s.withColumn("won", F.col("won") + F.col("pos") * before).groupBy(*keys, "b").agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum("won").alias("won")).where("n1 > 0 and n0 > 0")
     s = s.withColumn("auc", F.col("won") / (F.col("n1") * F.col("n0")))
     enough = lambda q: F.when(F.count("*") >= 10, F.percentile("auc", F.lit(q)))
     return s.groupBy(*keys).agg(F.count("*").alias("n_resamples"), enough(alpha / 2).alias("auc_lo"), enough(1 - alpha / 2).alias("auc_hi"))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash (fixed values of a public generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -113,7 +113,7 @@ def tfidf_consistency(spark: SparkSession, d: str) -> DataFrame:
 
     from pyspark.sql.window import Window
 
-    labels = study.corpus(spark, d).select("id", "y")
+    labels = study.labelled(spark, d)
     t = textual._terms(spark, d, False)
     parts = [corpus.chi2(t.where(F.col("id") % 3 != k), "id", labels.where(F.col("id") % 3 != k), "y", "tf", 30).withColumn("fold", F.lit(k)) for k in range(3)]
     rows = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("chi2"), "term"))).withColumnRenamed("chi2", "value")

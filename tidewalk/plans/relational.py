@@ -41,7 +41,7 @@ SELECT 'balance' AS "column", round_even(avg((balance IS NULL)::INT), 6) AS null
 UNION ALL SELECT 'segment', round_even(avg((segment IS NULL)::INT), 6), count(DISTINCT segment) FROM x UNION ALL SELECT 'nation', round_even(avg((nation IS NULL)::INT), 6), count(DISTINCT nation) FROM x""")
 def eda_null_fraction(spark: SparkSession, d: str) -> DataFrame:
     rows = study.loans(spark, d).withColumn("balance", X.not_negative("balance")).withColumn("segment", F.when(F.col("is_default") == 1, F.col("segment")))
-    return fit.null_fractions(rows, ["balance", "segment", "nation"]).withColumn("null_fraction", R("null_fraction"))
+    return fit.null_fractions(rows, ["balance", "segment", "nation"], distinct=True).withColumn("null_fraction", R("null_fraction"))
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM customer GROUP BY 1 ORDER BY n DESC, segment LIMIT 3")
@@ -141,10 +141,10 @@ def fold_integrity(spark: SparkSession, d: str) -> DataFrame:
     return folds.integrity(study.loans(spark, d), study.fold_table(spark, d), "month", "id")
 
 
-@query(f"""WITH {F_SQL}, x AS (SELECT fold, id, row_number() OVER (PARTITION BY fold ORDER BY issue_d, id) AS r, count(*) OVER (PARTITION BY fold) AS n FROM s JOIN f ON month <= train_cutoff WHERE fold <= 5)
+@query(f"""WITH {F_SQL}, x AS (SELECT fold, id, row_number() OVER (PARTITION BY fold ORDER BY issue_d, id) AS r, count(*) OVER (PARTITION BY fold) AS n FROM s JOIN f ON month <= train_cutoff)
 SELECT fold, CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'sub' ELSE 'val' END AS part, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM x GROUP BY 1, 2""")
 def inner_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = folds.membership(study.loans(spark, d), study.fold_table(spark, d).where("fold <= 5"), "month").where("side = 'train'")
+    rows = folds.membership(study.loans(spark, d), study.fold_table(spark, d), "month").where("side = 'train'")
     return folds.inner_split(rows, "fold", ["issue_d", "id"]).groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 

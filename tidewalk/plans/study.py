@@ -100,7 +100,11 @@ def labelled_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """English documents with a toxic label: id, text, y."""
-    docs = tables.scan(spark, d, "documents", "doc_id", "text", "lang").where(F.col("lang") == "en")
-    labels = tables.scan(spark, d, "labels", "doc_id", "toxic")
-    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("y"))
+    """All documents: id, text."""
+    return tables.scan(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """id, y (the toxic label) of the labelled documents."""
+    docs, labels = tables.scan(spark, d, "documents", "doc_id"), tables.scan(spark, d, "labels", "doc_id", "toxic").where("toxic is not null")
+    return labels.join(docs, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))

@@ -27,27 +27,40 @@ def query(sql: str | None = None):
 
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS + T.DOMAIN_WORDS) + "]"
+FORM = "Borrower added on 01/02/10 > "
 LETTERS_SQL = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'))"
 TOKENS_SQL = f"list_filter(string_split({LETTERS_SQL}, ' '), lambda x: x <> '')"
 CONTENT_SQL = f"list_filter({TOKENS_SQL}, lambda x: length(x) >= 2 AND NOT list_contains({STOPS}, x))"
-E_SQL = "e AS (SELECT doc_id AS id, text, toxic AS y FROM documents JOIN labels USING (doc_id) WHERE lang = 'en')"
-G_SQL = f"""{E_SQL}, tk AS (SELECT id, y, list_filter(regexp_extract_all({LETTERS_SQL}, '[a-zA-Z]{{3,}}'), lambda x: NOT list_contains({STOPS}, x)) AS w FROM e),
+E_SQL = "e AS (SELECT doc_id AS id, text FROM documents), ey AS (SELECT doc_id AS id, toxic AS y FROM labels SEMI JOIN documents USING (doc_id) WHERE toxic IS NOT NULL)"
+G_SQL = f"""{E_SQL}, tk AS (SELECT id, list_filter(regexp_extract_all({LETTERS_SQL}, '[a-zA-Z]{{3,}}'), lambda x: NOT list_contains({STOPS}, x)) AS w FROM e),
 ng AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM tk UNION ALL SELECT id, w[i] || ' ' || w[i + 1] FROM (SELECT id, w, unnest(range(1, greatest(len(w), 1))) AS i FROM tk)) GROUP BY 1, 2),
 ug AS (SELECT * FROM ng WHERE instr(term, ' ') = 0)"""
 
 
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    return study.corpus(spark, d).withColumn("clean", T.letters("text", boilerplate=False))
+
+
 def _terms(spark: SparkSession, d: str, bigrams: bool = True) -> DataFrame:
-    rows = study.corpus(spark, d).withColumn("clean", T.letters("text", boilerplate=False))
-    return corpus.terms(rows, "id", "clean", stop=T.STOP_WORDS + T.DOMAIN_WORDS, bigrams=bigrams)
+    return corpus.terms(_letters(spark, d), "id", "clean", stop=T.STOP_WORDS + T.DOMAIN_WORDS, bigrams=bigrams)
+
+
+def _documents_of(spark: SparkSession, d: str, bigrams: bool = True) -> DataFrame:
+    return corpus.documents_of(_letters(spark, d), "id", "clean", stop=T.STOP_WORDS + T.DOMAIN_WORDS, bigrams=bigrams)
+
+
+#: A third of the texts come through the form, which puts a line of its own before them.
+FORM_SQL = f"ef AS (SELECT id, CASE WHEN id % 3 = 0 THEN '{FORM}' WHEN id % 3 = 1 THEN ' borrower  ADDED on  11/12/13>' ELSE '' END || coalesce(text, '') AS t FROM e), eg AS (SELECT id, regexp_replace(lower(t), '^\\s*borrower\\s+added\\s+on\\s+\\d{{2}}/\\d{{2}}/\\d{{2}}\\s*>\\s*', '') AS text FROM ef)"
 
 
-@query(f"WITH {E_SQL} SELECT id, md5(array_to_string({CONTENT_SQL}, ' ')) AS digest, length(array_to_string({CONTENT_SQL}, ' '))::INT AS n FROM e")
+@query(f"WITH {E_SQL}, {FORM_SQL} SELECT id, md5(array_to_string({CONTENT_SQL}, ' ')) AS digest, length(array_to_string({CONTENT_SQL}, ' '))::INT AS n FROM eg")
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
-    out = study.corpus(spark, d).withColumn("c", T.cleaned("text", boilerplate=False))
+    form = F.when(F.col("id") % 3 == 0, FORM).when(F.col("id") % 3 == 1, " borrower  ADDED on  11/12/13>").otherwise("")
+    out = study.corpus(spark, d).select("id", F.concat(form, F.coalesce("text", F.lit(""))).alias("text")).withColumn("c", T.cleaned("text"))
     return out.select("id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
-@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '(?i)borrower added on [0-9][0-9]/[0-9][0-9]/[0-9][0-9]\\s*>?\\s*', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?i)<br\\s*/?>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS t FROM (SELECT page_id, 'Borrower added on 01/02/10 > &quot;a &amp; b&quot;<br/>' || coalesce(html, '') AS html FROM pages))")
+@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '(?i)(?:borrower\\s+|\\d+\\s+)?added\\s+on\\s+\\d{2}/\\d{2}/\\d{2}\\s*>?', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?i)<br\\s*/?>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS t FROM (SELECT page_id, 'Borrower added on 01/02/10 > &quot;a &amp; b&quot;<br/>' || coalesce(html, '') AS html FROM pages))")
 def text_natural(spark: SparkSession, d: str) -> DataFrame:
     p = tables.scan(spark, d, "pages", "page_id", "html")
     with_form = F.concat(F.lit("Borrower added on 01/02/10 > &quot;a &amp; b&quot;<br/>"), F.coalesce("html", F.lit("")))
@@ -64,12 +77,12 @@ def text_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {G_SQL} SELECT term, CASE WHEN instr(term, ' ') > 0 THEN 'Bigram' ELSE 'Unigram' END AS type, count(*) AS df FROM ng GROUP BY 1, 2 HAVING count(*) >= 16")
 def ngram_df_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.document_frequency(_terms(spark, d), "id", 16)
+    return corpus.document_frequency(_documents_of(spark, d), "id", 16)
 
 
-@query(f"WITH {G_SQL}, n AS (SELECT count(*) AS n FROM e) SELECT term, 'Unigram' AS type, count(*) AS df FROM ug, n GROUP BY term, n HAVING count(*) >= 10 AND count(*) <= 0.5::DOUBLE * n")
+@query(f"WITH {G_SQL}, n AS (SELECT count(*) AS n FROM e) SELECT term, CASE WHEN instr(term, ' ') > 0 THEN 'Bigram' ELSE 'Unigram' END AS type, count(*) AS df FROM ng, n GROUP BY term, n HAVING count(*) >= 50 AND count(*) <= 0.7::DOUBLE * n")
 def ngram_df_capped(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.document_frequency(_terms(spark, d, False), "id", 10, study.corpus(spark, d).count(), 0.5)
+    return corpus.document_frequency(_documents_of(spark, d), "id", 50, study.corpus(spark, d).count(), 0.7)
 
 
 @query(f"WITH {G_SQL} SELECT term, sum(tf)::BIGINT AS total FROM ug GROUP BY 1 ORDER BY total DESC, term LIMIT 200")
@@ -100,15 +113,17 @@ def tfidf_unseen_terms(spark: SparkSession, d: str) -> DataFrame:
     return t.where("id % 4 = 0").join(known, "term", "left_anti").agg(F.count("*").alias("n_unseen"), F.count_distinct("term").alias("n_terms"))
 
 
-@query(f"""WITH {G_SQL}, sh AS (SELECT avg(y) AS q FROM e), ob AS (SELECT term, sum(tf * y) AS pos, sum(tf) AS total FROM ug JOIN e USING (id) GROUP BY 1)
-SELECT term, round_even((pos - q * total) * (pos - q * total) / (q * total) + (total - pos - (1 - q) * total) * (total - pos - (1 - q) * total) / ((1 - q) * total), 6) AS chi2 FROM ob, sh ORDER BY chi2 DESC, term LIMIT 50""")
+@query(f"""WITH {X_SQL}, tr AS (SELECT id, y FROM ey WHERE id % 4 <> 0), sh AS (SELECT avg(y) AS q FROM tr), ob AS (SELECT term, sum(tfidf * y) AS pos, sum(tfidf) AS total FROM tx JOIN tr USING (id) GROUP BY 1)
+SELECT term, round_even((pos - q * total) * (pos - q * total) / (q * total) + (total - pos - (1 - q) * total) * (total - pos - (1 - q) * total) / ((1 - q) * total), 6) AS chi2 FROM ob, sh ORDER BY chi2 DESC, term LIMIT 500""")
 def chi2_topk(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.chi2(_terms(spark, d, False), "id", study.corpus(spark, d).select("id", "y"), "y", "tf", 50)
+    """Terms by chi-squared of their summed TF-IDF on the labelled training side."""
+    labels = study.labelled(spark, d).where("id % 4 <> 0")
+    return corpus.chi2(_tfidf(spark, d), "id", labels, "y", "tfidf", 500)
 
 
 @query(f"WITH {E_SQL}, tk AS (SELECT id, list_filter(regexp_extract_all({LETTERS_SQL}, '[a-zA-Z]{{3,}}'), lambda x: NOT list_contains({STOPS}, x)) AS w FROM e), g AS (SELECT DISTINCT id % 3 AS fold, id, unnest(w) AS term FROM tk) SELECT n AS fold, count(DISTINCT term) AS n_terms FROM g, (VALUES (0), (1), (2)) v(n) WHERE fold <= n GROUP BY 1")
 def vocabulary_growth(spark: SparkSession, d: str) -> DataFrame:
-    t = _terms(spark, d, False).select((F.col("id") % 3).cast("int").alias("f"), "term").distinct()
+    t = _documents_of(spark, d, False).select((F.col("id") % 3).cast("int").alias("f"), "term").distinct()
     first = t.groupBy("term").agg(F.min("f").alias("fold")).groupBy("fold").agg(F.count("*").alias("n"))
     return first.select("fold", F.sum("n").over(Window.orderBy("fold")).alias("n_terms"))  # a row for each fold
 
@@ -124,8 +139,7 @@ SELECT tk.id, len(w)::INT AS n_words, count(*) FILTER (d = 1) AS n_distress, CAS
 {', '.join(f"count(*) FILTER (category = '{c}') AS {c.lower()}" for c in CATEGORIES)} FROM tk LEFT JOIN h USING (id) GROUP BY tk.id, w""")
 def lexicon_features(spark: SparkSession, d: str) -> DataFrame:
     lexicon = spark.createDataFrame(list(LEXICON), "token string, category string, is_distress int")
-    rows = study.corpus(spark, d).withColumn("clean", T.letters("text", boilerplate=False))
-    out = corpus.lexicon_counts(rows, "id", "clean", lexicon, CATEGORIES)
+    out = corpus.lexicon_counts(_letters(spark, d), "id", "clean", lexicon, CATEGORIES)
     return out.withColumn("distress_density", R("distress_density"))
 
 

@@ -38,10 +38,15 @@ def resolve(df: DataFrame, name: str) -> str:
 
 def append_fold(df: DataFrame, path: str, fold: str = "fold") -> DataFrame:
     """Writes the folds of df; a fold that is written again replaces itself only, so a stopped run can be taken up."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(fold).parquet(path)
+    write_parts(df, path, fold)
     return df.sparkSession.read.parquet(path)
 
 
+def write_parts(df: DataFrame, path: str, *parts: str) -> None:
+    """Writes partitions; those that df has replace what stood there, the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
 def done_folds(spark: SparkSession, path: str, fold: str = "fold") -> list[int]:
     """Folds that are complete: partitions of the table."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
