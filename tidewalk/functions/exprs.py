@@ -118,6 +118,32 @@ def months_between(later: Column | str, earlier: Column | str) -> Column:
     return not_negative(months_of(later) - months_of(earlier))
 
 
+def parsed_day(x: Column | str) -> Column:
+    """'YYYY-MM-DD' or 'dd-mm-YYYY' to a date; null where it is neither."""
+    return F.coalesce(F.to_date(F.try_to_timestamp(c(x), F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(c(x), F.lit("dd-MM-yyyy"))))
+
+
+def numeric(x: Column | str) -> Column:
+    """A number; null where the text is none."""
+    return F.trim(c(x)).try_cast("double")
+
+
+def plain(x: Column | str) -> Column:
+    """Lower case without outer blanks; hard blanks count as blanks."""
+    return F.lower(F.trim(F.replace(c(x), F.lit("\u00a0"), F.lit(" "))))
+
+
+def years_employed(x: Column | str) -> Column:
+    """'< 1 year' is 0, 'n/a' null, else the first number."""
+    text = F.trim(c(x))
+    return F.when(text == "< 1 year", 0).when(text == "n/a", None).otherwise(first_group(text, r"(\d+)").cast("int"))
+
+
+def looked_up(x: Column | str, table: dict[str, object]) -> Column:
+    """The table's value; null for other keys."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), c(x))
+
+
 def parsed_month(x: Column | str) -> Column:
     """'Mon-YYYY' to the first of the month; null where it can't be read."""
     return F.to_date(F.try_to_timestamp(c(x), F.lit("MMM-yyyy")))

@@ -39,6 +39,14 @@ def cleaned(x: Column | str, boilerplate: bool = True, stop: tuple[str, ...] = S
     return F.array_join(content_words(tokens(letters(x, boilerplate)), stop), " ")
 
 
+def lemmatised(words: Column, lemmas: dict[str, str]) -> Column:
+    """Words by their lemmas, where the given table has one; an empty table changes nothing."""
+    if not lemmas:
+        return words
+    table = F.create_map(*[F.lit(v) for pair in lemmas.items() for v in pair])
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+
+
 def natural(x: Column | str) -> Column:
     """Natural text for a language model: entities and line breaks resolved, boilerplate out, blanks collapsed."""
     out = F.regexp_replace(F.coalesce(c(x), F.lit("")), r"(?i)<br\s*/?>", " ")

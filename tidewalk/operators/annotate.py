@@ -32,6 +32,16 @@ def per_class(pairs: DataFrame, truth: str, said: str) -> DataFrame:
     return out.select("label", "precision", "recall", zero(X.ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).alias("f1"), "support")
 
 
+def binary(pairs: DataFrame, truth: str, said: str, positive: list) -> DataFrame:
+    """One row: n, agreement, precision, recall, f1 of being in one of the positive classes (0 where there is nothing to divide by)."""
+    known = pairs.where(F.col(truth).isNotNull() & F.col(said).isNotNull())
+    t, s = F.col(truth).isin(positive), F.col(said).isin(positive)
+    out = known.agg(F.count("*").alias("n"), F.avg((t == s).cast("double")).alias("agreement"), F.count_if(t & s).alias("tp"), F.count_if(s).alias("p"), F.count_if(t).alias("t"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    out = out.withColumn("precision", zero(X.ratio("tp", "p"))).withColumn("recall", zero(X.ratio("tp", "t")))
+    return out.select("n", "agreement", "precision", "recall", zero(X.ratio(2 * F.col("tp"), F.col("p") + F.col("t"))).alias("f1"))
+
+
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that the other side lacks."""
     return left.join(right, key, "left_anti").select(key).distinct()

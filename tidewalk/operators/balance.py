@@ -30,16 +30,31 @@ def index(areas: DataFrame, higher_is_worse: list[str], higher_is_better: list[s
     return areas.withColumn(name, sum(terms[1:], terms[0]) / len(terms))
 
 
-def z_index(areas: DataFrame, worse: list[str], better: list[str], name: str = "z_index") -> DataFrame:
-    """Mean of z-scores with the population deviation; a constant column counts as 0."""
+def z_index(areas: DataFrame, worse: list[str], better: list[str], name: str = "z_index", sample: bool = False) -> DataFrame:
+    """Mean of z-scores with the population (or sample) deviation; a constant column counts as 0."""
     def z(c):
-        sd = F.stddev_pop(c).over(one())
+        sd = (F.stddev_samp if sample else F.stddev_pop)(c).over(one())
         return (F.col(c) - F.avg(c).over(one())) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 
     terms = [z(c) for c in worse] + [-z(c) for c in better]
     return areas.withColumn(name, sum(terms[1:], terms[0]) / len(terms))
 
 
+def pc1_index(areas: DataFrame, columns: list[str], along: str, name: str = "pc1_index") -> DataFrame:
+    """First principal component of the z-scored columns, its sign that of the correlation with `along`."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def z(c):
+        sd = F.stddev_pop(c).over(one())
+        return (F.col(c) - F.avg(c).over(one())) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+
+    rows = areas.withColumn("__v", array_to_vector(F.array(*[z(c) for c in columns])))
+    scored = PCA(k=1, inputCol="__v", outputCol="__p").fit(rows).transform(rows).withColumn("__s", vector_to_array("__p")[0])
+    sign = F.when(F.corr("__s", along).over(one()) < 0, -1.0).otherwise(1.0)
+    return scored.withColumn(name, F.col("__s") * sign).drop("__v", "__p", "__s")
+
+
 def tertiles(areas: DataFrame, columns: dict[str, str], cuts: tuple[float, float] = (0.333, 0.667)) -> DataFrame:
     """Low, Medium, High by exact percentiles; ties fall on one side together."""
     out = areas.withColumns({f"__{c}": F.percentile(c, F.array(*map(F.lit, cuts))).over(one()) for c in columns})

@@ -76,15 +76,21 @@ def fold_summary(folds: DataFrame, keys: list[str], level: float = 0.05) -> Data
     return long.groupBy(*keys, "grouping", "metric").agg(F.count("gap").alias("n_folds"), X.rounded(F.avg("gap")).alias("mean_gap"), F.count_if(F.col("p") < level).alias("n_raw"), F.count_if(F.col("q") < level).alias("n_corrected"))
 
 
-def grid(rows: DataFrame, groupings: list[str], keys: list[str], thresholds: list[float], least: int = 30) -> DataFrame:
+def grid(rows: DataFrame, groupings: list[str], keys: list[str], thresholds: list[float], least: int = 30, by: str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Low/High gaps and equalised-odds difference of all thresholds in one pass; cells with a side of fewer than `least` positives or negatives are null.
 
     Counts are taken by distinct decision, not by threshold: each row is added to the thresholds it reaches after a first count
-    by the number of thresholds reached, so rows aren't multiplied.
+    by the number of thresholds reached, so rows aren't multiplied. Where the groupings belong to an area, `by` names its column and `labels` (by area)
+    has them: then rows are counted by area before they meet any grouping.
     """
     cuts = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
-    long = ungrouped(rows, groupings).where(F.col("level").isin("Low", "High")).withColumn("reached", F.size(F.filter(cuts, lambda t: t <= F.col("y_prob"))))
-    cells = long.groupBy(*keys, "grouping", "level", "reached", "y_true").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("reached", F.size(F.filter(cuts, lambda t: t <= F.col("y_prob"))))
+    if by is None:
+        counts = rows.withColumn("n", F.lit(1).cast("long"))
+    else:
+        counts = rows.groupBy(*keys, by, "reached", "y_true").agg(F.count("*").alias("n")).join(labels, by)
+    long = ungrouped(counts, groupings).where(F.col("level").isin("Low", "High"))
+    cells = long.groupBy(*keys, "grouping", "level", "reached", "y_true").agg(F.sum("n").alias("n"))
     cells = cells.select("*", F.posexplode(cuts).alias("place", "threshold"))
     hit, pos = F.col("reached") > F.col("place"), F.col("y_true") == 1
     some = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))

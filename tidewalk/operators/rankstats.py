@@ -163,6 +163,22 @@ def youden(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob
     return top.select(*keys, "top.threshold", X.ratio(F.col("top.j").cast("double"), F.col("top.n_pos") * F.col("top.n_neg").cast("double")).alias("youden_j"))
 
 
+POLICIES = ("legacy_fixed", "validation_youden", "explicit")
+#: Thresholds of the old sensitivity analysis (fixed values).
+LEGACY = (0.5, 0.6, 0.7)
+
+
+def thresholds(policy: str, validation: DataFrame | None = None, explicit: float | None = None, y: str = "y_true", p: str = "y_prob") -> list[float]:
+    """The thresholds of a policy; Youden's is found on the validation rows that are given, which must not be test rows."""
+    if policy == "legacy_fixed":
+        return list(LEGACY)
+    if policy == "validation_youden" and validation is not None:
+        return [youden(validation.withColumn("__all", F.lit(1)), ["__all"], y, p).first()["threshold"]]
+    if policy == "explicit" and explicit is not None:
+        return [explicit]
+    raise ValueError(f"policy {policy} is unknown or lacks what it needs")
+
+
 #: Buckets of a group whose resamples are counted apart, and weights that are drawn at once.
 APART, DRAWN = 16, 4_000_000
 
