@@ -63,8 +63,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bytes of text that one bucket of a grouped pass holds, about.
-BUCKET_BYTES = 64 << 20
+#: Bytes of text that one bucket of a grouped pass holds, about; what is made of them is held in arrays of some times that size.
+BUCKET_BYTES = 6 << 20
 
 
 def buckets(docs: DataFrame, text: str) -> int:
