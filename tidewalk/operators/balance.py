@@ -42,17 +42,16 @@ def z_index(areas: DataFrame, worse: list[str], better: list[str], name: str = "
 
 def pc1_index(areas: DataFrame, columns: list[str], along: str, name: str = "pc1_index") -> DataFrame:
     """First principal component of the z-scored columns, its sign that of the correlation with `along`."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from . import models
 
     def z(c):
         sd = F.stddev_pop(c).over(one())
         return (F.col(c) - F.avg(c).over(one())) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 
-    rows = areas.withColumn("__v", array_to_vector(F.array(*[z(c) for c in columns])))
-    scored = PCA(k=1, inputCol="__v", outputCol="__p").fit(rows).transform(rows).withColumn("__s", vector_to_array("__p")[0])
+    rows = areas.withColumn("__v", F.array(*[z(c) for c in columns]))
+    scored = models.reduced(rows, rows, "__v", 1)[0].withColumn("__s", F.col("reduced")[0])
     sign = F.when(F.corr("__s", along).over(one()) < 0, -1.0).otherwise(1.0)
-    return scored.withColumn(name, F.col("__s") * sign).drop("__v", "__p", "__s")
+    return scored.withColumn(name, F.col("__s") * sign).drop("__v", "reduced", "__s")
 
 
 def tertiles(areas: DataFrame, columns: dict[str, str], cuts: tuple[float, float] = (0.333, 0.667)) -> DataFrame:

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import fit, folds, rankstats
 
-GRIDS = {"Logistic": {"c": [0.01, 0.03, 0.1, 0.3, 1.0]}, "Boosted": {"depth": [3, 4], "rate": [0.05, 0.1]}, "Forest": {"leaf": [10, 20, 50]}}
+#: Grids of the temporal search (fixed values).
+GRIDS = {"Logistic": {"c": [0.01, 0.03, 0.1, 0.3, 1.0]}, "Boosted": {"depth": [3, 4, 6], "rate": [0.05, 0.1]}, "Forest": {"leaf": [10, 20, 50]}}
+#: Folds that tuning looks at, and fits that run side by side.
+TUNED, PARALLEL = (4, 8, 12), 4
 
 
 def weighted(train: DataFrame, y: str) -> DataFrame:
@@ -37,25 +44,67 @@ def estimator(model: str, n: int, y: str, trees: int, **params):
 def fit_score(train: DataFrame, test: DataFrame, model: str, features: list[str], y: str, trees: int = 20, **params) -> tuple[object, DataFrame]:
     """The fitted model, and the test rows with y_prob."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    ready = weighted(assembler.transform(train), y).cache()
+    return fit_vectors(assembler.transform(train), assembler.transform(test), model, y, trees, **params)
+
+
+def fit_vectors(train: DataFrame, test: DataFrame, model: str, y: str, trees: int = 20, **params) -> tuple[object, DataFrame]:
+    """The same for rows that have their column `features`."""
+    ready = weighted(train.select(y, "features"), y).cache()
     fitted = estimator(model, ready.count(), y, trees, **params).fit(ready)
     ready.unpersist()
-    scored = fitted.transform(assembler.transform(test)).withColumn("y_prob", vector_to_array("probability")[1])
+    scored = fitted.transform(test).withColumn("y_prob", vector_to_array("probability")[1])
     return fitted, scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def walk_forward(rows: DataFrame, fold_table: DataFrame, period: str, y: str, model: str, prepare: dict, most_folds: int | None = None, trees: int = 20, **params) -> DataFrame:
+def each_fold(work: Callable[[dict], DataFrame], folds: list[dict], parallel: int = PARALLEL) -> list[DataFrame]:
+    """The folds' work, some side by side: folds are independent, and small fits leave a cluster idle."""
+    with ThreadPoolExecutor(max(min(parallel, len(folds)), 1)) as pool:
+        return list(pool.map(work, folds))
+
+
+def sides(rows: DataFrame, fold: dict, period: str) -> tuple[DataFrame, DataFrame]:
+    train = rows.where(F.col(period) <= F.lit(fold["train_cutoff"]))
+    return train, rows.where((F.col(period) > F.lit(fold["train_cutoff"])) & (F.col(period) <= F.lit(fold["test_end"])))
+
+
+def walk_forward(rows: DataFrame, fold_table: DataFrame, period: str, y: str, model: str, prepare: dict, trees: int = 20, parallel: int = PARALLEL, **params) -> DataFrame:
     """Predictions of each fold's test rows by a model that saw its training rows only: id, fold, model, y_true, y_prob."""
-    out = []
-    for f in fold_table.orderBy("fold").limit(most_folds or 1 << 30).collect():  # a row for each fold
-        train = rows.where(F.col(period) <= F.lit(f["train_cutoff"]))
-        test = rows.where((F.col(period) > F.lit(f["train_cutoff"])) & (F.col(period) <= F.lit(f["test_end"])))
+    rows = rows.persist()
+
+    def one(f: dict) -> DataFrame:
+        train, test = sides(rows, f, period)
         p = fit.prepare(train, **prepare)
         _, scored = fit_score(p.apply(train), p.apply(test), model, p.features(), y, trees, **params)
-        out.append(scored.select("id", F.lit(f["fold"]).alias("fold"), F.lit(model).alias("model"), F.col(y).alias("y_true"), "y_prob"))
+        return scored.select("id", F.lit(f["fold"]).alias("fold"), F.lit(model).alias("model"), F.col(y).alias("y_true"), "y_prob")
+
+    out = each_fold(one, [r.asDict() for r in fold_table.orderBy("fold").collect()], parallel)  # a row for each fold
     return reduce(DataFrame.unionByName, out)
 
 
+def tuned(rows: DataFrame, fold_table: DataFrame, period: str, row_id: str, y: str, model: str, prepare: dict, tuning: tuple[int, ...] = TUNED, grid: dict[str, list] | None = None, trees: int = 10) -> tuple[DataFrame, dict]:
+    """(each candidate's AUC on the inner validation parts of the tuning folds, and their mean; the best candidate, of equals the first)."""
+    import json
+
+    folds_ = [r.asDict() for r in fold_table.where(F.col("fold").isin(list(tuning))).orderBy("fold").collect()]
+
+    def one(f: dict) -> DataFrame:
+        train, _ = sides(rows, f, period)
+        p = fit.prepare(train, **prepare)
+        return grid_search(p.apply(train).withColumn(period, F.col(period)), [period, row_id], model, p.features(), y, grid, trees).withColumn("fold", F.lit(f["fold"]))
+
+    by = reduce(DataFrame.unionByName, each_fold(one, folds_))
+    mean = by.groupBy("model", "place", "params").agg(F.avg("val_auc").alias("mean_auc"), F.count("val_auc").alias("n_folds")).withColumn("best", F.row_number().over(Window.partitionBy("model").orderBy(F.desc_nulls_last("mean_auc"), "place")) == 1)
+    return mean, json.loads(mean.where("best").first()["params"])
+
+
+def refitted(rows: DataFrame, fold: dict, period: str, y: str, model: str, prepare: dict, best: dict, trees: int = 10) -> DataFrame:
+    """Test predictions of a fold by the best candidate, fitted anew on the whole training side."""
+    train, test = sides(rows, fold, period)
+    p = fit.prepare(train, **prepare)
+    _, scored = fit_score(p.apply(train), p.apply(test), model, p.features(), y, trees, **best)
+    return scored.select("id", F.lit(fold["fold"]).alias("fold"), F.lit(model).alias("model"), F.col(y).alias("y_true"), "y_prob")
+
+
 def candidates(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
@@ -92,14 +141,37 @@ def importances(model: object, features: list[str]) -> pd.DataFrame:
     return out.assign(share=out["importance"] / max(out["importance"].sum(), 1e-300), rank=np.arange(1, len(out) + 1))
 
 
+def components(train: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(directions, one in each column; means; explained shares) of the training rows' first k principal components.
+
+    Moments are summed on the cluster; the decomposition of the small covariance matrix is done here, so fits may run side by side. A
+    direction's largest loading is positive.
+    """
+    v = train.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    stats = v.agg(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("s")).select("s.mean", "s.variance").first()
+    sd = np.sqrt(stats["variance"].toArray())
+    corr = np.nan_to_num(Correlation.corr(v, "v").first()[0].toArray())
+    values, directions = np.linalg.eigh(corr * np.outer(sd, sd))
+    values, directions = np.maximum(values[::-1], 0), directions[:, ::-1][:, :k]
+    directions = directions * np.sign(directions[np.abs(directions).argmax(0), np.arange(directions.shape[1])])
+    return directions, stats["mean"].toArray(), (values[:k] / max(values.sum(), 1e-300)).tolist()
+
+
+def projected(vector: str, directions: np.ndarray, means: np.ndarray):
+    """Components of an array column, centred on the means, in Arrow batches."""
+    centre = means @ directions
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack([np.asarray(v, dtype=float) for v in x]) @ directions - centre)) if len(x) else x
+
+    return project(F.transform(vector, lambda x: x.cast("double")))
+
+
 def reduced(train: DataFrame, rows: DataFrame, vector: str, k: int = 50) -> tuple[DataFrame, list[float]]:
     """Principal components fitted on the training side (zero vectors too), centred on its mean: rows with `reduced`, and explained shares."""
-    as_vector = lambda df: df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(as_vector(train))
-    means = train.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").toPandas()["m"].to_numpy()  # one number for each dimension
-    centre = F.array(*[F.lit(float(x)) for x in means @ model.pc.toArray()])
-    out = model.transform(as_vector(rows)).withColumn("reduced", F.zip_with(vector_to_array("__p"), centre, lambda a, b: a - b))
-    return out.drop("__v", "__p"), [float(x) for x in model.explainedVariance.toArray()]
+    directions, means, shares = components(train, vector, k)
+    return rows.withColumn("reduced", projected(vector, directions, means)), shares
 
 
 # --- p-values of small samples -------------------------------------------------------------------

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import corpus, fit, models, rankstats
+from ..operators import arms, corpus, fairness, fit, models, rankstats
 from ..sources import tables
 from . import study, textual
 
@@ -27,8 +27,12 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return study.loans(spark, d).withColumn("balance", X.not_negative("balance")).drop("area", "issue_d")
 
 
-def _walk(spark: SparkSession, d: str, model: str, n_folds: int | None = None, trees: int = 10) -> DataFrame:
-    p = models.walk_forward(_features(spark, d), study.fold_table(spark, d), "month", "is_default", model, PREPARE, most_folds=n_folds, trees=trees)
+#: Trees of the boosted and random forests in the queries; the operators take any number.
+TREES = 20
+
+
+def _walk(spark: SparkSession, d: str, model: str) -> DataFrame:
+    p = models.walk_forward(_features(spark, d), study.fold_table(spark, d), "month", "is_default", model, PREPARE, trees=TREES)
     return rankstats.auc(p, ["fold", "model"]).withColumn("auc", R("auc"))
 
 
@@ -39,20 +43,110 @@ def lr_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gbt_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _walk(spark, d, "Boosted", 2, 5)
+    return _walk(spark, d, "Boosted")
 
 
 @query
 def rf_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _walk(spark, d, "Forest", 2, 10)
+    return _walk(spark, d, "Forest")
 
 
 @query
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    fold = study.fold_table(spark, d).orderBy("fold").first()
-    train = _features(spark, d).where(F.col("month") <= F.lit(fold["train_cutoff"]))
-    p = fit.prepare(train, **PREPARE)
-    return models.grid_search(p.apply(train), ["month", "id"], "Logistic", p.features(), "is_default").withColumn("val_auc", R("val_auc"))
+    """Every candidate of the logistic grid on every tuning fold's inner validation part, averaged."""
+    mean, _ = models.tuned(_features(spark, d), study.fold_table(spark, d), "month", "id", "is_default", "Logistic", PREPARE)
+    return mean.select("model", "place", "params", R("mean_auc").alias("mean_auc"), "n_folds", "best")
+
+
+@query
+def tuned_refit(spark: SparkSession, d: str) -> DataFrame:
+    """AUC of the tuned logistic model, fitted anew on the whole training side of the last fold."""
+    rows, table = _features(spark, d), study.fold_table(spark, d)
+    _, best = models.tuned(rows, table, "month", "id", "is_default", "Logistic", PREPARE)
+    last = table.orderBy(F.desc("fold")).first().asDict()
+    p = models.refitted(rows, last, "month", "is_default", "Logistic", PREPARE, best)
+    return rankstats.auc(p, ["fold", "model"]).withColumn("auc", R("auc")).withColumn("c", F.lit(float(best["c"])))
+
+
+# --- the study with texts: arms by fold, and what reads their predictions -----------------------------
+
+#: Arms of the registered study.
+STUDY_ARMS = ("structured", "tfidf_chi2", "embed_pca")
+_written: dict[tuple, str] = {}
+
+
+def with_texts(spark: SparkSession, d: str) -> tuple[DataFrame, arms.Texts]:
+    """Loans with a document each (three quarters have one), and what belongs to documents."""
+    n = max(study.corpus(spark, d).count(), 1)
+    rows = _features(spark, d).withColumn("has_text", (F.col("id") % 4 != 0).cast("int")).withColumn("doc", F.when(F.col("id") % 4 != 0, F.col("id") % n))
+    terms = textual._terms(spark, d, False).withColumnRenamed("id", "doc").persist()
+    lexicon = textual.lexicon_features(spark, d).withColumnRenamed("id", "doc")
+    e = tables.scan(spark, d, "embeddings", "vec_id", "embedding")
+    return rows, arms.Texts(terms, lexicon, e.withColumnRenamed("vec_id", "doc"), components=10)
+
+
+def study_predictions(spark: SparkSession, d: str, names: tuple[str, ...] = STUDY_ARMS, model: str = "Logistic") -> DataFrame:
+    """Predictions of every fold, arm by arm, made once for each session and folder: id, fold, model, arm, y_true, y_prob, area.
+
+    They are written fold by fold, so that a run that stops can be taken up.
+    """
+    key = (spark.sparkContext.applicationId, d, names, model)
+    if key in _written:
+        return spark.read.parquet(_written[key])
+    path = f"{tables.scratch(spark)}/predictions"
+    rows, texts = with_texts(spark, d)
+    rows = rows.persist()
+    area = study.loans(spark, d).select("id", "area")
+
+    def one(f: dict) -> DataFrame:
+        train, test = models.sides(rows, f, "month")
+        p = fit.prepare(train, **(PREPARE | {"never": NEVER | {"doc", "has_text"}}))
+        parts = []
+        for arm in names:
+            ready, ahead, features = arms.matrices(arm, train, test, p, texts, "is_default")
+            fit.banned(features, {"is_default", "id", "area", "y_true"}, ("label", "fairness"))
+            _, scored = models.fit_vectors(ready, ahead, model, "is_default", TREES)
+            parts.append(scored.select("id", F.lit(f["fold"]).alias("fold"), F.lit(model).alias("model"), F.lit(arm).alias("arm"), F.col("is_default").alias("y_true"), F.bround("y_prob", 6).alias("y_prob")))
+        tables.append_fold(reduce(DataFrame.unionByName, parts).join(area, "id"), path)
+        return train
+
+    done = set(tables.done_folds(spark, path))
+    models.each_fold(one, [r.asDict() for r in study.fold_table(spark, d).orderBy("fold").collect() if r["fold"] not in done])
+    rows.unpersist()
+    _written[key] = path
+    return spark.read.parquet(path)
+
+
+@query
+def arm_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """AUC, average precision, Brier score and Gini of each fold and arm, from models' predictions."""
+    p, keys = study_predictions(spark, d), ["fold", "model", "arm"]
+    out = rankstats.brier_gini(p, keys).join(rankstats.average_precision(p, keys), keys)
+    return out.select(*keys, "n", R("auc").alias("auc"), R("ap").alias("ap"), R("brier").alias("brier"), R("gini").alias("gini"))
+
+
+@query
+def arm_delong(spark: SparkSession, d: str) -> DataFrame:
+    """DeLong tests of the text arms against the structured one on models' predictions, corrected over folds; unpaired rows raise."""
+    out = rankstats.delong(study_predictions(spark, d), ["fold", "model"], "arm", "structured", strict=True)
+    out = rankstats.benjamini_hochberg(out, ["model", "arm"], "p_value", ["fold"])
+    return out.select("fold", "model", "arm", *[R(c).alias(c) for c in ("auc_a", "auc_b", "delta_auc", "z", "p_value", "q_value")])
+
+
+@query
+def arm_fairness(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps High - Low of models' predictions by fold, with tests."""
+    labels = study.labelled_areas(spark, d).select("area", *study.GROUPINGS)
+    out = fairness.by_fold(study_predictions(spark, d).join(labels, "area"), list(study.GROUPINGS), ["model", "arm"])
+    return out.select("grouping", "model", "arm", "fold", *[R(f"{r}_{c}").alias(f"{r}_{c}") for r in fairness.RATES for c in ("gap", "p", "q")])
+
+
+@query
+def arm_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Expected calibration error of models' predictions by fold, arm and level of the index."""
+    labels = study.labelled_areas(spark, d).select("area", F.col("index_group").alias("level"))
+    curve = fairness.calibration(study_predictions(spark, d).join(labels, "area"), ["fold", "arm"], "level")
+    return fairness.calibration_error(curve, ["fold", "arm", "level"]).withColumn("ece", R("ece"))
 
 
 @query
@@ -77,7 +171,7 @@ def importance_by_model(spark: SparkSession, d: str) -> DataFrame:
     train = _features(spark, d).where(F.col("month") <= F.lit(fold["train_cutoff"]))
     p = fit.prepare(train, **PREPARE)
     ready = p.apply(train)
-    parts = [models.importances(models.fit_score(ready, ready, m, p.features(), "is_default", trees=5)[0], p.features()).assign(model=m) for m in ("Logistic", "Forest")]
+    parts = [models.importances(models.fit_score(ready, ready, m, p.features(), "is_default", trees=TREES)[0], p.features()).assign(model=m) for m in ("Logistic", "Boosted", "Forest")]
     import pandas as pd
 
     return spark.createDataFrame(pd.concat(parts, ignore_index=True))
@@ -87,10 +181,7 @@ def importance_by_model(spark: SparkSession, d: str) -> DataFrame:
 def resume_append(spark: SparkSession, d: str) -> DataFrame:
     """Folds 1 and 2 are written, fold 2 again, then all that are missing; the table holds each once."""
     rows = study.predictions(spark, d)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewalk-")
-    import uuid
-
-    path = f"{base}/folds-{uuid.uuid4().hex}"
+    path = f"{tables.scratch(spark)}/folds"
     for some in ([1, 2], [2]):
         tables.append_fold(rows.where(F.col("fold").isin(some)), path)
     done = tables.done_folds(spark, path)
@@ -109,8 +200,6 @@ def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tfidf_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Terms that chi-squared ranks high in each of three parts of the corpus."""
-    from functools import reduce
-
     from pyspark.sql.window import Window
 
     labels = study.labelled(spark, d)

@@ -91,8 +91,8 @@ def _tests(spark: SparkSession, d: str) -> DataFrame:
     return rankstats.delong(study.predictions(spark, d), ["fold", "model"], "arm", "structured").withColumn("p_value", R("p_value", 4))
 
 
-TESTS_SQL = f"""{P_SQL}, {delong_sql('structured', 'tfidf_full', 'one')}, {delong_sql('structured', 'embed_pca', 'two')},
-te AS (SELECT fold, model, arm, -diff AS delta_auc, round_even({erf_sql('(diff / se)')}, 4) AS p_value FROM (SELECT *, 'tfidf_full' AS arm FROM dz_one UNION ALL SELECT *, 'embed_pca' AS arm FROM dz_two)),
+TESTS_SQL = f"""{P_SQL}, {', '.join(delong_sql('structured', a, a) for a in study.ARMS[1:])},
+te AS (SELECT fold, model, arm, -diff AS delta_auc, round_even({erf_sql('(diff / se)')}, 4) AS p_value FROM ({' UNION ALL '.join(f"SELECT *, '{a}' AS arm FROM dz_{a}" for a in study.ARMS[1:])})),
 tq AS (SELECT *, least(min(raw) OVER (PARTITION BY model ORDER BY k DESC), 1) AS q_value FROM (
   SELECT *, p_value * count(*) OVER (PARTITION BY model) / k AS raw FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p_value, arm, fold) AS k FROM te WHERE p_value IS NOT NULL)))"""
 

@@ -12,8 +12,8 @@ from ..functions import exprs as X
 from ..operators import balance, folds
 from ..sources import tables
 
-ARMS = ("structured", "tfidf_full", "embed_pca")
-MODELS = ("Logistic", "Boosted")
+ARMS = ("structured", "tfidf_full", "embed_pca", "tfidf_chi2", "lexicon", "embed_raw", "structured_has_text")
+MODELS = ("Logistic", "Boosted", "Forest")
 GROUPINGS = ("index_group", "building_group")
 LEVELS = ["Low", "Medium", "High"]
 
@@ -28,9 +28,9 @@ fe AS (SELECT a.i, a.period AS c, a.un AS n_train, a.ue AS e, min(b.i) AS j FROM
 f AS (SELECT row_number() OVER (ORDER BY fe.i) AS fold, c AS train_cutoff, b.period AS test_end, n_train::BIGINT AS n_train, (b.un - n_train)::BIGINT AS n_test, (b.ue - e)::BIGINT AS n_test_events FROM fe JOIN pp b ON b.i = j)"""
 P_SQL = f"""{F_SQL},
 p AS (
-  SELECT s.id, f.fold, m.model, r.arm, s.is_default AS y_true, ((s.id * 7919 + r.k * 131 + m.k * 977) % 1000 + (50 + 10 * r.k) * s.is_default) / 1100::DOUBLE AS y_prob, s.area
+  SELECT s.id, f.fold, m.model, r.arm, s.is_default AS y_true, ((s.id * 7919 + r.k * 131 + m.k * 977) % 1000 + (50 + 5 * r.k) * s.is_default) / 1100::DOUBLE AS y_prob, s.area
   FROM s JOIN f ON s.month > f.train_cutoff AND s.month <= f.test_end
-  CROSS JOIN (VALUES ('structured', 0), ('tfidf_full', 1), ('embed_pca', 2)) r(arm, k) CROSS JOIN (VALUES ('Logistic', 0), ('Boosted', 1)) m(model, k))"""
+  CROSS JOIN (VALUES {', '.join(f"('{a}', {k})" for k, a in enumerate(ARMS))}) r(arm, k) CROSS JOIN (VALUES {', '.join(f"('{m}', {k})" for k, m in enumerate(MODELS))}) m(model, k))"""
 AREA_COLUMNS = ("mean_balance", "mean_amount", "share_building", "share_machinery", "share_urgent", "mean_nation")
 A_SQL = f"""{S_SQL},
 a AS (
@@ -75,7 +75,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(i).cast("long").alias("ak")) for i, a in enumerate(ARMS)])
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).cast("long").alias("mk")) for i, m in enumerate(MODELS)])
     rows = rows.select("*", F.inline(arms)).select("*", F.inline(models))
-    p = (F.col("id") * 7919 + F.col("ak") * 131 + F.col("mk") * 977) % 1000 + (50 + 10 * F.col("ak")) * F.col("is_default")
+    p = (F.col("id") * 7919 + F.col("ak") * 131 + F.col("mk") * 977) % 1000 + (50 + 5 * F.col("ak")) * F.col("is_default")
     return rows.select("id", "fold", "model", "arm", F.col("is_default").alias("y_true"), (p / F.lit(1100.0)).alias("y_prob"), "area")
 
 
