@@ -265,3 +265,32 @@ def test_streamed_folds_are_written_once(spark, tmp_path):
             spark.createDataFrame([(3, 0.75)], "fold int, p double").coalesce(1).write.mode("append").parquet(source)
         appends.append_stream(appends.prediction_stream(spark, source, "fold int, p double"), path, marks).awaitTermination()
     assert sorted((r["fold"], r["p"]) for r in spark.read.parquet(path).collect()) == [(1, 0.5), (2, 0.25), (3, 0.75)]
+
+
+def test_quantiles_are_exact(spark):
+    from tidewalk.operators import quantiles
+
+    rng = np.random.default_rng(6)
+    values = {"a": rng.normal(size=501).round(1), "b": np.zeros(7), "c": np.array([3.5]), "d": 10.0 ** rng.integers(-3, 8, 300)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)]
+    qs = [0.0, 0.1, 0.333, 0.5, 0.995, 1.0]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: r["quantiles"] for r in quantiles.quantiles(df, ["k"], "x", qs).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert got[k] == pytest.approx([np.quantile(v, q) for q in qs], rel=1e-12)
+    assert quantiles.quantiles(df.where("k = 'a'"), [], "x", [0.25]).first()[0] == pytest.approx([np.quantile(values["a"], 0.25)])
+
+
+def test_correlations_of_pairs_with_gaps(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(1e6, 1, (300, 4))
+    x[:, 1] += x[:, 0]
+    x[:, 3] = 5.0
+    gone = rng.random((300, 4)) < 0.3
+    rows = [tuple(None if g else float(v) for v, g in zip(r, q, strict=True)) for r, q in zip(x, gone, strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    for r in fit.correlations(df, ["a", "b", "c", "d"]).collect():
+        i, j = "abcd".index(r["a"]), "abcd".index(r["b"])
+        both = ~gone[:, i] & ~gone[:, j]
+        assert r["r"] is None if j == 3 else r["r"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-6)

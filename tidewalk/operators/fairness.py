@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from . import rankstats
+from . import quantiles, rankstats
 
 RATES = ("tpr", "fpr", "ppr")
 
@@ -125,8 +125,7 @@ def verdict(delta, tolerance: float = 1e-5):
 
 def calibration(rows: DataFrame, keys: list[str], level: str, bins: int = 10) -> DataFrame:
     """Calibration curve by level in bins whose edges are the deciles of the whole key, shared by its levels; p on an edge goes right."""
-    qs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile("y_prob", qs)).alias("edges"))
+    edges = quantiles.quantiles(rows, keys, "y_prob", [i / bins for i in range(1, bins)], "edges").withColumn("edges", F.array_distinct("edges"))
     binned = rows.join(F.broadcast(edges), keys).withColumn("bin", X.bins_right("y_prob", F.col("edges")))  # one row for each key
     return binned.groupBy(*keys, level, "bin").agg(F.count("*").alias("n"), F.avg("y_prob").alias("mean_p"), F.avg(F.col("y_true").cast("double")).alias("rate"))
 

@@ -5,13 +5,19 @@ Each fit takes the training rows and nothing else, does one aggregate, and gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import exprs as X
+from . import quantiles
 
 
 def numeric_candidates(df: DataFrame, never: set[str]) -> list[str]:
@@ -30,16 +36,41 @@ def missing_columns(train: DataFrame, columns: list[str], most: float = 0.99) ->
     return sorted(r["column"] for r in null_fractions(train, columns).where(F.col("null_fraction") > most).collect())
 
 
+def _moments(rows: DataFrame, columns: list[str], means: list[float]) -> dict[str, np.ndarray]:
+    """Sums over pairs of columns, values less the means: products, values where the other is known, their squares, rows where both are.
+
+    Each task sums its rows as matrices; these are added in two steps, so that no task or the driver sees more than some hundred of them.
+    """
+    names, p = ["xy", "x", "xx", "n"], len(columns)
+    numbers = rows.select(*[F.col(c).cast("double") for c in columns])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(p)]).astype(float) - means
+            m = (~np.isnan(x)).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            out += np.stack([x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 128], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["g", "sums"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [0], "sums": [sum(np.frombuffer(b) for b in pdf["sums"]).tobytes()]})
+
+    parts = numbers.mapInArrow(summed, "g long, sums binary").groupBy("g").applyInPandas(added, "g long, sums binary").groupBy("g").applyInPandas(added, "g long, sums binary")
+    return dict(zip(names, np.frombuffer(parts.first()["sums"]).reshape(4, p, p), strict=True))
+
+
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r of all pairs of columns over rows where both are known; null where one doesn't vary. One pass of moments."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    aggs = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("va"), F.var_pop(y).alias("vb")))
-    wide = rows.agg(F.array(*aggs).alias("pairs")).select(F.inline("pairs"))
-    return wide.select("a", "b", F.when((F.col("va") > 0) & (F.col("vb") > 0), F.col("c") / F.sqrt(F.col("va") * F.col("vb"))).alias("r"))
+    """a, b, r of all pairs of columns over rows where both are known; null where one doesn't vary. One pass for means, one for all products."""
+    first = rows.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    s = _moments(rows, columns, [x or 0.0 for x in first])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean, square = s["x"] / s["n"], s["xx"] / s["n"]
+        var = square - mean * mean
+        var = np.where(var > 1e-12 * square, var, 0.0)  # what rounding leaves of a constant
+        r = (s["xy"] / s["n"] - mean * mean.T) / np.sqrt(var * var.T)
+    pairs = [(columns[i], columns[j], float(r[i, j]) if var[i, j] > 0 and var[j, i] > 0 else None) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    return rows.sparkSession.createDataFrame(pairs, "a string, b string, r double")
 
 
 def correlated_columns(train: DataFrame, columns: list[str], protected: set[str] = frozenset(), most: float = 0.95) -> DataFrame:
@@ -54,13 +85,16 @@ def correlated_columns(train: DataFrame, columns: list[str], protected: set[str]
 
 def caps(train: DataFrame, columns: list[str], q: float = 0.995) -> DataFrame:
     """One row of exact quantiles (linear between neighbours)."""
-    return train.agg(*[F.percentile(c, q).alias(c) for c in columns])
+    found = quantiles.quantiles(quantiles.long(train, columns), ["column"], "value", [q])
+    return found.agg(*[F.max(F.when(F.col("column") == c, F.col("quantiles")[0])).alias(c) for c in columns])
 
 
 def clip_report(rows: DataFrame, columns: list[str], q: float = 0.995) -> DataFrame:
     """column, cap, applied: columns that are empty or have negative values are left as they are."""
-    wide = rows.agg(*[F.struct(F.lit(c).alias("column"), F.percentile(c, q).alias("cap"), F.count(c).alias("n"), F.count_if(F.col(c) < 0).alias("neg")).alias(c) for c in columns])
-    return wide.select(F.inline(F.array(*columns))).select("column", "cap", ((F.col("n") > 0) & (F.col("neg") == 0)).alias("applied"))
+    values = quantiles.long(rows, columns)
+    counts = values.groupBy("column").agg(F.count("value").alias("n"), F.count_if(F.col("value") < 0).alias("neg"))
+    found = quantiles.quantiles(values, ["column"], "value", [q])
+    return counts.join(found, "column", "left").select("column", F.col("quantiles")[0].alias("cap"), ((F.col("n") > 0) & (F.col("neg") == 0)).alias("applied"))
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
@@ -133,14 +167,14 @@ def quality_checks(df: DataFrame, key: str, needed: list[str], shares: list[str]
 
 def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls replaced by the column's median."""
-    meds = df.agg(*[F.percentile(c, 0.5).alias(f"__{c}") for c in columns])
+    meds = caps(df, columns, 0.5).withColumnsRenamed({c: f"__{c}" for c in columns})
     return df.crossJoin(F.broadcast(meds)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).drop(*meds.columns)
 
 
 def binned_information(rows: DataFrame, columns: list[str], y: str, bins: int = 10, top: int = 50) -> DataFrame:
     """Mutual information with the target over quantile bins, the `top` columns (a nearest-neighbour estimate has no relational form)."""
-    qs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = rows.agg(*[F.array_distinct(F.percentile(c, qs)).alias(f"__{c}") for c in columns])
+    found = quantiles.quantiles(quantiles.long(rows, columns), ["column"], "value", [i / bins for i in range(1, bins)])
+    edges = found.agg(*[F.array_distinct(F.max(F.when(F.col("column") == c, F.col("quantiles")))).alias(f"__{c}") for c in columns])
     parts = F.array(*[F.struct(F.lit(c).alias("column"), X.bins_left(c, F.col(f"__{c}")).alias("bin")) for c in columns])
     long = rows.crossJoin(F.broadcast(edges)).select(F.col(y).alias("y"), F.inline(parts))
     n = long.groupBy("column", "bin", "y").agg(F.count("*").cast("double").alias("n"))
