@@ -651,3 +651,40 @@ def test_pipeline_of_nothing(spark, nothing):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, read, nothing).count() == 0, name
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def brute_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality.trained(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    good = {r["doc_id"] for r in quality.classify.scored(docs, model).where("predicted = 1").collect()}
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] in good}
+    best = {}
+    for d, t in rows.items():
+        key = re.sub(r"[\x20\x09-\x0d]", "", t)
+        best[key] = min(best.get(key, (0, 1 << 60)), (-len(t), d)) if key in best else (-len(t), d)
+    rows = {d: rows[d] for _, d in best.values()}
+    ids = sorted(rows)
+    roots = brute_classes(ids, brute_sets([rows[d] for d in ids]))
+    rows = {d: rows[d] for d, root in zip(ids, roots, strict=True) if d == root}
+    windows = set()
+    for item in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        w = brute_words(item["text"])
+        windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(w) for w in windows}
+    clean = {}
+    for d, t in rows.items():
+        w = brute_words(t)
+        if not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1)):
+            clean[d] = t
+    encode = packing.encoder()
+    out = corpus_pipeline.run(spark, SMALL).toPandas()
+    assert 0 < len(clean) < len(rows)
+    assert out.groupby("doc_id")["length"].sum().to_dict() == {d: len(encode(t)) for d, t in clean.items()}
+    sizes = out.groupby("sequence_id")["length"].sum()
+    assert sizes.max() <= packing.CAPACITY and set(sizes.index) == set(range(len(sizes)))
