@@ -83,6 +83,12 @@ def lexicon_counts(rows: DataFrame, key: str, text: str, lexicon: DataFrame, cat
     )
 
 
+def slim_lexicon(wide: DataFrame, token: str, flags: list[str]) -> DataFrame:
+    """A wide dictionary's tokens (lower case, once) with 0/1 flags; a flag there is the year the token was listed in, negative if it was taken out."""
+    marked = [F.max((F.col(f) > 0).cast("int")).alias(f.lower()) for f in flags]
+    return wide.where(F.col(token).isNotNull()).groupBy(F.lower(token).alias("token")).agg(*marked)
+
+
 def consistency(ranked: DataFrame, top: int) -> DataFrame:
     """Terms over folds: in how many among the first `top`, mean rank and mean value there."""
     return ranked.where(F.col("rank") <= top).groupBy("term").agg(F.count("*").alias("n_folds"), F.avg("rank").alias("mean_rank"), F.avg("value").alias("mean_value"))

@@ -197,9 +197,13 @@ def fairness_grid(spark: SparkSession, d: str) -> DataFrame:
     return _six(_grid(spark, d), "tpr_gap", "fpr_gap").select("model", "arm", "grouping", "fold", "threshold", "small_cell", "tpr_gap", "fpr_gap")
 
 
-@query(f"WITH {GRID_SQL} SELECT model, arm, grouping, threshold, count(*) FILTER (NOT small) AS n_cells, round_even(avg(CASE WHEN NOT small THEN greatest(abs(tg), abs(fg)) END), 6) AS mean_eo, round_even(stddev_samp(CASE WHEN NOT small THEN greatest(abs(tg), abs(fg)) END), 6) AS sd_eo FROM gg GROUP BY 1, 2, 3, 4")
+def _spread_sql(x: str, name: str) -> str:
+    return f"round_even(avg(CASE WHEN NOT small THEN {x} END), 6) AS mean_{name}, round_even(stddev_samp(CASE WHEN NOT small THEN {x} END), 6) AS sd_{name}"
+
+
+@query(f"WITH {GRID_SQL} SELECT model, arm, grouping, threshold, count(*) FILTER (NOT small) AS n_cells, {_spread_sql('greatest(abs(tg), abs(fg))', 'eo')}, {_spread_sql('tg', 'tpr_gap')}, {_spread_sql('fg', 'fpr_gap')} FROM gg GROUP BY 1, 2, 3, 4")
 def eo_diff(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).groupBy("model", "arm", "grouping", "threshold").agg(F.count("eo_diff").alias("n_cells"), R(F.avg("eo_diff")).alias("mean_eo"), R(F.stddev_samp("eo_diff")).alias("sd_eo"))
+    return _grid(spark, d).groupBy("model", "arm", "grouping", "threshold").agg(F.count("eo_diff").alias("n_cells"), *[s for c, name in (("eo_diff", "eo"), ("tpr_gap", "tpr_gap"), ("fpr_gap", "fpr_gap")) for s in (R(F.avg(c)).alias(f"mean_{name}"), R(F.stddev_samp(c)).alias(f"sd_{name}"))])
 
 
 @query(f"""WITH {P_SQL}, r AS ({rates_sql('model, arm, area', 'p')}), b AS (SELECT model, arm, area, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM p GROUP BY 1, 2, 3), k AS (SELECT *, n >= 40 AND n_pos >= 10 AS kept FROM r JOIN b USING (model, arm, area))
@@ -263,6 +267,16 @@ def recalibration_fit(spark: SparkSession, d: str) -> DataFrame:
     return _six(fairness.recalibration(rows, ["arm", "index_group"]), "intercept", "slope", digits=4)
 
 
+@query()
+def recalibration_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Differences High - Low of the recalibration's intercept and slope, beside those of the calibration errors."""
+    rows = study.labelled_predictions(spark, d).where("model = 'Logistic'")
+    fits = fairness.recalibration(rows, ["arm", "index_group"])
+    pick = lambda c, level: F.max(F.when(F.col("index_group") == level, F.col(c)))
+    gaps = fits.groupBy("arm").agg(*[(pick(c, "High") - pick(c, "Low")).alias(f"{c}_diff") for c in ("intercept", "slope")])
+    return _six(gaps.join(calibration_summary(spark, d).select("arm", "ece_diff", "n_cells"), "arm"), "intercept_diff", "slope_diff", digits=4)
+
+
 @query()
 def sufficiency_test(spark: SparkSession, d: str) -> DataFrame:
     rows = study.labelled_predictions(spark, d).where("model = 'Logistic'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import texts as T
-from ..operators import annotate, balance, checks, fairness, models, rankstats, runner
+from ..operators import annotate, balance, checks, corpus, fairness, models, rankstats, runner
 from ..sources import feeds, tables
 from . import study, textual
 from .statistics import erf_sql
@@ -115,6 +115,27 @@ def sparse_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tables.long_rows(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/vocabulary"), "id", "term", "tfidf").withColumn("tfidf", R("tfidf"))
 
 
+@query("SELECT n_name AS nation, c.n, c.segments, 'append' AS part FROM (SELECT c_nationkey, count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY 1) c JOIN nation ON c_nationkey = n_nationkey")
+def audit_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Nested rows added as JSON lines in two parts, flat rows as CSV in two parts, both read back and joined."""
+    c, folder = tables.scan(spark, d, "customer", "c_nationkey", "c_mktsegment"), tables.scratch(spark)
+    rows = c.groupBy(F.col("c_nationkey").alias("key")).agg(F.struct(F.count("*").alias("n"), F.collect_set("c_mktsegment").alias("segments")).alias("audit"))
+    names = tables.scan(spark, d, "nation", "n_nationkey", "n_name").toDF("key", "nation")
+    for part in (0, 1):
+        tables.append_audit(rows.where(F.col("key") % 2 == part), f"{folder}/audit")
+        tables.append_csv(names.where(F.col("key") % 2 == part), f"{folder}/names")
+    back = spark.read.schema("key int, audit struct<n: long, segments: array<string>>").json(f"{folder}/audit")
+    flat = tables.scan_csv(spark, f"{folder}/names", "key int, nation string")
+    return back.join(flat, "key").select("nation", "audit.n", F.size("audit.segments").cast("long").alias("segments"), F.lit("append").alias("part"))
+
+
+@query("SELECT lower(p_name) AS token, max((p_size - 25 > 0)::INT) AS positive, max((p_partkey % 5 > 0)::INT) AS negative, max((p_retailprice - 1000 > 0)::INT) AS uncertainty FROM part GROUP BY 1")
+def lexicon_slim(spark: SparkSession, d: str) -> DataFrame:
+    p = tables.scan(spark, d, "part", "p_name", "p_size", "p_partkey", "p_retailprice")
+    wide = p.select(F.upper("p_name").alias("Word"), (F.col("p_size") - 25).alias("Positive"), (F.col("p_partkey") % 5).alias("Negative"), (F.col("p_retailprice") - 1000).alias("Uncertainty"))
+    return corpus.slim_lexicon(wide, "Word", ["Positive", "Negative", "Uncertainty"])
+
+
 @query(f"WITH {A_SQL} SELECT 0 AS place, 'loans' AS stage, (SELECT count(*) FROM s) AS n_rows UNION ALL SELECT 1, 'areas', (SELECT count(*) FROM a) UNION ALL SELECT 2, 'large', (SELECT count(*) FROM a WHERE n > 100)")
 def staged_run(spark: SparkSession, d: str) -> DataFrame:
     """Three stages, run, and run again: what is there is taken up."""

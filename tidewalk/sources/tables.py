@@ -107,6 +107,11 @@ def append_audit(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Rows added to a folder of CSV files, each with its header."""
+    df.write.mode("append").csv(path, header=True)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """'key: value' lines of a text file."""
     lines = spark.read.text(path)
