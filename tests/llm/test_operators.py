@@ -551,7 +551,9 @@ def test_long_texts_in_segments(spark, monkeypatch):
     for data, offsets, _, start in suffix_dedup.segments(pa.array([text])):
         first, last, _, _ = suffix_dedup.anchors(data, offsets, values)
         strings += [start + x for a, b in zip(first.tolist(), last.tolist(), strict=True) for x in range(a, b + 1)]
-    assert strings != [] and set(strings) >= set(range(5000 - 49 - 1)) or len(text) <= 1 << 20
+    assert sorted(strings) == list(range(5000 - 49))
+    whole = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.removed_spans(spark.createDataFrame([(1, text[100:3000]), (2, text)], "doc_id long, text string")).collect()}
+    assert whole == {1: (0, hashlib.sha256(text[100:3000].encode()).hexdigest()), 2: (2900, hashlib.sha256((text[:100] + text[3000:]).encode()).hexdigest())}
 
 
 # --- packing ---------------------------------------------------------------------------------------
