@@ -93,7 +93,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     del df
     freed(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def freed(spark: SparkSession) -> None:

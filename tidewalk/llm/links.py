@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     before = None
     while True:
+        start = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: each larger neighbour is hung on the smallest
@@ -35,8 +36,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: each smaller neighbour, and the node itself, is hung on the smallest
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = with_least(edges, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.written(edges, "stars")
+        edges, old = common.written(edges, "stars"), start
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        common.dropped(old)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now

@@ -325,6 +325,7 @@ def attempt(rows: DataFrame, buckets: int, seed: int) -> tuple[DataFrame, int]:
         cut(buckets), "name string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, bucket long, items binary",
     )
     done = common.written(done, "cut")
+    common.dropped(found, again)
     checks = done.where("items is not null").select("bucket", "items")
     false = texts.select("bucket", "row", "text").groupBy("bucket").cogroup(checks.groupBy("bucket")).applyInPandas(compared, "false long").agg(F.sum("false")).first()[0]
     return done.where("items is null").select(F.col("name").cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"), false or 0
