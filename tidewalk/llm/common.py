@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
 import shutil
@@ -28,9 +29,15 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
 
+#: Rows of an Arrow batch at most, and the session's setting that says so: rows hold whole texts, and a batch stands in memory on both sides at once.
+TEXTS_AT_ONCE, AT_ONCE = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shipped(spark: SparkSession) -> None:
-    """Gives the package's modules to the executors, once for each session, so that they need no installation there."""
+    """Gives the package's modules to the executors, once for each session, so that they need no installation there; bounds the session's Arrow batches."""
     context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not 0 < int(spark.conf.get(AT_ONCE)) <= TEXTS_AT_ONCE:
+        spark.conf.set(AT_ONCE, TEXTS_AT_ONCE)
     if getattr(context, "_tidewalk_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="tidewalk-")  # the driver's file server reads it as long as the session lasts
@@ -114,6 +121,8 @@ def freed(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what was freed here goes back to the system, where its library can do that
+        trim(0)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -93,17 +93,19 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     share = (y.sum() + 1) / (len(y) + 2)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(ROWS, np.float32), float(np.log(share / (1 - share))))
-    docs = []
-    for data, offsets in classify.by_text(texts):
-        rows, counts = np.unique(np.concatenate([rows for rows, _ in features(data, offsets)]), return_counts=True)
-        docs.append((rows, (counts / max(counts.sum(), 1)).astype(np.float32)))
+    parts = [np.unique(np.concatenate([rows for rows, _ in features(data, offsets)]), return_counts=True) for data, offsets in classify.by_text(texts)]
+    at = np.concatenate([[0], np.cumsum([len(rows) for rows, _ in parts])]).tolist()
+    # two long arrays instead of thousands of short ones
+    every = np.concatenate([rows for rows, _ in parts])
+    weights = np.concatenate([(counts / max(counts.sum(), 1)).astype(np.float32) for _, counts in parts])
+    del parts
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = EPOCHS * len(docs), 0
+    steps, done = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(docs)):
-            rows, shares = docs[i]
+        for i in rng.permutation(len(texts)):
+            rows, shares = every[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]
             rate, done = np.float32(RATE * (1 - done / steps)), done + 1
             mean = shares @ table[rows]
             z = mean @ layer + bias
