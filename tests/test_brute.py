@@ -46,16 +46,16 @@ def logistic(x, y):
 
 
 def test_recalibration_and_sufficiency_fits(spark):
-    p = study.labelled_predictions(spark, TABLES).where("model = 'Logistic'").select("arm", "fold", "index_group", "y_true", "y_prob").toPandas()
+    p = study.labelled_predictions(spark, TABLES).select("model", "arm", "fold", "index_group", "y_true", "y_prob").toPandas()
     q = p["y_prob"].clip(1e-6, 1 - 1e-6)
     p["x"] = np.log(q / (1 - q)).round(3)
-    got = rows(spark, "recalibration_fit").set_index(["arm", "index_group"])
-    for key, g in list(p.groupby(["arm", "index_group"]))[:6]:
+    got = rows(spark, "recalibration_fit").set_index(["model", "arm", "index_group"])
+    for key, g in list(p.groupby(["model", "arm", "index_group"]))[::9]:
         beta = logistic(np.column_stack([np.ones(len(g)), g["x"]]), g["y_true"].to_numpy())
         assert (got.loc[key, "intercept"], got.loc[key, "slope"]) == pytest.approx(tuple(beta), abs=2e-3)
-    fits = rows(spark, "sufficiency_test").set_index(["arm", "fold"])
+    fits = rows(spark, "sufficiency_test").set_index(["model", "arm", "fold"])
     done = 0
-    for key, g in p[p["index_group"].isin(["Low", "High"])].groupby(["arm", "fold"]):
+    for key, g in p[p["index_group"].isin(["Low", "High"])].groupby(["model", "arm", "fold"]):
         high = (g["index_group"] == "High").to_numpy(float)
         y = g["y_true"].to_numpy()
         if min(y[high == 1].sum(), y[high == 0].sum()) < 10:

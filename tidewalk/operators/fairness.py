@@ -112,10 +112,10 @@ def area_gaps(rows: DataFrame, keys: list[str], area: str, threshold: float = 0.
     return r.groupBy(*keys).agg(F.count("*").alias("n_areas"), F.count_if("kept").alias("n_kept"), spread(1 - F.col("tpr"), "fnr_gap"), spread(F.col("fpr"), "fpr_gap"), spread(F.col("brier"), "brier_gap"))
 
 
-def area_summary(rows: DataFrame, area: str, fold: str = "fold", threshold: float = 0.5) -> DataFrame:
+def area_summary(rows: DataFrame, area: str, keys: list[str], fold: str = "fold", threshold: float = 0.5) -> DataFrame:
     """Areas over folds: folds, rows, default rate anew from the counts, mean and deviation of the folds' FPR."""
-    r = rates(rows, [area, fold], threshold=threshold)
-    return r.groupBy(area).agg(F.count("*").alias("n_folds"), F.sum("n").alias("n"), (F.sum("n_pos") / F.sum("n")).alias("default_rate"), F.avg("fpr").alias("mean_fpr"), F.stddev_samp("fpr").alias("sd_fpr"))
+    r = rates(rows, [*keys, area, fold], threshold=threshold)
+    return r.groupBy(*keys, area).agg(F.count("*").alias("n_folds"), F.sum("n").alias("n"), (F.sum("n_pos") / F.sum("n")).alias("default_rate"), F.avg("fpr").alias("mean_fpr"), F.stddev_samp("fpr").alias("sd_fpr"))
 
 
 def verdict(delta, tolerance: float = 1e-5):

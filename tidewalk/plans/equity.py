@@ -212,11 +212,10 @@ def zip_gap_v1(spark: SparkSession, d: str) -> DataFrame:
     return _six(fairness.area_gaps(study.predictions(spark, d), ["model", "arm"], "area", least_n=40), "fnr_gap", "fpr_gap", "brier_gap")
 
 
-@query(f"""WITH {P_SQL}, q AS (SELECT * FROM p WHERE model = 'Logistic' AND arm = 'structured'), r AS ({rates_sql('area, fold', 'q')})
-SELECT area, count(*) AS n_folds, sum(n)::BIGINT AS n, round_even(sum(n_pos) / sum(n)::DOUBLE, 6) AS default_rate, round_even(avg(fpr), 6) AS mean_fpr, round_even(stddev_samp(fpr), 6) AS sd_fpr FROM r GROUP BY 1""")
+@query(f"""WITH {P_SQL}, r AS ({rates_sql('model, arm, area, fold', 'p')})
+SELECT model, arm, area, count(*) AS n_folds, sum(n)::BIGINT AS n, round_even(sum(n_pos) / sum(n)::DOUBLE, 6) AS default_rate, round_even(avg(fpr), 6) AS mean_fpr, round_even(stddev_samp(fpr), 6) AS sd_fpr FROM r GROUP BY 1, 2, 3""")
 def zip_summary_v1(spark: SparkSession, d: str) -> DataFrame:
-    rows = study.predictions(spark, d).where("model = 'Logistic' and arm = 'structured'")
-    return _six(fairness.area_summary(rows, "area"), "default_rate", "mean_fpr", "sd_fpr")
+    return _six(fairness.area_summary(study.predictions(spark, d), "area", ["model", "arm"]), "default_rate", "mean_fpr", "sd_fpr")
 
 
 @query(f"WITH {FOLD_SQL}, e AS (SELECT b.grouping, b.model, b.fold, abs(t.fpr_gap) - abs(b.fpr_gap) AS delta FROM fb b JOIN fb t USING (grouping, model, fold) WHERE b.arm = 'structured' AND t.arm = 'tfidf_full') SELECT grouping, model, CASE WHEN delta < -1e-5::DOUBLE THEN 'improved' WHEN delta > 1e-5::DOUBLE THEN 'worsened' ELSE 'unchanged' END AS verdict, count(*) AS n FROM e WHERE delta IS NOT NULL GROUP BY 1, 2, 3")
@@ -235,49 +234,46 @@ def paired_text_effect(spark: SparkSession, d: str) -> DataFrame:
 
 # --- calibration ----------------------------------------------------------------------------------
 
-C_SQL = f"""{PL_SQL}, c0 AS (SELECT * FROM pl WHERE model = 'Logistic' AND index_group IN ('Low', 'High')), ce AS (SELECT fold, arm, list_distinct(quantile_cont(y_prob, [{', '.join(f'{i / 10}::DOUBLE' for i in range(1, 10))}])) AS e FROM c0 GROUP BY 1, 2),
-cv AS (SELECT fold, arm, index_group AS level, len(list_filter(e, lambda x: x <= y_prob))::INT AS bin, count(*) AS n, avg(y_prob) AS mean_p, avg(y_true) AS rate FROM c0 JOIN ce USING (fold, arm) GROUP BY ALL),
-cx AS (SELECT fold, arm, level, sum(n)::BIGINT AS n, sum(n * abs(rate - mean_p)) / sum(n) AS ece FROM cv GROUP BY 1, 2, 3)"""
+C_SQL = f"""{PL_SQL}, c0 AS (SELECT * FROM pl WHERE index_group IN ('Low', 'High')), ce AS (SELECT fold, model, arm, list_distinct(quantile_cont(y_prob, [{', '.join(f'{i / 10}::DOUBLE' for i in range(1, 10))}])) AS e FROM c0 GROUP BY 1, 2, 3),
+cv AS (SELECT fold, model, arm, index_group AS level, len(list_filter(e, lambda x: x <= y_prob))::INT AS bin, count(*) AS n, avg(y_prob) AS mean_p, avg(y_true) AS rate FROM c0 JOIN ce USING (fold, model, arm) GROUP BY ALL),
+cx AS (SELECT fold, model, arm, level, sum(n)::BIGINT AS n, sum(n * abs(rate - mean_p)) / sum(n) AS ece FROM cv GROUP BY 1, 2, 3, 4)"""
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
-    rows = study.labelled_predictions(spark, d).where("model = 'Logistic'").where(F.col("index_group").isin("Low", "High")).withColumnRenamed("index_group", "level")
-    return fairness.calibration(rows, ["fold", "arm"], "level")
+    rows = study.labelled_predictions(spark, d).where(F.col("index_group").isin("Low", "High")).withColumnRenamed("index_group", "level")
+    return fairness.calibration(rows, ["fold", "model", "arm"], "level")
 
 
-@query(f"WITH {C_SQL} SELECT fold, arm, level, bin, n, round_even(mean_p, 6) AS mean_p, round_even(rate, 6) AS rate FROM cv")
+@query(f"WITH {C_SQL} SELECT fold, model, arm, level, bin, n, round_even(mean_p, 6) AS mean_p, round_even(rate, 6) AS rate FROM cv")
 def calibration_curve(spark: SparkSession, d: str) -> DataFrame:
     return _six(_curve(spark, d), "mean_p", "rate")
 
 
-@query(f"WITH {C_SQL} SELECT fold, arm, level, n, round_even(ece, 6) AS ece FROM cx")
+@query(f"WITH {C_SQL} SELECT fold, model, arm, level, n, round_even(ece, 6) AS ece FROM cx")
 def ece(spark: SparkSession, d: str) -> DataFrame:
-    return _six(fairness.calibration_error(_curve(spark, d), ["fold", "arm", "level"]), "ece")
+    return _six(fairness.calibration_error(_curve(spark, d), ["fold", "model", "arm", "level"]), "ece")
 
 
-@query(f"WITH {C_SQL} SELECT arm, round_even(avg(ece) FILTER (level = 'Low'), 6) AS ece_low, round_even(avg(ece) FILTER (level = 'High'), 6) AS ece_high, round_even(avg(ece) FILTER (level = 'High') - avg(ece) FILTER (level = 'Low'), 6) AS ece_diff, count(*) AS n_cells FROM cx GROUP BY 1")
+@query(f"WITH {C_SQL} SELECT model, arm, round_even(avg(ece) FILTER (level = 'Low'), 6) AS ece_low, round_even(avg(ece) FILTER (level = 'High'), 6) AS ece_high, round_even(avg(ece) FILTER (level = 'High') - avg(ece) FILTER (level = 'Low'), 6) AS ece_diff, count(*) AS n_cells FROM cx GROUP BY 1, 2")
 def calibration_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = fairness.calibration_error(_curve(spark, d), ["fold", "arm", "level"])
-    return _six(fairness.calibration_summary(e, ["arm"], "level"), "ece_low", "ece_high", "ece_diff")
+    e = fairness.calibration_error(_curve(spark, d), ["fold", "model", "arm", "level"])
+    return _six(fairness.calibration_summary(e, ["model", "arm"], "level"), "ece_low", "ece_high", "ece_diff")
 
 
 @query()
 def recalibration_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows = study.labelled_predictions(spark, d).where("model = 'Logistic'")
-    return _six(fairness.recalibration(rows, ["arm", "index_group"]), "intercept", "slope", digits=4)
+    return _six(fairness.recalibration(study.labelled_predictions(spark, d), ["model", "arm", "index_group"]), "intercept", "slope", digits=4)
 
 
 @query()
 def recalibration_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Differences High - Low of the recalibration's intercept and slope, beside those of the calibration errors."""
-    rows = study.labelled_predictions(spark, d).where("model = 'Logistic'")
-    fits = fairness.recalibration(rows, ["arm", "index_group"])
+    fits = fairness.recalibration(study.labelled_predictions(spark, d), ["model", "arm", "index_group"])
     pick = lambda c, level: F.max(F.when(F.col("index_group") == level, F.col(c)))
-    gaps = fits.groupBy("arm").agg(*[(pick(c, "High") - pick(c, "Low")).alias(f"{c}_diff") for c in ("intercept", "slope")])
-    return _six(gaps.join(calibration_summary(spark, d).select("arm", "ece_diff", "n_cells"), "arm"), "intercept_diff", "slope_diff", digits=4)
+    gaps = fits.groupBy("model", "arm").agg(*[(pick(c, "High") - pick(c, "Low")).alias(f"{c}_diff") for c in ("intercept", "slope")])
+    return _six(gaps.join(calibration_summary(spark, d).select("model", "arm", "ece_diff", "n_cells"), ["model", "arm"]), "intercept_diff", "slope_diff", digits=4)
 
 
 @query()
 def sufficiency_test(spark: SparkSession, d: str) -> DataFrame:
-    rows = study.labelled_predictions(spark, d).where("model = 'Logistic'")
-    return _six(fairness.sufficiency(rows, ["arm", "fold"], "index_group", least=10), "coef_is_high", "p_is_high", "coef_interaction", "p_interaction", digits=4)
+    return _six(fairness.sufficiency(study.labelled_predictions(spark, d), ["model", "arm", "fold"], "index_group", least=10), "coef_is_high", "p_is_high", "coef_interaction", "p_interaction", digits=4)

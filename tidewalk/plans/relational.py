@@ -51,7 +51,7 @@ def value_counts(spark: SparkSession, d: str) -> DataFrame:
     return by.orderBy(F.desc("n"), "segment").limit(3)
 
 
-@query("SELECT count(*) AS n_rows, 6 AS n_columns FROM orders")
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM orders))::INT AS n_columns FROM orders")
 def file_profile(spark: SparkSession, d: str) -> DataFrame:
     return tables.profile(tables.scan(spark, d, "orders"))
 
@@ -177,10 +177,14 @@ def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
     return fit.correlations(_train(spark, d)[0], ["amount", "balance", "twin"]).withColumn("r", R("r"))
 
 
-@query("SELECT 'twin' AS \"column\" UNION ALL SELECT 'sparse'")
+_COLUMNS = ("amount", "balance", "twin", "sparse")
+_PAIRS_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, avg(({a} IS NULL)::INT) AS na, avg(({b} IS NULL)::INT) AS nb FROM t" for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :])
+
+
+@query(f'WITH {T_SQL}, pr AS ({_PAIRS_SQL}) SELECT DISTINCT CASE WHEN na > nb THEN a WHEN nb > na THEN b ELSE greatest(a, b) END AS "column" FROM pr WHERE abs(r) > 0.95::DOUBLE')
 def corr_drop_list(spark: SparkSession, d: str) -> DataFrame:
     # twin follows amount and has the later name; sparse equals balance where it is known, and has more nulls
-    return fit.correlated_columns(_train(spark, d)[0], ["amount", "balance", "twin", "sparse"])
+    return fit.correlated_columns(_train(spark, d)[0], list(_COLUMNS))
 
 
 @query(f"""WITH {T_SQL} SELECT 'amount' AS "column", round_even(quantile_cont(amount, 0.995::DOUBLE), 4) AS cap, true AS applied FROM t UNION ALL SELECT 'balance', round_even(quantile_cont(balance, 0.995::DOUBLE), 4), min(balance) >= 0 FROM t""")
