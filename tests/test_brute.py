@@ -97,9 +97,12 @@ def test_components_of_the_embeddings(spark):
 
 
 def test_audit_of_a_fold(spark):
-    fold = study.fold_table(spark, TABLES).orderBy("fold").first()
+    folds = study.fold_table(spark, TABLES).orderBy("fold").collect()
+    found = {r["fold"]: r for r in catalogue.QUERIES["preprocessing_audit"](spark, TABLES).collect()}
+    assert sorted(found) == [f["fold"] for f in folds]
+    fold = folds[5]
     train = modelling._features(spark, TABLES).where(F.col("month") <= F.lit(fold["train_cutoff"])).toPandas()
-    r = catalogue.QUERIES["preprocessing_audit"](spark, TABLES).first()
+    r = found[fold["fold"]]
     assert r["caps"] == pytest.approx({c: np.quantile(train[c].dropna(), 0.995) for c in r["caps"]})
     assert r["categories"] == {c: sorted(train[c].unique()) for c in ("segment", "priority")} and "is_default" not in r["numeric"]
 

@@ -56,7 +56,7 @@ def fit_vectors(train: DataFrame, test: DataFrame, model: str, y: str, trees: in
     return fitted, scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def each_fold(work: Callable[[dict], DataFrame], folds: list[dict], parallel: int = PARALLEL) -> list[DataFrame]:
+def each_fold(work: Callable, folds: list[dict], parallel: int = PARALLEL) -> list:
     """The folds' work, some side by side: folds are independent, and small fits leave a cluster idle."""
     with ThreadPoolExecutor(max(min(parallel, len(folds)), 1)) as pool:
         return list(pool.map(work, folds))

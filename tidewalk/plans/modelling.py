@@ -151,11 +151,17 @@ def arm_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def preprocessing_audit(spark: SparkSession, d: str) -> DataFrame:
-    fold = study.fold_table(spark, d).orderBy("fold").first()
-    p = fit.prepare(_features(spark, d).where(F.col("month") <= F.lit(fold["train_cutoff"])), **PREPARE)
-    fit.banned(p.features(), {"is_default", "id"}, ("label",))
-    rows = [(fold["fold"], p.numeric, p.missing, p.correlated, {k: float(v) for k, v in p.caps.items()}, p.categories)]
-    return spark.createDataFrame(rows, "fold int, numeric array<string>, missing array<string>, correlated array<string>, caps map<string,double>, categories map<string,array<string>>")
+    """What every fold's preprocessing has learned."""
+    rows = _features(spark, d).persist()
+
+    def one(f: dict) -> tuple:
+        p = fit.prepare(models.sides(rows, f, "month")[0], **PREPARE)
+        fit.banned(p.features(), {"is_default", "id"}, ("label",))
+        return f["fold"], p.numeric, p.missing, p.correlated, {k: float(v) for k, v in p.caps.items()}, p.categories
+
+    found = models.each_fold(one, [r.asDict() for r in study.fold_table(spark, d).orderBy("fold").collect()])
+    rows.unpersist()
+    return spark.createDataFrame(found, "fold int, numeric array<string>, missing array<string>, correlated array<string>, caps map<string,double>, categories map<string,array<string>>")
 
 
 @query
