@@ -105,11 +105,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that `written` made, once nothing reads them any more."""
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(df.sparkSession, df._scratch)
 
 
 def freed(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, licenses, packing, passages, personal, quality, suffix_dedup, toxicity
+from . import conversations, decontaminate, exact_dedup, filter_audit, jaccard_join, licenses, packing, passages, personal, quality, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
