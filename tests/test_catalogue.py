@@ -5,7 +5,7 @@ from tidewalk.plans import catalogue, study
 
 #: Large enough for every group of every query to have rows.
 TABLES = "/root/testdata/sf0.01"
-SLOW = {"lr_walk_forward", "gbt_walk_forward", "rf_walk_forward", "importance_by_model", "grid_search", "tuned_refit", "arm_metrics", "arm_delong", "arm_fairness", "arm_calibration"}
+SLOW = {"lr_walk_forward", "gbt_walk_forward", "rf_walk_forward", "importance_by_model", "grid_search", "tuned_refit"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))

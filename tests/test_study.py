@@ -114,17 +114,14 @@ def test_tuning_averages_folds_and_refits(spark):
     assert {r["id"]: round(r["y_prob"], 9) for r in out.collect()} == {r["id"]: round(r["y_prob"], 9) for r in want.collect()}
 
 
-def test_study_reads_models_predictions(spark, tmp_path, monkeypatch):
-    """One fold, one arm beside the base: every later step sees the same rows of each arm."""
+def test_study_reads_models_predictions(spark):
+    """Every later step sees the same rows of each arm, in every fold."""
     folder = "/root/testdata/sf0.001"
-    monkeypatch.setattr(modelling, "STUDY_ARMS", ("structured", "embed_pca"))
-    whole = modelling.study_predictions
-    monkeypatch.setattr(modelling, "study_predictions", lambda s, d: whole(s, d, ("structured", "embed_pca")))
     p = modelling.study_predictions(spark, folder)
     by = {r["arm"]: r["ids"] for r in p.groupBy("arm").agg(F.sort_array(F.collect_list(F.struct("fold", "id"))).alias("ids")).collect()}
-    assert by["structured"] == by["embed_pca"] and p.where("y_prob < 0 or y_prob > 1 or area is null").count() == 0
+    assert set(by) == set(arms.ARMS) and all(ids == by["structured"] for ids in by.values())
     n_folds = p.select("fold").distinct().count()
     assert n_folds == modelling.study.fold_table(spark, folder).count()
     assert {(r["fold"], r["arm"]) for r in modelling.arm_metrics(spark, folder).collect()} == {(k, a) for k in range(1, n_folds + 1) for a in by}
-    assert modelling.arm_delong(spark, folder).count() == n_folds
+    assert modelling.arm_delong(spark, folder).count() == n_folds * (len(by) - 1)
     assert modelling.arm_fairness(spark, folder).count() > 0 and modelling.arm_calibration(spark, folder).count() > 0

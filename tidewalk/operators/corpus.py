@@ -43,6 +43,14 @@ def capped(t: DataFrame, most: int) -> DataFrame:
     return t.groupBy("term").agg(F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(most)
 
 
+def numbered(t: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(term, number: its place in order of name; the terms in that order). Terms are sorted by ranges and numbered by range and place, in no single task."""
+    spark = t.sparkSession
+    ordered = t.select("term").distinct().orderBy("term").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+    out = spark.createDataFrame(ordered, "term string, number long").persist()
+    return out, [r["term"] for r in out.orderBy("number").collect()]
+
+
 def idf(train: DataFrame, n_docs: int, least: int = 5) -> DataFrame:
     """Smoothed idf of the training side: term, df, idf. n_docs counts all training documents, empty ones too."""
     df = train.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import arms, corpus, fairness, fit, models, rankstats
+from ..operators import arms, blocks, boosting, corpus, fairness, fit, models, rankstats, runner, walks
 from ..sources import tables
 from . import study, textual
 
@@ -27,28 +27,82 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return study.loans(spark, d).withColumn("balance", X.not_negative("balance")).drop("area", "issue_d")
 
 
-#: Trees of the boosted and random forests in the queries; the operators take any number.
+#: Trees of the random forests in the queries; the operators take any number.
 TREES = 20
+DAY = "unix_date"
+
+
+def walk_blocks(rows: DataFrame, period: str, y: str, never: set[str], encoded: list[str], doc: str = "", texts: arms.Texts | None = None) -> tuple[blocks.Blocks, list[str]]:
+    """A study's rows as blocks, and its terms in order of their numbers. With texts, rows name their document in the column doc."""
+    spark = rows.sparkSession
+    tables.shipped(spark)
+    numeric = fit.numeric_candidates(rows, never | {doc})
+    # a row for each value of an encoded column
+    seen = {c: rows.groupBy(F.coalesce(c, F.lit("Missing")).alias("v")).agg(F.min(F.unix_date(period)).alias("day")).orderBy("v").collect() for c in encoded}
+    base = rows.select(
+        "id", F.unix_date(period).alias("time"), F.col(y).cast("double").alias("y"), blocks.array_of(numeric).alias("x"), F.array(*[F.coalesce(c, F.lit("Missing")) for c in encoded]).cast("array<string>").alias("codes"),
+        *([F.col(doc).alias("doc")] if doc else []),
+    )
+    none = F.array().cast("array<double>")
+    lexicon, width, names = (), 0, []
+    if texts is None:
+        base = base.withColumns({"has_text": F.lit(0.0), "lexicon": none, "vector": none, "term": F.array().cast("array<int>"), "weight": none})
+    else:
+        lexicon = tuple(c for c in texts.lexicon.columns if c != "doc")
+        width = len(texts.vectors.select("embedding").first()["embedding"])
+        numbered, names = corpus.numbered(texts.terms)
+        cells = texts.terms.join(numbered, "term").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("number", (1 + F.ln("tf")).alias("w")))).alias("cells"))
+        about = texts.lexicon.select("doc", blocks.array_of(list(lexicon)).alias("lexicon")).join(texts.vectors.select("doc", F.col("embedding").cast("array<double>").alias("vector")), "doc", "full")
+        about = about.join(cells.select("doc", F.col("cells.number").cast("array<int>").alias("term"), F.col("cells.w").alias("weight")), "doc", "full")
+        base = base.join(about, "doc", "left").withColumn("has_text", F.col("doc").isNotNull().cast("double")).drop("doc")
+        empty = {"lexicon": none, "vector": none, "term": F.array().cast("array<int>"), "weight": none}
+        base = base.withColumns({c: F.when(F.col(c).isNotNull(), F.col(c)) if c in ("lexicon", "vector") else F.coalesce(c, empty[c]) for c in empty})
+    layout = blocks.Layout(tuple(numeric), {c: {r["v"]: r["day"] for r in found} for c, found in seen.items()}, lexicon, width, len(names), base.schema["id"].dataType.simpleString())
+    path = f"{tables.scratch(spark)}/blocks"
+    blocks.written(base, layout, path)
+    return blocks.Blocks(spark, path, layout), names
+
+
+def learned_folds(rows: DataFrame, table: DataFrame, period: str, held: blocks.Blocks, logged: list[str], texts: bool = False, components: int = arms.COMPONENTS) -> list[walks.Fold]:
+    folds = [{"fold": r["fold"], "cutoff": r["cutoff"], "end": r["end"]} for r in table.select("fold", F.unix_date("train_cutoff").alias("cutoff"), F.unix_date("test_end").alias("end")).collect()]
+    return walks.learned(held, folds, walks.fold_caps(rows, table, period, [c for c in logged if c in held.layout.numeric]), logged, texts, components)
+
+
+def _walked(spark: SparkSession, d: str) -> tuple[blocks.Blocks, list[walks.Fold]]:
+    rows, table = _features(spark, d).persist(), study.fold_table(spark, d).persist()
+    held, _ = walk_blocks(rows, "month", "is_default", NEVER, PREPARE["encoded"])
+    folds = learned_folds(rows, table, "month", held, PREPARE["logged"])
+    rows.unpersist()
+    table.unpersist()
+    return held, folds
 
 
-def _walk(spark: SparkSession, d: str, model: str) -> DataFrame:
-    p = models.walk_forward(_features(spark, d), study.fold_table(spark, d), "month", "is_default", model, PREPARE, trees=TREES)
+def _auc(p: DataFrame) -> DataFrame:
     return rankstats.auc(p, ["fold", "model"]).withColumn("auc", R("auc"))
 
 
 @query
 def lr_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _walk(spark, d, "Logistic")
+    """AUC of the logistic model on each fold's test rows."""
+    held, folds = _walked(spark, d)
+    fits = walks.logistic(held, folds, ("structured",))
+    held.done()
+    return _auc(walks.scored(held, folds, fits))
 
 
 @query
 def gbt_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _walk(spark, d, "Boosted")
+    """AUC of 300 boosted trees on each fold's test rows."""
+    held, folds = _walked(spark, d)
+    fits = boosting.fitted(held, folds, ("structured",))
+    held.done()
+    return _auc(boosting.scored(held, folds, fits))
 
 
 @query
 def rf_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _walk(spark, d, "Forest")
+    p = models.walk_forward(_features(spark, d), study.fold_table(spark, d), "month", "is_default", "Forest", PREPARE, trees=TREES)
+    return _auc(p)
 
 
 @query
@@ -70,53 +124,67 @@ def tuned_refit(spark: SparkSession, d: str) -> DataFrame:
 
 # --- the study with texts: arms by fold, and what reads their predictions -----------------------------
 
-#: Arms of the registered study.
-STUDY_ARMS = ("structured", "tfidf_chi2", "embed_pca")
+#: Arms and models of the registered study; folds whose predictions are written together.
+STUDY_ARMS = tuple(arms.ARMS)
+WAVE = 12
 _written: dict[tuple, str] = {}
 
 
 def with_texts(spark: SparkSession, d: str) -> tuple[DataFrame, arms.Texts]:
     """Loans with a document each (three quarters have one), and what belongs to documents."""
     n = max(study.corpus(spark, d).count(), 1)
-    rows = _features(spark, d).withColumn("has_text", (F.col("id") % 4 != 0).cast("int")).withColumn("doc", F.when(F.col("id") % 4 != 0, F.col("id") % n))
-    terms = textual._terms(spark, d, False).withColumnRenamed("id", "doc").persist()
+    rows = _features(spark, d).withColumn("doc", F.when(F.col("id") % 4 != 0, F.col("id") % n))
+    terms = textual._terms(spark, d, False).withColumnRenamed("id", "doc")
     lexicon = textual.lexicon_features(spark, d).withColumnRenamed("id", "doc")
     e = tables.scan(spark, d, "embeddings", "vec_id", "embedding")
     return rows, arms.Texts(terms, lexicon, e.withColumnRenamed("vec_id", "doc"), components=10)
 
 
-def study_predictions(spark: SparkSession, d: str, names: tuple[str, ...] = STUDY_ARMS, model: str = "Logistic") -> DataFrame:
-    """Predictions of every fold, arm by arm, made once for each session and folder: id, fold, model, arm, y_true, y_prob, area.
+def run_study(spark: SparkSession, d: str, path: str, settings: runner.Settings) -> DataFrame:
+    """Predictions of the settings' folds, arms and models as a table at path: id, fold, model, arm, y_true, y_prob, area.
 
-    They are written fold by fold, so that a run that stops can be taken up.
+    Folds are fitted and written WAVE by WAVE, each complete or not there, so that a run that stops is taken up where it was; restart begins anew.
     """
-    key = (spark.sparkContext.applicationId, d, names, model)
-    if key in _written:
-        return spark.read.parquet(_written[key])
-    path = f"{tables.scratch(spark)}/predictions"
-    rows, texts = with_texts(spark, d)
-    rows = rows.persist()
-    area = study.loans(spark, d).select("id", "area")
-
-    def one(f: dict) -> DataFrame:
-        train, test = models.sides(rows, f, "month")
-        p = fit.prepare(train, **(PREPARE | {"never": NEVER | {"doc", "has_text"}}))
-        parts = []
-        for arm in names:
-            ready, ahead, features = arms.matrices(arm, train, test, p, texts, "is_default")
-            fit.banned(features, {"is_default", "id", "area", "y_true"}, ("label", "fairness"))
-            _, scored = models.fit_vectors(ready, ahead, model, "is_default", TREES)
-            parts.append(scored.select("id", F.lit(f["fold"]).alias("fold"), F.lit(model).alias("model"), F.lit(arm).alias("arm"), F.col("is_default").alias("y_true"), F.bround("y_prob", 6).alias("y_prob")))
-        tables.append_fold(reduce(DataFrame.unionByName, parts).join(area, "id"), path)
-        return train
-
+    table = study.fold_table(spark, d).persist()
+    if settings.restart:
+        tables.removed(spark, path)
     done = set(tables.done_folds(spark, path))
-    models.each_fold(one, [r.asDict() for r in study.fold_table(spark, d).orderBy("fold").collect() if r["fold"] not in done])
-    rows.unpersist()
-    _written[key] = path
+    left = [r["fold"] for r in table.select("fold").orderBy("fold").collect() if r["fold"] not in done and (not settings.folds or r["fold"] in settings.folds)]
+    if left:
+        rows, texts = with_texts(spark, d)
+        rows = rows.persist()
+        held, _ = walk_blocks(rows, "month", "is_default", NEVER, PREPARE["encoded"], "doc", texts)
+        area = study.loans(spark, d).select("id", "area").persist()
+        for at in range(0, len(left), settings.parallel):
+            own = table.where(F.col("fold").isin(left[at : at + settings.parallel]))
+            folds = learned_folds(rows, own, "month", held, PREPARE["logged"], True, texts.components)
+            for f in folds:
+                for arm in settings.arms:
+                    fit.banned(f.names(held.layout, arm), {"is_default", "id", "area", "y_true"}, ("label", "fairness"))
+            parts = []
+            if "Logistic" in settings.models:
+                parts.append(walks.scored(held, folds, walks.logistic(held, folds, settings.arms)))
+            if "Boosted" in settings.models:
+                parts.append(boosting.scored(held, folds, boosting.fitted(held, folds, settings.arms, boosting.Settings(trees=settings.trees, seed=settings.seed))))
+            scores = reduce(DataFrame.unionByName, parts).withColumn("y_prob", F.bround("y_prob", 6))
+            tables.append_fold(scores.join(area, "id"), path)
+        held.done()
+        area.unpersist()
+        rows.unpersist()
+    table.unpersist()
     return spark.read.parquet(path)
 
 
+def study_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered study's predictions: all folds, all arms, the logistic model; made once for each session and folder and shared by the queries below."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _written:
+        path = f"{tables.scratch(spark)}/predictions"
+        run_study(spark, d, path, runner.Settings(arms=STUDY_ARMS, models=("Logistic",), parallel=WAVE))
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 @query
 def arm_metrics(spark: SparkSession, d: str) -> DataFrame:
     """AUC, average precision, Brier score and Gini of each fold and arm, from models' predictions."""

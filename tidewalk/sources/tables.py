@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{named}/tidewalk-{uuid.uuid4().hex}"
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives the package's modules to the executors, once for each session, so that they need no installation there."""
+    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_tidewalk_modules", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tidewalk-")  # the driver's file server reads it as long as the session lasts
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{top.name}-library", "zip", top.parent, top.name))
+    context._tidewalk_modules = True
+
+
 def _files(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
@@ -47,6 +61,12 @@ def complete(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop))
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes a table away, if it is there."""
+    fs, hadoop = _files(spark, path)
+    fs.delete(hadoop, True)
+
+
 def newest(spark: SparkSession, pattern: str) -> str:
     """Of the files or folders that match, the one that was changed last; of equal times the last by name."""
     fs, hadoop = _files(spark, pattern)
