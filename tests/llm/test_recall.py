@@ -100,3 +100,24 @@ def test_words_of_a_known_collision_stay_apart(spark):
     data = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
     hashes, _ = common.word_hashes(data, np.array([0, len(data)]), common.SOLID)
     assert hashes[0] == hashes[2] != hashes[1]
+
+
+@pytest.mark.parametrize("n,line,documents", [(50, 25, 200), (50, 35, 200), (50, 30, 2000)])
+def test_identical_passages_around_a_frequent_line_are_found(spark, n, line, documents):
+    """Every document has the line; each pair has it within a passage of its own."""
+    rng = np.random.default_rng(n + line)
+    common_line, texts = noise(rng, line), []
+    for _ in range(documents // 2):
+        before = int(rng.integers(3, n - line - 2))
+        own = noise(rng, before) + common_line + noise(rng, n - line - before)
+        for _ in range(2):
+            texts.append(" ".join(noise(rng, int(rng.integers(20, 50))) + own + noise(rng, int(rng.integers(20, 50)))))
+    order = rng.permutation(documents).tolist()
+    docs = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in passages.classes(docs).collect()}
+    pairs = [(rows[order[i]], rows[order[i + 1]]) for i in range(0, documents, 2)]
+    assert np.mean([a["class_id"] == b["class_id"] for a, b in pairs]) >= 0.9
+    sizes = np.unique([r["class_id"] for r in rows.values()], return_counts=True)[1]
+    assert sizes.max() <= 2  # the line alone links nothing
+    found = [a for a, b in pairs if a["class_id"] == b["class_id"]]
+    assert np.mean([n <= r["n_repeated_words"] <= n + 2 * line for r in found]) >= 0.95

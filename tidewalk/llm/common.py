@@ -250,6 +250,14 @@ def prefix_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarr
     return out
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix polynomial hashes of 64-bit values, for range_hashes."""
+    up, _ = _grown(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=out[1:])
+    return out
+
+
 def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[start:end] for each pair; equal bytes give equal hashes wherever they stand."""
     _, down = _grown(len(prefix))
