@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import equity, modelling, operations, relational, statistics, textual
+from . import connected, equity, modelling, operations, relational, statistics, textual
 
-MODULES = (relational, statistics, equity, textual, operations, modelling)
+MODULES = (relational, statistics, equity, textual, operations, connected, modelling)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import arms, blocks, boosting, corpus, fairness, fit, models, rankstats, runner, walks
-from ..sources import tables
+from ..sources import connectors, tables
 from . import study, textual
 
 R = X.rounded
@@ -148,7 +148,7 @@ def run_study(spark: SparkSession, d: str, path: str, settings: runner.Settings)
     table = study.fold_table(spark, d).persist()
     if settings.restart:
         tables.removed(spark, path)
-    done = set(tables.done_folds(spark, path))
+    done = {int(m) for m in connectors.marks(spark, path)}
     left = [r["fold"] for r in table.select("fold").orderBy("fold").collect() if r["fold"] not in done and (not settings.folds or r["fold"] in settings.folds)]
     if left:
         rows, texts = with_texts(spark, d)
@@ -167,12 +167,21 @@ def run_study(spark: SparkSession, d: str, path: str, settings: runner.Settings)
             if "Boosted" in settings.models:
                 parts.append(boosting.scored(held, folds, boosting.fitted(held, folds, settings.arms, boosting.Settings(trees=settings.trees, seed=settings.seed))))
             scores = reduce(DataFrame.unionByName, parts).withColumn("y_prob", F.bround("y_prob", 6))
-            tables.append_fold(scores.join(area, "id"), path)
+            own = sorted(f.fold for f in folds)
+            connectors.append(scores.join(area, "id").select(*PREDICTED), path, f"folds {own}", tuple(own))
         held.done()
         area.unpersist()
         rows.unpersist()
     table.unpersist()
-    return spark.read.parquet(path)
+    return predicted(spark, path)
+
+
+#: Columns of a study's predictions.
+PREDICTED = {"id": "long", "fold": "int", "model": "string", "arm": "string", "y_true": "int", "y_prob": "double", "area": "string"}
+
+
+def predicted(spark: SparkSession, path: str) -> DataFrame:
+    return connectors.read(spark, path, ", ".join(f"{c} {t}" for c, t in PREDICTED.items()))
 
 
 def study_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +191,7 @@ def study_predictions(spark: SparkSession, d: str) -> DataFrame:
         path = f"{tables.scratch(spark)}/predictions"
         run_study(spark, d, path, runner.Settings(arms=STUDY_ARMS, models=("Logistic",), parallel=WAVE))
         _written[key] = path
-    return spark.read.parquet(_written[key])
+    return predicted(spark, _written[key])
 
 
 @query
@@ -264,6 +273,9 @@ def resume_append(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("fold", "model", "arm").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
+ORACLES["resume_append"] = f"WITH {study.P_SQL} SELECT fold, model, arm, count(*) AS n, count(DISTINCT id) AS n_ids FROM p GROUP BY ALL"
+
+
 @query
 def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Sparse rows, as maps from term to weight, with their length."""
