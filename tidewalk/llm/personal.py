@@ -4,7 +4,9 @@ Base spans (email, ip, card, phone) come from patterns and checks. The field lab
 (`secret`: access tokens, passwords, keys; `account`: account, customer and document numbers) and runs of capitalised words (`name`), or nothing. Its
 graph has these candidates and the base spans (whose label is given) as nodes. Neighbours are joined by chain potentials. Repeats of one token, tokens
 alike (same shape and beginning), and a name and an e-mail address that holds it are joined by skip potentials, wherever they stand in the
-document, so that one mention after a telling word speaks for all others. Loopy sum-product messages are passed over the whole document's
+document, so that one mention after a telling word speaks for all others. What a token looks like counts once, at its first mention; further mentions add
+what stands around them and nothing else, and repeat potentials only say how strongly mentions agree, so a mention that nothing tells of has nothing to say,
+however often it comes. Loopy sum-product messages are passed over the whole document's
 graph until they settle. All other words can only be nothing, which cuts the chain there; so the graph's edges are linear in its nodes (repeats
 are linked to their first mention).
 Weights are fitted in the driver by pseudo-likelihood, on documents that this module makes up from templates, with as many tokens of the same shapes after
@@ -46,16 +48,22 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}+")
 CAPITALS = re.compile(r"\b[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})+\b")
 WORD = re.compile(r"[^\W\d_]+")
 LETTERS = re.compile(r"[A-Za-z]{3,}")
-DATE = re.compile(r"(?:19|20)\d\d[-/]\d\d?[-/]\d\d?|\d\d?[-/]\d\d?[-/](?:19|20)\d\d")
+DATE = re.compile(r"(?:19|20)\d\d[-/]\d\d?[-/]\d\d?|\d\d?[-/]\d\d?[-/](?:19|20)\d\d|(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])")
+#: Where what tells of a candidate ends: at a sentence's end, and at the number before.
+CUT = re.compile(r"[.!?;\n]\s|[0-9]{4,}")
+#: Beginnings of access tokens that are public knowledge; capitalised words that are no one's name (fixed values).
+PREFIX = re.compile(r"gh[opsur]_|github_pat_|glpat-|sk_live_|sk_test_|sk-|pk_live_|rk_live_|xox[abprs]-|AKIA|ASIA|AIza|eyJ|hf_|npm_|pypi-|dop_v1_|SG\.")
+NO_NAMES = frozenset("sir madam thank thanks you us we our all the this that today tomorrow yesterday new great good best kind hello hi welcome please click read more about home page terms privacy monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december street avenue road city county river lake island mountain wall north south east west saint university college school bank company inc ltd corp los las san angeles york united states kingdom".split())
 #: Words around a candidate that the field may learn from: of secrets, of accounts, of persons, of other things (fixed values).
 CUES = {
     SECRET: "token secret password passwort contraseña passwd pwd api key credential bearer auth authorization private signing passphrase login",
-    ACCOUNT: "account konto compte cuenta iban customer client kunde cliente member passport license insurance policy ssn social security tax patient employee",
+    ACCOUNT: "account konto compte cuenta iban customer client kunde cliente member passport license licence driver insurance policy ssn social security tax patient employee",
     NAME: "mr mrs ms dr prof herr frau señor señora monsieur madame name named called dear sincerely regards signed contact attn",
     NOTHING: "order invoice commit hash checksum sha md5 page section part model version build revision isbn serial ticket case flight tracking shipped item article chapter line port size file image release batch figure city street company university river",
 }
 VOCABULARY = {w: i for i, w in enumerate(w for words in CUES.values() for w in words.split())}
-SHAPES = 16
+SHAPES = 18
+ALONE = 2 + 15  # the flag of a candidate that no mention's surroundings tell of
 FEATURES = SHAPES + 2 * len(VOCABULARY)
 CONTEXT, NEAR = 40, 24
 #: Messages are passed until none changes by more; rounds besides those that the graph needs (see messages).
@@ -116,7 +124,7 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
         words, start = m[0].split(" "), m.start()
         while words and words[0].lower() in VOCABULARY:  # a title or greeting tells of the name but isn't part of it
             start += len(words.pop(0)) + 1
-        if 2 <= len(words) == len(set(words)) <= 3:
+        if 2 <= len(words) == len(set(words)) <= 3 and not any(w.lower() in NO_NAMES for w in words):
             out.append(Node(start, m.end(), -1, True))
     out.sort()
     kept, upto, k = [], 0, 0
@@ -129,22 +137,47 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
     return sorted(kept + [Node(a, b, kind, False) for a, kind, b in base])
 
 
-def features(text: str, node: Node) -> list[int]:
-    """Numbers of a candidate's features: its shape, and the telling words around it."""
-    token = text[node.start : node.end]
+def around(text: str, node: Node) -> list[int]:
+    """Numbers of the features that a mention's surroundings give: telling words, and an equals sign or colon before it."""
     before, after = text[max(0, node.start - CONTEXT) : node.start], text[node.end : node.end + CONTEXT]
-    sentence = re.split(r"[.!?;\n]\s", before)[-1]
+    sentence = CUT.split(before)[-1]
     near = [VOCABULARY[w] for w in WORD.findall(sentence.lower())[-2 if node.name else -4 :] if w in VOCABULARY]
-    behind = [VOCABULARY[w] for w in WORD.findall(re.split(r"[.!?;\n]\s", after)[0].lower())[:2] if w in VOCABULARY]
-    out = [0] + [SHAPES + i for i in set(near)] + [SHAPES + len(VOCABULARY) + i for i in set(behind)]
-    if node.name:
-        return [*out, 1]
+    behind = [VOCABULARY[w] for w in WORD.findall(CUT.split(after)[0].lower())[:2] if w in VOCABULARY]
+    out = [SHAPES + i for i in set(near)] + [SHAPES + len(VOCABULARY) + i for i in set(behind)]
+    return out if node.name or not sentence.rstrip(" \"'`").endswith(("=", ":")) else [*out, 2]
+
+
+def shape(token: str, name: bool) -> list[int]:
+    """Numbers of the features of a token itself."""
+    if name:
+        return [0, 1]
     n, digits = len(token), sum(c.isdigit() for c in token)
     upper, lower = any(c.isupper() for c in token), any(c.islower() for c in token)
     changes = sum(x.isupper() != y.isupper() or x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False)) / n
     flags = (digits == n, 0 < digits < n and not upper, upper and lower and digits > 0, upper and lower and not digits, changes > 0.3, n >= 16, n >= 24, n >= 36, n > 80,
-             all(c in "0123456789abcdef" for c in token) and digits < n, bool(DATE.fullmatch(token)), sentence.rstrip(" \"'`").endswith(("=", ":")), "-" in token or "_" in token, not near)
-    return out + [2 + i for i, flag in enumerate(flags) if flag]
+             all(c in "0123456789abcdef" for c in token) and digits < n, bool(DATE.fullmatch(token)), "-" in token or "_" in token, bool(PREFIX.match(token)) and n >= 16, len(set(token)) >= 16)
+    return [0] + [3 + i for i, flag in enumerate(flags) if flag]
+
+
+def features(text: str, nodes: list[Node]) -> list[list[int]]:
+    """Each candidate's features: its shape at its first mention alone, its surroundings at every mention. Base spans have none."""
+    out, first, told = [], {}, set()
+    for i, node in enumerate(nodes):
+        if node.base >= 0:
+            out.append([])
+            continue
+        token, own = text[node.start : node.end], around(text, node)
+        key = token.lower()
+        if any(x >= SHAPES for x in own):
+            told.add(key)
+        if key not in first:
+            first[key] = i
+            own = shape(token, node.name) + own
+        out.append(own)
+    for key, i in first.items():
+        if key not in told:
+            out[i].append(ALONE)
+    return out
 
 
 CHAIN, REPEAT, ALIKE = range(3)
@@ -243,12 +276,12 @@ class Maker:
         return self.drawn(self.CASED + "0123456789" * 2, self.between(12, 44))
 
     def password(self) -> str:
-        return (self.word() + self.word())[:8] + self.drawn("0123456789", self.between(1, 4)) + self.word() + self.word()
+        return (self.word() + self.word())[:8] + self.drawn("0123456789", self.between(1, 4)) + self.word() + self.word() + self.drawn("0123456789", self.between(0, 3))
 
     def token(self, label: int) -> str:
         """Each label's shapes; but for mixed case they are shared, so the words around decide."""
         if label == SECRET:
-            return self.one(self.hexadecimal, self.hexadecimal, self.mixed, self.password, lambda: self.drawn(self.CASED, self.between(18, 32)), lambda: self.drawn("abcdefghijklmnopqrstuvwxyz", 2) + "_" + self.mixed())
+            return self.one(self.hexadecimal, self.hexadecimal, self.mixed, self.password, self.password, lambda: self.drawn(self.CASED, self.between(18, 32)), lambda: self.drawn("abcdefghijklmnopqrstuvwxyz", 2) + "_" + self.mixed())
         if label == ACCOUNT:
             return self.one(self.digits, self.digits, self.grouped, lambda: self.drawn("ABCDEFGH", 2) + self.drawn("0123456789", self.between(7, 20)))
         if label == NAME:
@@ -272,7 +305,12 @@ class Maker:
                 mentions.append(f"{filler()} {token.lower().replace(' ', '.')}@{self.word()}.com")
             parts += [mentions[i] for i in self.rng.permutation(len(mentions))]
         if self.rng.random() < 0.4:  # a token that nothing tells of
-            parts.append(f"{filler()} {self.one(self.hexadecimal, self.digits, self.mixed, self.grouped, self.password, lambda: self.token(NAME))} {filler()}")
+            token = self.one(self.hexadecimal, self.digits, self.mixed, self.grouped, self.password, lambda: self.token(NAME))
+            parts += [f"{filler()} {token} {filler()}" for _ in range(self.between(1, 6))]
+        if self.rng.random() < 0.15:  # one that tells of itself
+            token = str(self.rng.choice(["ghp_", "sk_live_", "AKIA", "glpat-", "xoxb-", "hf_"])) + self.drawn(self.CASED + "0123456789", self.between(16, 40))
+            said[token.lower()] = SECRET
+            parts.append(f"{filler()} {token} {filler()}")
         return ". ".join(parts[i] for i in self.rng.permutation(len(parts))) + ".", said
 
 
@@ -282,11 +320,11 @@ class Field(NamedTuple):
 
     def unary(self, text: str, nodes: list[Node]) -> np.ndarray:
         out = np.full((len(nodes), len(LABELS)), -50.0)
-        for i, node in enumerate(nodes):
+        for i, (node, own) in enumerate(zip(nodes, features(text, nodes), strict=True)):
             if node.base >= 0:
                 out[i, GIVEN] = 50.0
             else:
-                out[i, :GIVEN] = self.weight[features(text, node), :GIVEN].sum(0)
+                out[i, :GIVEN] = self.weight[own, :GIVEN].sum(0)
                 out[i, [SECRET, ACCOUNT] if node.name else [NAME]] = -50.0
         return out
 
@@ -295,6 +333,14 @@ class Field(NamedTuple):
         return messages(self.unary(text, nodes), pairs, self.pair[kinds]).argmax(1)
 
 
+def agree(pair: np.ndarray) -> None:
+    """Makes the candidates' part of repeat and alike potentials one number for agreement, in place: then a mention without evidence favours no label."""
+    own = np.eye(GIVEN, dtype=bool)
+    for kind in (REPEAT, ALIKE):
+        part = pair[kind, :GIVEN, :GIVEN]
+        part[own], part[~own] = part[own].mean(), part[~own].mean()
+
+
 @cache
 def fitted(seed: int = 5, documents: int = 1200, steps: int = 250) -> Field:
     """Weights of the features and of the chain, repeat and alike potentials, by pseudo-likelihood."""
@@ -302,8 +348,7 @@ def fitted(seed: int = 5, documents: int = 1200, steps: int = 250) -> Field:
     for _ in range(documents):
         text, said = maker.document()
         nodes = nodes_of(text, base_spans(text))
-        for i, node in enumerate(nodes):
-            columns = features(text, node) if node.base < 0 else []
+        for i, (node, columns) in enumerate(zip(nodes, features(text, nodes), strict=True)):
             rows += [n + i] * len(columns)
             cols += columns
             names.append(node.name)
@@ -332,6 +377,7 @@ def fitted(seed: int = 5, documents: int = 1200, steps: int = 250) -> Field:
         for a, b in both:
             np.add.at(grad, (kinds, slice(None), y[ends[:, b]]), p[ends[:, a]])
         grad = (grad + grad.transpose(0, 2, 1)) / 2  # an edge has no direction
+        agree(grad)
         for v, g, (m, s) in zip((w, pair), (x.T @ p / n + 1e-4 * w, grad / n + 1e-3 * pair), moments, strict=True):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
