@@ -6,8 +6,10 @@ import time
 import numpy as np
 import pytest
 from compare import sql_rows
+from pyspark.sql import functions as F
 
 from tidewalk.functions import exprs as X
+from tidewalk.functions import texts as T
 from tidewalk.operators import checks, rankstats, runner
 from tidewalk.plans import catalogue, operations
 from tidewalk.sources import feeds, tables
@@ -68,11 +70,75 @@ def test_fetched_joins_chunks_and_renames(spark):
     assert sorted(map(tuple, out.collect())) == [("a", 1, None, 3.0), ("b", 4, 5.0, None)] and out.columns == ["k", "first", "y", "z"]
 
 
+def encoder():
+    """Token vectors (length, 1), (5, 3), then zeros; the mask names the first token, and many more of a long text."""
+
+    def encode(some):
+        assert all(some)  # empty texts stay away
+        return [[[float(len(t)), 1.0], [5.0, 3.0]] + [[2.0, 0.0]] * (300 if len(t) > 50 else 0) for t in some], [[1, 0] + [1] * (300 if len(t) > 50 else 0) for t in some]
+
+    return encode
+
+
 def test_embedded_texts(spark):
-    rows = spark.createDataFrame([(i, "x" * (i % 3)) for i in range(7)], "id int, text string")
-    encode = lambda some: ([[[float(len(t)), 1.0], [5.0, 3.0]] for t in some], [[1, 0] if t else [0, 0] for t in some])
-    got = {r["id"]: (r["first"], r["mean"], r["n_tokens"]) for r in feeds.embedded(rows, "id", "text", encode, size=2).collect()}
-    assert got[1] == ([1.0, 1.0], [1.0, 1.0], 1) and got[0] == ([0.0, 1.0], [0.0, 0.0], 0) and len(got) == 7
+    encode = encoder()
+    rows = spark.createDataFrame([(i, "x" * (i % 3)) for i in range(7)] + [(7, None), (8, "y" * 60)], "id int, text string")
+    got = {r["id"]: (r["first"], r["mean"], r["n_tokens"], r["has_text"]) for r in feeds.embedded(rows, "id", "text", encode, 2, size=2).collect()}
+    assert got[1] == ([1.0, 1.0], [1.0, 1.0], 1, True) and got[0] == got[3] == got[7] == ([0.0, 0.0], [0.0, 0.0], 0, False) and len(got) == 9
+    assert got[8][2] == 255 and got[8][1] == pytest.approx([(60 + 2 * 254) / 255, 1 / 255])  # 256 tokens, one of which the mask leaves out
+    assert feeds.embedded(rows.where("text = ''"), "id", "text", encode, 2).count() == 3
+
+
+def test_embeddings_go_on_where_they_stopped(spark, tmp_path):
+    rows, path, calls = spark.createDataFrame([(i, "x" * (i % 5)) for i in range(60)], "id int, text string"), str(tmp_path / "e"), str(tmp_path / "calls")
+
+    encode = encoder()
+
+    def stops(some):
+        if any(len(t) == 4 for t in some) and not __import__("os").path.exists(calls):
+            raise RuntimeError("stopped")
+        return encode(some)
+
+    with pytest.raises(Exception, match="stopped"):
+        feeds.embedded_parts(rows.where("id % 5 < 4 or id = 59"), "id", "text", stops, 2, path, parts=6, size=1)
+    from tidewalk.sources import connectors
+
+    done = connectors.marks(spark, path)
+    assert 0 < len(done) < 6
+    open(calls, "w").close()
+    whole = feeds.embedded_parts(rows.where("id % 5 < 4 or id = 59"), "id", "text", stops, 2, path, parts=6, size=1)
+    assert whole.count() == whole.select("id").distinct().count() == 49 and connectors.marks(spark, path) == {str(i) for i in range(6)}
+    with pytest.raises(ValueError, match="key"):
+        feeds.embedded_parts(rows.unionAll(rows), "id", "text", encode, 2, str(tmp_path / "other"))
+
+
+def test_references_are_resolved_as_python_does(spark):
+    import html
+
+    texts = ["&eacute;&#8217;&apos;&amp;lt;", "&notin; &notit; &am &amp no", "&#x41;&#0;&#xD800;", "plain", "", "&lt;br&gt;", "a &nbsp; b < BR / > c<br>d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["u"] for r in df.select(T.unescaped("t").alias("u")).collect()] == [html.unescape(t) for t in texts]
+    assert [r["n"] for r in df.select(T.natural("t").alias("n")).collect()][-2:] == ["", "a b c d"]
+
+
+def test_lemmas_by_rules(spark):
+    verbs, nouns = ["be", "pay", "carry", "make", "stop", "bus", "lend", "go"], ["loan", "debt", "bus", "city", "knife", "box", "woman", "pay", "make"]
+    said = {"paying": "pay", "carries": "carry", "making": "make", "makes": "make", "loans": "loan", "cities": "city", "boxes": "box", "women": "woman", "went": "go", "unknowns": "unknowns", "busses": "busses", "bus": "bus", "debt": "debt", "lended": "lend", "s": "s"}
+    df = spark.createDataFrame([(list(said),)], "w array<string>")
+    got = df.select(T.lemmas_by_rules(F.col("w"), verbs, nouns, ({"went": "go"}, {})).alias("l")).first()["l"]
+    assert dict(zip(said, got, strict=True)) == said
+    assert df.select(T.lemmas_by_rules(F.col("w"), [], []).alias("l")).first()["l"] == list(said)
+
+
+def test_command_line_goes_on(spark, tmp_path):
+    from tidewalk import __main__ as command
+
+    where = ["tables=/root/testdata/sf0.001", f"out={tmp_path}", "arms=structured"]
+    first = command.main([*where, "folds=1,2"])
+    assert command.main([*where, "folds=1,2"]) == first
+    assert command.main(where) > first
+    with pytest.raises(SystemExit):
+        command.main(["arms=structured"])
 
 
 def test_settings():

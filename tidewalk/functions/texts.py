@@ -1,9 +1,13 @@
-"""Text as columns: cleaning, tokens, bigrams, statistics. Built-in expressions only."""
+"""Text as columns: cleaning, tokens, bigrams, statistics, lemmas. Built-in expressions, but for character references, of which there are thousands."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .exprs import c
 
@@ -13,7 +17,11 @@ DOMAIN_WORDS = ("added", "borrower", "loan", "lending", "club", "thanks", "thank
 #: What the form puts before a text of its own (fixed values).
 BOILERPLATE = r"^\s*borrower\s+added\s+on\s+\d{2}/\d{2}/\d{2}\s*>\s*"
 BOILERPLATE_ANYWHERE = r"(?i)(?:borrower\s+|\d+\s+)?added\s+on\s+\d{2}/\d{2}/\d{2}\s*>?"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: All blanks of Unicode and the separators of ASCII.
+BLANKS = r"(?U)[\s\x1C-\x1F]+"
+#: Endings of inflected words and what they stand for, verbs and nouns (fixed values).
+VERB_ENDINGS = (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""))
+NOUN_ENDINGS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
 
 
 def letters(x: Column | str, boilerplate: bool = True) -> Column:
@@ -47,12 +55,33 @@ def lemmatised(words: Column, lemmas: dict[str, str]) -> Column:
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
 
 
+def by_rules(word: Column, known: list[str], endings: tuple[tuple[str, str], ...], exceptions: dict[str, str]) -> Column:
+    """The shortest of the known words that a word stands for (itself, or itself with an ending taken back; of equal lengths the first); exceptions go before, unknown words stay."""
+    forms = [F.when(word.isin(*known), word)] if known else []
+    for ending, instead in endings if known else ():
+        form = F.concat(F.substring(word, 1, F.length(word) - len(ending)), F.lit(instead))
+        forms.append(F.when(word.endswith(ending) & (F.length(word) > len(ending)) & form.isin(*known), form))
+    found = F.array_compact(F.array(*forms)) if forms else F.array().cast("array<string>")
+    best = F.array_min(F.transform(found, lambda f: F.struct(F.length(f).alias("n"), (F.array_position(found, f)).alias("place"), f.alias("form"))))["form"]
+    special = F.try_element_at(F.create_map(*[F.lit(x) for pair in exceptions.items() for x in pair]), word) if exceptions else F.lit(None).cast("string")
+    return F.coalesce(special, best, word)
+
+
+def lemmas_by_rules(words: Column, verbs: list[str], nouns: list[str], exceptions: tuple[dict[str, str], dict[str, str]] = ({}, {})) -> Column:
+    """Words as verbs, and what that gives as nouns: endings are taken back where that gives a known word."""
+    return F.transform(words, lambda w: by_rules(by_rules(w, verbs, VERB_ENDINGS, exceptions[0]), nouns, NOUN_ENDINGS, exceptions[1]))
+
+
+@F.pandas_udf(StringType())
+def unescaped(x: pd.Series) -> pd.Series:
+    """Named and numeric character references resolved, longest names first, in one pass."""
+    return x.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+
 def natural(x: Column | str) -> Column:
-    """Natural text for a language model: entities and line breaks resolved, boilerplate out, blanks collapsed."""
-    out = F.regexp_replace(F.coalesce(c(x), F.lit("")), r"(?i)<br\s*/?>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, BOILERPLATE_ANYWHERE, " "), r"\s+", " "))
+    """Natural text for a language model: references resolved first, then boilerplate out, line breaks, blanks collapsed."""
+    out = F.regexp_replace(unescaped(F.coalesce(c(x), F.lit(""))), BOILERPLATE_ANYWHERE, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?iU)<\s*br\s*/?\s*>", " "), BLANKS, " "))
 
 
 def long_words(cleaned_: Column | str, least: int = 3) -> Column:

@@ -60,11 +60,17 @@ def text_clean(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
-@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '(?i)(?:borrower\\s+|\\d+\\s+)?added\\s+on\\s+\\d{2}/\\d{2}/\\d{2}\\s*>?', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?i)<br\\s*/?>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS t FROM (SELECT page_id, 'Borrower added on 01/02/10 > &quot;a &amp; b&quot;<br/>' || coalesce(html, '') AS html FROM pages))")
+#: A form's line with references of several kinds before each page, and what they stand for.
+MARKED = "Borrower added on 01/02/10 > &quot;a &amp; b&quot;< BR / >caf&eacute; it&#8217;s&#x21; &amp;lt;br&amp;gt; 1 &lt;br/&gt; 2 &apos;3&apos; added on 01/02/10&gt;"
+PLAIN = "Borrower added on 01/02/10 > \"a & b\"< BR / >café it’s! &lt;br&gt; 1 <br/> 2 '3' added on 01/02/10>"
+
+
+# the pages themselves hold these references only
+@query(f"""WITH u AS (SELECT page_id, '{PLAIN.replace("'", "''")}' || replace(replace(replace(replace(replace(coalesce(html, ''), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS t FROM pages)
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(?:borrower\\s+|\\d+\\s+)?added\\s+on\\s+\\d{{2}}/\\d{{2}}/\\d{{2}}\\s*>?', ' ', 'g'), '(?i)<\\s*br\\s*/?\\s*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM u""")
 def text_natural(spark: SparkSession, d: str) -> DataFrame:
     p = tables.scan(spark, d, "pages", "page_id", "html")
-    with_form = F.concat(F.lit("Borrower added on 01/02/10 > &quot;a &amp; b&quot;<br/>"), F.coalesce("html", F.lit("")))
-    return p.select("page_id", F.md5(T.natural(with_form)).alias("digest"))
+    return p.select("page_id", F.md5(T.natural(F.concat(F.lit(MARKED), F.coalesce("html", F.lit(""))))).alias("digest"))
 
 
 @query(f"""WITH {E_SQL}, x AS (SELECT id, text, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS b, {CONTENT_SQL} AS a FROM e)

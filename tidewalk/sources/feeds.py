@@ -5,11 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tables
+from . import connectors, tables
 
 #: Variables of one request, terms of one question, and the waits between attempts in seconds (fixed values).
 VARIABLES, TERMS = 40, 50
@@ -60,28 +61,58 @@ def annotated(terms: DataFrame, term: str, ask: Callable[[list[str]], str], cate
     return tables.annotation_rows(answers, "answer", categories, neutral).drop("line")
 
 
-def embedded(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], tuple[list, list]], size: int = 32) -> DataFrame:
-    """key, first (the first token's vector), mean (over the tokens that the mask names) and n_tokens of each text.
+#: Tokens of a text that an encoder sees, at most; texts encoded at once; parts that a large table is encoded in (fixed values).
+MOST_TOKENS, AT_ONCE, PARTS = 256, 32, 64
 
-    encode gives, for some texts, each one's token vectors and mask. Empty texts have zero vectors.
+
+def embedded(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], tuple[list, list]], width: int, size: int = AT_ONCE, most: int = MOST_TOKENS) -> DataFrame:
+    """key, first (the first token's vector), mean (over the tokens that the mask names), both in single precision, n_tokens and has_text of each text.
+
+    encode gives, for some texts, each one's token vectors (of `width` numbers) and mask; the first `most` tokens count. Empty texts don't reach it: they have
+    zero vectors and no tokens.
     """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), size):
-                part = batch.iloc[start : start + size]
-                vectors, masks = encode([t or "" for t in part[text]])
-                yield pd.DataFrame({key: part[key].to_numpy(), "vectors": vectors, "mask": masks})
-
-    pieces = rows.select(key, text).mapInPandas(run, f"{key} {kind}, vectors array<array<double>>, mask array<int>")
-    return pieces.select(key, F.element_at("vectors", 1).alias("first"), masked_mean("vectors", "mask").alias("mean"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("n_tokens"))
+            texts = batch[text].fillna("")
+            full = texts.str.len() > 0
+            if (~full).any():
+                yield pd.DataFrame({key: batch.loc[~full, key], "first": [np.zeros(width, np.float32)] * int((~full).sum()), "mean": [np.zeros(width, np.float32)] * int((~full).sum()), "n_tokens": 0, "has_text": False})
+            some = batch[full]
+            for start in range(0, len(some), size):
+                part = some.iloc[start : start + size]
+                vectors, masks = encode(part[text].tolist())
+                yield pd.DataFrame([(k, *pooled(v, m)) for k, v, m in zip(part[key], vectors, masks, strict=True)], columns=[key, "first", "mean", "n_tokens", "has_text"])
+
+    def pooled(vectors, mask) -> tuple:
+        m = np.asarray(mask[:most], float)
+        v = np.asarray(vectors[:most], float).reshape(len(m), width)
+        first = v[0] if len(m) else np.zeros(width)
+        return first.astype(np.float32), (m @ v / max(m.sum(), 1.0)).astype(np.float32), int(m.sum()), True
+
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, first array<float>, mean array<float>, n_tokens int, has_text boolean")
+
+
+def embedded_parts(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], tuple[list, list]], width: int, path: str, parts: int = PARTS, **settings) -> DataFrame:
+    """`embedded` part by part (by a hash of the key), each written in a transaction, so that a stopped run goes on with the parts that are missing. Keys are unique and known."""
+    spark = rows.sparkSession
+    wrong = rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).limit(1).count()
+    if wrong:
+        raise ValueError(f"{key} isn't a key")
+    schema = embedded(rows, key, text, encode, width, **settings).schema
+    done = connectors.marks(spark, path)
+    for part in range(parts):
+        if str(part) not in done:
+            some = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+            connectors.append(embedded(some, key, text, encode, width, **settings), path, f"part {part}", (part,))
+    return connectors.read(spark, path, schema)
 
 
 def masked_mean(vectors: str, mask: str):
-    """Mean of the vectors whose mask is 1; zeros if there are none."""
+    """Mean of the vectors whose mask is 1; zeros if the mask names none, null without vectors."""
     n = F.aggregate(mask, F.lit(0), lambda a, m: a + m)
-    zero = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))
+    zero = F.transform(F.try_element_at(vectors, F.lit(1)), lambda x: F.lit(0.0))
     weighted = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
     total = F.aggregate(weighted, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     return F.transform(total, lambda x: F.when(n > 0, x / n).otherwise(0.0))
