@@ -110,3 +110,40 @@ def test_audit_of_a_fold(spark):
 def test_terms_that_rank_high_in_each_part(spark):
     got = rows(spark, "tfidf_consistency")
     assert got["n_folds"].between(1, 3).all() and got["n_folds"].sum() == 60 and got["mean_rank"].between(1, 20).all()
+
+
+def test_scores_of_a_narrow_band_fall_into_many_buckets(spark):
+    """No bucket of the running sums, nor of the bootstrap, has more than a tenth of the rows; the results are those of all pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidewalk.operators import rankstats
+
+    rng = np.random.default_rng(8)
+    p = 0.02 + 0.01 * rng.random(2000).round(3)
+    y = (rng.random(2000) < 0.3 + 20 * (p - 0.025)).astype(int)
+    rows = spark.createDataFrame([(i, "a", int(y[i]), float(p[i])) for i in range(2000)], "id int, k string, y_true int, y_prob double")
+    sizes = rankstats.counted(rows, ["k"], "y_true", "y_prob").groupBy("__b").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= 200
+    pos, neg = p[y == 1], p[y == 0]
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert abs(rankstats.auc(rows, ["k"]).first()["auc"] - want) < 1e-12
+    out = rankstats.bootstrap_auc(rows, ["k"], n=200).first()
+    assert out["auc_lo"] < want < out["auc_hi"] and out["auc_hi"] - out["auc_lo"] < 0.1
+
+
+def test_quantiles_in_many_parts(spark, monkeypatch):
+    import numpy as np
+
+    from tidewalk.operators import quantiles
+
+    rng = np.random.default_rng(9)
+    x, k = rng.integers(0, 300, 3000) / 7.0, rng.integers(0, 3, 3000)
+    rows = spark.createDataFrame(list(zip(k.tolist(), x.tolist(), strict=True)) + [(0, None)], "k int, x double")
+    want = {i: np.quantile(x[k == i], [0.1, 0.5, 0.995]) for i in range(3)}
+    for part in (1 << 16, 20):
+        monkeypatch.setattr(quantiles, "PART_ROWS", part)
+        got = {r["k"]: r["quantiles"] for r in quantiles.quantiles(rows, ["k"], "x", [0.1, 0.5, 0.995]).collect()}
+        assert all(np.allclose(got[i], want[i]) for i in range(3))
+        (all_,) = quantiles.quantiles(rows, [], "x", [0.25]).collect()
+        assert np.isclose(all_["quantiles"][0], np.quantile(x, 0.25))

@@ -1,7 +1,8 @@
 """Exact quantiles (linear between neighbours) without a sort of all values in one task.
 
-Values are counted, and dealt out by approximate edges that only balance the work; running counts inside each part and the parts' totals give every
-value its ranks, and the two values next to each wanted position are picked. The result is exact whatever the edges.
+The input is read once: values are counted, and the counts written. They are dealt out by approximate edges that only balance the work, into as many parts
+as their number asks for; running counts inside each part and the parts' totals give every value its ranks, and the two values next to each wanted
+position are picked. The result is exact whatever the edges.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PARTS = 64
+from ..sources import tables
+
+#: Counted values of a part, about, and parts at most.
+PART_ROWS, MOST_PARTS = 1 << 16, 4096
 
 
 def long(rows: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -21,10 +25,17 @@ def long(rows: DataFrame, columns: list[str], *keep: str) -> DataFrame:
 def quantiles(rows: DataFrame, keys: list[str], column: str, qs: list[float], name: str = "quantiles") -> DataFrame:
     """The keys, and an array with the quantiles of the known values; keys without any are missing. Keys are not null."""
     known = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("__v"))
-    edges = known.groupBy(*keys).agg(F.percentile_approx("__v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(1000)).alias("__edges"))
-    dealt = known.join(edges, keys) if keys else known.crossJoin(F.broadcast(edges))  # a row for each key
-    part = F.size(F.filter("__edges", lambda e: e <= F.col("__v")))
-    counts = dealt.select(*keys, part.alias("__b"), "__v").groupBy(*keys, "__b", "__v").agg(F.count("*").alias("__n"))
+    counted = known.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    spark, path, schema = rows.sparkSession, f"{tables.scratch(rows.sparkSession)}/counts", counted.schema
+    counted.write.parquet(path)
+    counted = spark.read.schema(schema).parquet(path)
+    parts = min(MOST_PARTS, -(-counted.count() // PART_ROWS))
+    if parts > 1:
+        edges = counted.groupBy(*keys).agg(F.percentile_approx("__v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(4 * parts)).alias("__edges"))
+        counts = counted.join(edges, keys) if keys else counted.crossJoin(F.broadcast(edges))  # a row for each key
+        counts = counts.withColumn("__b", F.size(F.filter("__edges", lambda e: e <= F.col("__v")))).drop("__edges")
+    else:
+        counts = counted.withColumn("__b", F.lit(0))
     totals = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__m"))
     totals = totals.withColumn("__before", F.sum("__m").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__m")).withColumn("__all", F.sum("__m").over(Window.partitionBy(*keys)))
     placed = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys, "__b").orderBy("__v"))).join(totals.drop("__m"), [*keys, "__b"])

@@ -1,7 +1,7 @@
 """Exact rank statistics with ties, from running sums over distinct scores: no pairs, nothing collected.
 
 Rows are counted by distinct score first. A group's scores are dealt out over BUCKETS by value, so running sums are taken in
-many tasks; a bucket's totals, one row for each, carry them on. No window holds all scores of a group. Scores outside 0..1 stand in the end buckets, which is
+many tasks; a bucket's totals, one row for each that has scores, carry them on. Buckets are so narrow that scores of a narrow band still fall into many. No window holds all scores of a group. Scores outside 0..1 stand in the end buckets, which is
 still right, and as slow as one task. Products of counts are decimals, so they can't overflow.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import exprs as X
 
 LONG, WIDE = "long", "decimal(19,0)"
-BUCKETS = 256
+BUCKETS = 1 << 16
 
 
 def bucket(p: str, n: int = BUCKETS) -> Column:
@@ -179,17 +179,21 @@ def thresholds(policy: str, validation: DataFrame | None = None, explicit: float
     raise ValueError(f"policy {policy} is unknown or lacks what it needs")
 
 
-#: Buckets of a group whose resamples are counted apart, and weights that are drawn at once.
-APART, DRAWN = 16, 4_000_000
+#: Rows of a bucket whose resamples are counted apart, buckets at least and at most, and weights that are drawn at once.
+APART_ROWS, APART, MOST_APART, DRAWN = 1 << 18, 16, 4096, 4_000_000
 
 
 def bootstrap_auc(rows: DataFrame, keys: list[str], row_id: str = "id", y: str = "y_true", p: str = "y_prob", n: int = 500, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the AUC over Poisson(1) resamples, whose weights follow from row and resample (so any worker gives the same).
 
-    Rows travel once, slim, to the buckets of their scores; there all resamples are counted in arrays, and one row for each bucket and resample
+    Rows travel once, slim, to buckets of about as many rows each, whose edges are approximate quantiles of all scores; there all resamples are counted in arrays, and one row for each bucket and resample
     goes on. Resamples with one class are skipped; fewer than ten give null.
     """
-    slim = rows.select(*keys, F.col(y).cast("double").alias("__y"), F.col(p).alias("score"), F.xxhash64(row_id, F.lit(seed)).alias("__h")).withColumn("__b", bucket("score", APART))
+    slim = rows.select(*keys, F.col(y).cast("double").alias("__y"), F.col(p).alias("score"), F.xxhash64(row_id, F.lit(seed)).alias("__h"))
+    apart = min(max(APART, -(-slim.count() // APART_ROWS)), MOST_APART)
+    edges = sorted(set(slim.agg(F.percentile_approx("score", F.array(*[F.lit(i / apart) for i in range(1, apart)]), F.lit(10 * apart))).first()[0] or []))
+    place = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e <= F.col("score"))) if edges else F.lit(0)
+    slim = slim.withColumn("__b", place)
     kinds = ", ".join(f"{k} {t}" for k, t in slim.dtypes if k in keys)
     # probability that a Poisson(1) number is at most 0, 1, ...
     steps, total, term = [], 0.0, float(np.exp(-1.0))
