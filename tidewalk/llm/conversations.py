@@ -409,3 +409,67 @@ def repaired(rows: DataFrame) -> DataFrame:
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(common.table(spark, sf_dir, "conversations")))
+
+
+def _least(*some: str) -> str:
+    return f"list_sort([{', '.join(some)}])[1]"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r" + (f" || chr(10) || {line}" if line else "") + "}"
+
+
+def _kept(state: str, initial: str) -> str:
+    return _edit(state, f"(CASE WHEN NOT go AND left(role, 1) = '{initial}' THEN cut ELSE 1000000000 END)", "K", "role || ':' || text")
+
+
+def _reroled(state: str, role: str) -> str:
+    return _edit(state, f"(CASE WHEN go THEN 1000000000 ELSE {REROLE} + cut END)", "R", f"'{role}:' || text")
+
+
+def _inserted(state: str, role: str) -> str:
+    return _edit(state, str(INSERT), "I", f"'{role}:'")
+
+
+_DELETED = {q: _edit(f"s{q}", str(DELETE), "D") for q in range(4)}
+
+#: The plain recursion over rows: for each state the cheapest edits so far, of equal costs the least letters.
+ORACLE_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+said AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+fated AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS fate
+  FROM said, crc
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated, range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+looked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+),
+judged AS (SELECT *, solid = '' OR seen AS go, (right(solid, 1) NOT IN ('.', '!', '?'))::INT AS cut FROM looked),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': ''}} AS s0, {{'c': 1000000000, 'a': '', 'r': ''}} AS s1, {{'c': 2, 'a': 'I', 'r': chr(10) || 'user:'}} AS s2,
+         {{'c': 4, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, {_least("s3", _inserted("s2", "assistant"))} FROM (
+    SELECT conv_id, i, n0 AS s0, n1 AS s1, {_least("n2", _inserted("n0", "user"), _inserted("n1", "user"), _inserted("n3", "user"))} AS s2, n3 AS s3 FROM (
+      SELECT w.conv_id, j.i, {_DELETED[0]} AS n0, {_least(_DELETED[1], _kept("s0", "s"))} AS n1,
+             {_least(_DELETED[2], *[f(f"s{q}", x) for q in (0, 1, 3) for f, x in ((_kept, "u"), (_reroled, "user"))])} AS n2,
+             {_least(_DELETED[3], _kept("s2", "a"), _reroled("s2", "assistant"))} AS n3
+      FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1))
+),
+ends AS (SELECT conv_id, {_least("s0", "s3")} AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (solid = '') AS blank, count(*) FILTER (solid <> '' AND seen) AS duplicate,
+         count(*) FILTER (NOT go AND cut = 1) AS truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       best.c::BIGINT AS cost, best.a AS audit, sha256(best.r[2:]) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

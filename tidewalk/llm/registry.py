@@ -26,5 +26,6 @@ ORACLES = {
     "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_conversation_repair": conversations.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
