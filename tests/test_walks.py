@@ -175,3 +175,24 @@ def test_study_ends_and_is_taken_up(spark, tmp_path):
     assert {(r["fold"], r["model"], r["arm"]): r["n"] for r in whole.groupBy("fold", "model", "arm").agg(F.count("*").alias("n")).collect()} == want
     assert {tuple(r) for r in whole.where("fold <= 2").collect()} == kept
     assert whole.where("y_prob < 0 or y_prob > 1 or area is null").count() == 0
+
+
+def test_importances_of_every_fold(spark):
+    """Masses add up to one for each fold and arm; consistent terms come from the folds' own ranks."""
+    from collections import defaultdict
+
+    folder = "/root/testdata/sf0.001"
+    rows = modelling.fold_importances(spark, folder).collect()
+    folds_ = {r["fold"] for r in modelling.study.fold_table(spark, folder).collect()}
+    assert {(r["fold"], r["arm"]) for r in rows} == {(k, a) for k in folds_ for a in modelling.SHOWN_ARMS}
+    mass = defaultdict(float)
+    for r in modelling.importance_mass(spark, folder).collect():
+        mass[r["fold"], r["arm"]] += r["mass"]
+    assert all(abs(m - 1) < 1e-4 for m in mass.values())
+    want = defaultdict(list)
+    for k in folds_:
+        own = sorted((r for r in rows if r["fold"] == k and r["kind"] == "tfidf_chi2"), key=lambda r: r["rank"])[:20]
+        for place, r in enumerate(own, 1):
+            want[r["feature"].removeprefix("tfidf_chi2:")].append(place)
+    got = {r["term"]: (r["n_folds"], r["mean_rank"]) for r in modelling.term_consistency(spark, folder).collect()}
+    assert got == {t: (len(p), pytest.approx(sum(p) / len(p), abs=1e-6)) for t, p in want.items()}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..operators import arms, blocks, boosting, corpus, fairness, fit, models, rankstats, runner, walks
@@ -194,6 +196,45 @@ def study_predictions(spark: SparkSession, d: str) -> DataFrame:
     return predicted(spark, _written[key])
 
 
+#: Arms whose importances are shown.
+SHOWN_ARMS = ("structured", "lexicon", "tfidf_chi2", "embed_pca")
+_importances: dict[tuple, str] = {}
+
+
+def fold_importances(spark: SparkSession, d: str) -> DataFrame:
+    """fold, arm, feature, kind, value (size of the coefficient on scaled features), share, rank: every fold, made once for each session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _importances:
+        rows, texts = with_texts(spark, d)
+        rows, table = rows.persist(), study.fold_table(spark, d).persist()
+        held, terms = walk_blocks(rows, "month", "is_default", NEVER, PREPARE["encoded"], "doc", texts)
+        folds = learned_folds(rows, table, "month", held, PREPARE["logged"], True, texts.components)
+        fits = walks.logistic(held, folds, SHOWN_ARMS)
+        found = walks.importances(held.layout, folds, {k: np.abs(b[1:]) for k, b in fits.items()}, terms)
+        held.done()
+        rows.unpersist()
+        table.unpersist()
+        path = f"{tables.scratch(spark)}/importances"
+        # some hundred features for each fold and arm
+        spark.createDataFrame(found, "fold int, arm string, feature string, kind string, value double, share double, rank int").write.parquet(path)
+        _importances[key] = path
+    return spark.read.parquet(_importances[key])
+
+
+@query
+def importance_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each kind of features in all importance, by fold and arm."""
+    return fold_importances(spark, d).groupBy("fold", "arm", "kind").agg(F.count("*").alias("n_features"), R(F.sum("share")).alias("mass"), F.min("rank").alias("best_rank"))
+
+
+@query
+def term_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that stand among a fold's first twenty by the model's coefficients, over all folds."""
+    terms = fold_importances(spark, d).where("kind = 'tfidf_chi2'").withColumn("rank", F.row_number().over(Window.partitionBy("fold").orderBy("rank")))
+    out = corpus.consistency(terms.select("fold", F.expr("substring(feature, 12)").alias("term"), "rank", "value"), 20)
+    return out.withColumns({"mean_rank": R("mean_rank"), "mean_value": R("mean_value")})
+
+
 @query
 def arm_metrics(spark: SparkSession, d: str) -> DataFrame:
     """AUC, average precision, Brier score and Gini of each fold and arm, from models' predictions."""
