@@ -147,3 +147,15 @@ def test_quantiles_in_many_parts(spark, monkeypatch):
         assert all(np.allclose(got[i], want[i]) for i in range(3))
         (all_,) = quantiles.quantiles(rows, [], "x", [0.25]).collect()
         assert np.isclose(all_["quantiles"][0], np.quantile(x, 0.25))
+
+
+def test_randomised_components_of_the_embeddings(spark):
+    e = spark.read.parquet(f"{TABLES}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x = np.stack(e["embedding"].map(np.asarray)).astype(float)
+    train = x[(e["vec_id"] % 5 != 0).to_numpy()]
+    _, s, vt = np.linalg.svd(train - train.mean(0), full_matrices=False)
+    got = rows(spark, "pca_randomised").sort_values("vec_id")
+    assert got["explained"].unique().tolist() == pytest.approx([(s[:10] ** 2).sum() / (s**2).sum()], abs=1e-4)
+    reduced = np.stack(got["reduced"].map(np.asarray))
+    want = (x - train.mean(0)) @ vt[:10].T
+    assert np.abs(np.corrcoef(reduced[:, 0], want[:, 0])[0, 1]) > 0.99 and len(got) == len(e)

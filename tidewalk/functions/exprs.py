@@ -45,6 +45,13 @@ def two_sided_p(z: Column | str) -> Column:
     return F.when(x < 2, near).when(x.isNotNull(), far)
 
 
+def digamma(n: Column | str) -> Column:
+    """The logarithmic derivative of the gamma function for numbers of at least 1: ten steps up, then the asymptotic series (12 digits)."""
+    x = c(n).cast("double") + 10
+    steps = sum((1 / (x - i) for i in range(1, 11)), F.lit(0.0))
+    return F.ln(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0))) - 1 / (252 * F.pow(x, F.lit(6.0))) + 1 / (240 * F.pow(x, F.lit(8.0))) - steps
+
+
 def ratio(a: Column | str, b: Column | str) -> Column:
     """a / b; null where b is null or not positive."""
     return F.when(c(b) > 0, c(a) / c(b))

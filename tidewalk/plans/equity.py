@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import balance, fairness, models
+from ..operators import balance, fairness, models, ranks
 from . import study
 from .statistics import auc_sql, erf_sql
-from .study import A_SQL, GROUPINGS, L_SQL, LEVELS, P_SQL, PL_SQL
+from .study import A_SQL, GROUPINGS, L_SQL, LEVELS, P_SQL, PL_SQL, S_SQL, rank_sql
 
 R = X.rounded
 QUERIES, ORACLES = {}, {}
@@ -43,7 +43,7 @@ def rates_sql(keys: str, table: str = "u", threshold: str = "0.5::DOUBLE") -> st
 
 @query(f"WITH {L_SQL} SELECT area, round_even(disadvantage, 6) AS disadvantage FROM al")
 def pct_rank_index(spark: SparkSession, d: str) -> DataFrame:
-    return study.labelled_areas(spark, d).select("area", R("disadvantage").alias("disadvantage"))
+    return _six(ranks.index(study.areas(spark, d), "area", ["share_machinery", "share_urgent"], ["mean_balance", "mean_amount"], "disadvantage"), "disadvantage")
 
 
 @query(f"WITH {L_SQL} SELECT area, index_group, building_group, machinery_group FROM al")
@@ -64,8 +64,20 @@ def z_score_index(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {A_SQL}, r AS (SELECT rank() OVER (ORDER BY mean_balance) + (count(*) OVER (PARTITION BY mean_balance) - 1) / 2::DOUBLE AS x, rank() OVER (ORDER BY share_urgent) + (count(*) OVER (PARTITION BY share_urgent) - 1) / 2::DOUBLE AS y FROM a)
 SELECT count(*) AS n, round_even(corr(x, y), 6) AS spearman FROM r""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    a = study.areas(spark, d).select(balance.percent_rank("mean_balance").alias("x"), balance.percent_rank("share_urgent").alias("y"))
-    return a.agg(F.count("*").alias("n"), R(F.corr("x", "y")).alias("spearman"))
+    return _six(ranks.spearman(study.areas(spark, d), "mean_balance", "share_urgent"), "spearman")
+
+
+@query(f"""WITH {S_SQL}, r AS (SELECT rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2::DOUBLE AS x, rank() OVER (ORDER BY balance) + (count(*) OVER (PARTITION BY balance) - 1) / 2::DOUBLE AS y FROM s)
+SELECT count(*) AS n, round_even(corr(x, y), 6) AS spearman FROM r""")
+def spearman_loans(spark: SparkSession, d: str) -> DataFrame:
+    """Over loans, not areas: a customer's loans share a balance."""
+    return _six(ranks.spearman(study.loans(spark, d), "amount", "balance"), "spearman")
+
+
+@query(f"WITH {S_SQL} SELECT id, round_even(({rank_sql('amount')} + {rank_sql('nation')} + 1 - {rank_sql('balance')}) / 3, 9) AS burden FROM s")
+def pct_rank_loans(spark: SparkSession, d: str) -> DataFrame:
+    """An index of every loan: the mean of percentile ranks over all loans, that of the balance turned round."""
+    return _six(ranks.index(study.loans(spark, d), "id", ["amount", "nation"], ["balance"], "burden"), "burden", digits=9)
 
 
 COVARIATES = ["mean_balance", "mean_amount", "share_urgent"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..operators import arms, blocks, boosting, corpus, fairness, fit, models, rankstats, runner, walks
+from ..operators import arms, blocks, boosting, corpus, decomposition, fairness, fit, models, rankstats, runner, walks
 from ..sources import connectors, tables
 from . import study, textual
 
@@ -289,6 +289,14 @@ def pca_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.size("reduced").alias("dims"), F.lit(round(sum(shares), 6)).alias("explained"))
 
 
+@query
+def pca_randomised(spark: SparkSession, d: str) -> DataFrame:
+    """Ten components of every embedding by the randomised decomposition, fitted on four fifths of them, and the share of variance they explain."""
+    rows = tables.scan(spark, d, "embeddings", "vec_id", "embedding")
+    found = decomposition.randomised(rows.where("vec_id % 5 <> 0"), "embedding", 10)
+    return rows.select("vec_id", models.projected("embedding", found.directions, found.means).alias("reduced"), F.lit(round(sum(found.shares), 6)).alias("explained"))
+
+
 @query
 def importance_by_model(spark: SparkSession, d: str) -> DataFrame:
     fold = study.fold_table(spark, d).orderBy("fold").first()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..operators import fit, folds
+from ..operators import fit, folds, ranks
 from ..sources import tables
 from . import study
 from .study import A_SQL, F_SQL, L_SQL, S_SQL
@@ -237,6 +237,27 @@ def mi_topk(spark: SparkSession, d: str) -> DataFrame:
     return fit.binned_information(study.loans(spark, d), ["amount", "balance", "nation"], "is_default", top=2)
 
 
+def psi_sql(n: str) -> str:
+    x = f"({n} + 10)::DOUBLE"
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * pow({x}, 2)) + 1 / (120 * pow({x}, 4)) - 1 / (252 * pow({x}, 6)) + 1 / (240 * pow({x}, 8)) - {' - '.join(f'1 / ({n} + {i})::DOUBLE' for i in range(10))})"
+
+
+#: Every row with the distances to three rows of its class on either side, and by running counts how many rows lie nearer than the third.
+MI_SQL = f"""{S_SQL}, l AS (SELECT y, c, v FROM (SELECT is_default AS y, unnest([{{'c': 'amount', 'v': amount}}, {{'c': 'balance', 'v': balance}}, {{'c': 'nation', 'v': nation::DOUBLE}}], recursive := true) FROM s)),
+cl AS (SELECT c, y, count(*) AS ny FROM l GROUP BY ALL HAVING ny > 1), k AS (SELECT l.*, ny FROM l JOIN cl USING (c, y)),
+d AS (SELECT c, y, v, ny, list_sort(list_filter([v - lag(v, 1) OVER w, v - lag(v, 2) OVER w, v - lag(v, 3) OVER w, lead(v, 1) OVER w - v, lead(v, 2) OVER w - v, lead(v, 3) OVER w - v], lambda x: x IS NOT NULL))[least(3, ny - 1)] AS r FROM k WINDOW w AS (PARTITION BY c, y ORDER BY v)),
+cum AS (SELECT c, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY c ORDER BY v) AS upto FROM k GROUP BY c, v), own AS (SELECT c, y, v, count(*) AS n FROM k GROUP BY ALL),
+e AS (SELECT d.*, own.n AS n_own, cum.n AS n_here, v + r AS hi, v - r AS lo FROM d JOIN own USING (c, y, v) JOIN cum USING (c, v)),
+h AS (SELECT e.*, coalesce(cum.upto, 0) AS below FROM e ASOF LEFT JOIN cum ON e.c = cum.c AND e.hi > cum.v), g AS (SELECT h.*, coalesce(cum.upto, 0) AS under FROM h ASOF LEFT JOIN cum ON h.c = cum.c AND h.lo >= cum.v),
+m AS (SELECT c, ny, CASE WHEN r = 0 THEN n_own ELSE least(3, ny - 1) END AS used, CASE WHEN r = 0 THEN n_here ELSE (below - under)::BIGINT END AS nearer FROM g)"""
+
+
+@query(f"""WITH {MI_SQL} SELECT c AS "column", round_even(greatest(0, {psi_sql('count(*)')} + avg({psi_sql('used')} - {psi_sql('ny')} - {psi_sql('nearer')})), 6) AS information FROM m GROUP BY c""")
+def mi_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Mutual information of the numbers of all loans with their outcome, by three nearest neighbours."""
+    return ranks.neighbour_information(study.loans(spark, d), ["amount", "balance", "nation"], "is_default").withColumn("information", R("information"))
+
+
 # --- joins, sets, reshaping -----------------------------------------------------------------------
 
 
