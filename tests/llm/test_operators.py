@@ -377,9 +377,11 @@ def brute_classes(ids, sets):
     return [least[find(i)] for i in range(len(ids))]
 
 
-def test_dense_groups_keep_their_links(spark, monkeypatch):
-    """Near copies around the threshold, a passage that many share, and copies: long lists and blocks take part."""
+@pytest.mark.parametrize("bits", [64, 7])
+def test_dense_groups_keep_their_links(spark, monkeypatch, bits):
+    """Near copies around the threshold, a passage that many share, and copies: long lists and blocks take part; so with signatures that many sets share."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 25)
+    monkeypatch.setattr(jaccard_join, "NAME_BITS", bits)
     rng = np.random.default_rng(3)
     words, texts = [f"w{i}" for i in range(4000)], []
     base, shared = rng.choice(words, 120), rng.choice(words, 50)

@@ -1,6 +1,7 @@
 """N-gram Jaccard join with set-relation skipping.
 
-A document's set is that of its word 5-grams (64-bit hashes). Equal sets are one set from the start; each set is known by a 64-bit signature.
+A document's set is that of its word 5-grams (64-bit hashes). Equal sets are one set from the start; each set is known by a 64-bit
+signature. Sets that share a signature but differ in 64 further bits get names of their own before anything is joined, so sets are told apart by 128 bits.
 
 1. Grams are ordered by rarity, counted over all documents in a sketch of fixed size (rarer first, then by hash), so that only
    grams of very similar sets have long lists. Two sets with Jaccard 0.75 or more share a gram among
@@ -50,6 +51,8 @@ SHORT_LIST = 32
 BLOCK = 1000
 #: Hubs of a block whose answers are kept to derive others from.
 HUBS = 4
+#: Bits of a set's signature (fewer only in tests), and signatures at most that several sets may share: chance gives n^2 / 2^65 among n sets, 11 among 2e10.
+NAME_BITS, MOST_SHARED = 64, 10_000
 #: Prefix grams that a worker holds before it sends them on.
 HELD = 2_000_000
 
@@ -88,34 +91,69 @@ def signature(s: np.ndarray) -> int:
     return int(common.mixed(both).view(np.int64)[0])
 
 
+def further(s: np.ndarray) -> int:
+    """64 more bits of a set, made from other values than its signature."""
+    salted = common.mixed(s ^ common.PRIME)
+    both = salted.sum(dtype=np.uint64, keepdims=True) * common.MIX1 + np.bitwise_xor.reduce(salted, keepdims=True) + np.uint64(len(s))
+    return int(common.mixed(both).view(np.int64)[0])
+
+
+class Names:
+    """Names of sets: the signature, or the name that stands for signature and further bits where several sets share a signature."""
+
+    def __init__(self, bits: int, others: dict[int, dict[int, int]]):
+        self.bits, self.others = bits, others
+
+    def __call__(self, s: np.ndarray) -> int:
+        sid = signature(s) >> (64 - self.bits)
+        return self.others[sid].get(further(s), sid) if sid in self.others else sid
+
+
+def shared(rows: DataFrame) -> dict[int, dict[int, int]]:
+    """Names of sets by signature and further bits, where a signature is that of several sets. rows: sid, further. Hardly ever any, so they go to the driver."""
+    twice = rows.groupBy("sid").agg(F.min("further").alias("low"), F.max("further").alias("high")).where("low <> high")
+    signatures = [r["sid"] for r in twice.select("sid").limit(MOST_SHARED + 1).collect()]
+    if len(signatures) > MOST_SHARED:
+        raise RuntimeError(f"more than {MOST_SHARED} signatures are shared by different sets")
+    out: dict[int, dict[int, int]] = {}
+    if signatures:
+        for r in rows.where(F.col("sid").isin(signatures)).distinct().collect():
+            pair = np.array([r["sid"], r["further"]], np.int64).view(np.uint64)
+            out.setdefault(r["sid"], {})[r["further"]] = int(common.mixed(common.mixed(pair[:1]) + pair[1:]).view(np.int64)[0])
+    return out
+
+
 def batch_sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     for first, _, data, offsets in common.text_slices(batch.column(column)):
         yield from enumerate(sets_of(data, offsets), first)
 
 
-def described(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, np.ndarray]:
-    """Table of rows (doc_id, n, sid), and the sketch of gram counts over all rows, 2 ** SKETCH_BITS numbers."""
+def described(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, np.ndarray, Names]:
+    """Table of rows (doc_id, n, sid), the sketch of gram counts over all rows, 2 ** SKETCH_BITS numbers, and the names of sets."""
+    plain = Names(NAME_BITS, {})
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType
     ids = pa.int32() if kind.simpleString() == "int" else pa.string() if kind.simpleString() == "string" else pa.int64()
 
+    columns = ["doc_id", "n", "sid", "further", "part", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         for batch in batches:
-            n, sid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, sid, more = np.zeros((3, batch.num_rows), np.int64)
             for i, s in batch_sets(batch, 1):
-                n[i], sid[i] = len(s), signature(s)
+                n[i], sid[i], more[i] = len(s), plain(s), further(s)
                 if len(s) and sid[i] not in seen:
                     seen.add(sid[i])
                     np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(ids), pa.array(n), pa.array(sid), none.cast(pa.int64()), none.cast(pa.binary())], ["doc_id", "n", "sid", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(ids), pa.array(n), pa.array(sid), pa.array(more), none.cast(pa.int64()), none.cast(pa.binary())], columns)
         parts = counts.reshape(SKETCH_PARTS, -1)
         none = pa.nulls(SKETCH_PARTS)
         worker = np.full(SKETCH_PARTS, TaskContext.get().partitionId())
-        yield pa.RecordBatch.from_arrays([none.cast(ids), pa.array(worker), none.cast(pa.int64()), pa.array(np.arange(SKETCH_PARTS)), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "n", "sid", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([none.cast(ids), pa.array(worker), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(np.arange(SKETCH_PARTS)), pa.array([p.tobytes() for p in parts], pa.binary())], columns)
 
-    both = common.written(rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, sid long, part long, counts binary"), "sets")
+    both = common.written(rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, sid long, further long, part long, counts binary"), "sets")
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
@@ -126,10 +164,16 @@ def described(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, np.nd
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for part, counts in tree.collect():  # always SKETCH_PARTS rows
         sketch[part] = np.frombuffer(counts, np.int64)
-    return both.where("part is null").select("doc_id", "n", "sid"), sketch.ravel()
+    found = both.where("part is null").select("doc_id", "n", "sid", "further")
+    names = Names(NAME_BITS, shared(found.where("n > 0").select("sid", "further")))
+    if names.others:
+        given = [(sid, more, name) for sid, others in names.others.items() for more, name in others.items()]
+        given = docs.sparkSession.createDataFrame(given, "sid long, further long, name long")  # a few for each of MOST_SHARED signatures
+        found = found.join(F.broadcast(given), ["sid", "further"], "left").withColumn("sid", F.coalesce("name", "sid"))
+    return found.select("doc_id", "n", "sid"), sketch.ravel(), names
 
 
-def prefixes(docs: DataFrame, text: str, sketch: np.ndarray, buckets: int) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, sketch: np.ndarray, names: Names, buckets: int) -> DataFrame:
     """Prefix grams in blocks by bucket: bucket, grams, sids, sizes, places (packed arrays)."""
     order = sketch.astype(np.uint32)
 
@@ -146,7 +190,7 @@ def prefixes(docs: DataFrame, text: str, sketch: np.ndarray, buckets: int) -> Da
         held, total, seen = [], 0, set()
         for batch in batches:
             for _, s in batch_sets(batch, 0):
-                if not len(s) or (sid := signature(s)) in seen:
+                if not len(s) or (sid := names(s)) in seen:
                     continue
                 seen.add(sid)
                 rank = np.argsort(order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
@@ -319,7 +363,7 @@ def one_set(text: str) -> np.ndarray:
     return sets_of(data, np.array([0, len(data)]))[0]
 
 
-def named_texts(docs: DataFrame, text: str) -> DataFrame:
+def named_texts(docs: DataFrame, text: str, names: Names) -> DataFrame:
     """sid, text: once for each set and worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +371,7 @@ def named_texts(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             keep, sids = [], []
             for i, s in batch_sets(batch, 0):
-                if len(s) and (sid := signature(s)) not in seen:
+                if len(s) and (sid := names(s)) not in seen:
                     seen.add(sid)
                     keep.append(i)
                     sids.append(sid)
@@ -394,8 +438,8 @@ def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple
     """(rows: doc_id, n, sid; links between sets: a, b that connect all linked sets)."""
     spark = docs.sparkSession
     common.shipped(spark)
-    rows, sketch = described(docs, text, id_col)
-    blocks = prefixes(docs, text, sketch, 4 * common.shuffle_partitions(spark))
+    rows, sketch, names = described(docs, text, id_col)
+    blocks = prefixes(docs, text, sketch, names, 4 * common.shuffle_partitions(spark))
     found = common.written(blocks.groupBy("bucket").applyInPandas(listed, "list long, a long, b long, na long, nb long, pa long, pb long, grams long"), "lists")
     lists = found.where("list is not null").select("list", F.col("a").alias("sid"), F.col("na").alias("size"), F.col("pa").alias("place"))
     # grams in long lists aren't counted for each pair; a pair shares at most as many as either set has
@@ -406,7 +450,7 @@ def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple
     after = f"least(na - pa - 1, nb - pb - 1, ({top} * greatest(na, nb) + {bottom - 1}) div {bottom} - 1)"
     pairs = counted.where(f"(grams + least(coalesce(fa, 0), coalesce(fb, 0)) + {after}) * {top + bottom} >= {top} * (na + nb)")
     pairs = common.written(pairs.select("a", "b"), "pairs")
-    texts = texts_of(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(lists.select("sid")))
+    texts = texts_of(docs, text, names, pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(lists.select("sid")))
     sure = common.written(verified(pairs, texts), "links")
     if lists.isEmpty():
         return rows, sure
@@ -434,9 +478,9 @@ def joined(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple
     return rows, sure.unionByName(common.written(more, "links"))
 
 
-def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, text: str, names: Names, wanted: DataFrame) -> DataFrame:
     """sid, text of the wanted sets."""
-    return common.written(named_texts(docs, text).join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text")), "texts")
+    return common.written(named_texts(docs, text, names).join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text")), "texts")
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
