@@ -294,3 +294,14 @@ def test_correlations_of_pairs_with_gaps(spark):
         i, j = "abcd".index(r["a"]), "abcd".index(r["b"])
         both = ~gone[:, i] & ~gone[:, j]
         assert r["r"] is None if j == 3 else r["r"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-6)
+
+
+def test_calibration_means_do_not_depend_on_the_order_of_adding(spark):
+    """Bins whose mean lies exactly between two numbers of six digits: what plain sums leave would round some of them down."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        p = rng.integers(700, 1000, 31).tolist()
+        rows += [(k, 1, "High", v / 1100) for v in [*p, 27929 - sum(p)]] + [(k, 0, "Low", 0.0)] * 40
+    curve = fairness.calibration(spark.createDataFrame(rows, "k int, y_true int, level string, y_prob double"), ["k"], "level", bins=2)
+    means = curve.where("level = 'High'").select(X.rounded("mean_p").alias("m"), "n").collect()
+    assert {(r["m"], r["n"]) for r in means} == {(0.793438, 32)} and len(means) == 60

@@ -127,7 +127,7 @@ def calibration(rows: DataFrame, keys: list[str], level: str, bins: int = 10) ->
     """Calibration curve by level in bins whose edges are the deciles of the whole key, shared by its levels; p on an edge goes right."""
     edges = quantiles.quantiles(rows, keys, "y_prob", [i / bins for i in range(1, bins)], "edges").withColumn("edges", F.array_distinct("edges"))
     binned = rows.join(F.broadcast(edges), keys).withColumn("bin", X.bins_right("y_prob", F.col("edges")))  # one row for each key
-    return binned.groupBy(*keys, level, "bin").agg(F.count("*").alias("n"), F.avg("y_prob").alias("mean_p"), F.avg(F.col("y_true").cast("double")).alias("rate"))
+    return binned.groupBy(*keys, level, "bin").agg(F.count("*").alias("n"), X.exact_mean("y_prob").alias("mean_p"), F.avg(F.col("y_true").cast("double")).alias("rate"))
 
 
 def calibration_error(curve: DataFrame, keys: list[str]) -> DataFrame:
