@@ -196,3 +196,42 @@ def test_importances_of_every_fold(spark):
             want[r["feature"].removeprefix("tfidf_chi2:")].append(place)
     got = {r["term"]: (r["n_folds"], r["mean_rank"]) for r in modelling.term_consistency(spark, folder).collect()}
     assert got == {t: (len(p), pytest.approx(sum(p) / len(p), abs=1e-6)) for t, p in want.items()}
+
+
+def test_caps_of_all_folds_are_exact_and_need_no_values(spark, small):
+    """Ranks are looked up on the blocks: nothing is written or shuffled by value."""
+    df, table, _, held, _, learned = small
+    cells = [{"fold": f.fold, "cutoff": f.cutoff} for f in learned]
+    rows = df.select(F.unix_date("month").alias("t"), "income", "noise", "rare").toPandas()
+    rows["noise"] = rows["noise"].astype(float)
+    for q in (0.0, 0.37, 0.995, 1.0):
+        got = walks.fold_caps(held, cells, ["income", "noise", "rare"], q)
+        for f in cells:
+            for c in ("income", "noise", "rare"):
+                known = rows[c][rows["t"] <= f["cutoff"]].dropna()
+                assert got[f["fold"], c] == pytest.approx(np.quantile(known, q), rel=1e-14), (c, q)
+    assert walks.fold_caps(held, [{"fold": 1, "cutoff": -1}], ["income"]) == {}
+
+
+def test_wide_sums_reach_the_driver_once(spark, small, monkeypatch):
+    """Pieces are added by tasks; the total is what single tasks' sums give."""
+    held = small[3]
+    monkeypatch.setattr(blocks, "PIECE", 3)
+    work = lambda b, _: {"x": np.nansum(b.x, axis=0), (1, "m"): np.arange(8.0).reshape(2, 4) * len(b.y), "none": np.zeros((2, 0)), "n": np.float64(len(b.y))}
+    got, want = held.sums(work, wide=True), held.sums(work)
+    assert set(got) == set(want)
+    for name in want:
+        assert np.shape(got[name]) == np.shape(want[name])
+        np.testing.assert_allclose(got[name], want[name])
+
+
+def test_fits_wait_until_others_are_done(spark, small, monkeypatch):
+    """The driver holds few coefficients at a time; the order of fits changes nothing."""
+    held, learned = small[3], small[5]
+    want = walks.logistic(held, learned, ("structured", "tfidf_full"))
+    monkeypatch.setattr(walks, "OPEN", 1)
+    monkeypatch.setattr(walks, "MANY", 1)
+    got = walks.logistic(held, learned, ("structured", "tfidf_full"))
+    assert list(got) == list(want)
+    for key in want:
+        np.testing.assert_allclose(got[key], want[key], atol=1e-9)
