@@ -235,3 +235,13 @@ def test_fits_wait_until_others_are_done(spark, small, monkeypatch):
     assert list(got) == list(want)
     for key in want:
         np.testing.assert_allclose(got[key], want[key], atol=1e-9)
+
+
+def test_terms_of_few_rows_get_no_number(spark, small):
+    """Only what can stand in a fold's vocabulary is numbered and comes to the driver."""
+    df, _, texts, _, names, _ = small
+    uses = {r["doc"]: r["n"] for r in df.groupBy("doc").agg(F.count("*").alias("n")).collect()}
+    extra = spark.createDataFrame([(99, "never", 1)], "doc int, term string, tf int")
+    one = df.withColumn("doc", F.when(F.col("id") < walks.LEAST_ROWS - 1, 99).otherwise(F.col("doc")))
+    _, got = modelling.walk_blocks(one, "month", "y", NEVER, ENCODED, "doc", arms.Texts(texts.terms.unionByName(extra), texts.lexicon, texts.vectors, 2))
+    assert "never" not in got and set(got) == set(names) and uses
