@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import texts as T
+from . import vocabulary
 
 
 def worded(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), keep: tuple[str, ...] = (), least: int = 3) -> DataFrame:
@@ -20,9 +21,8 @@ def every_term(bigrams: bool):
 
 
 def terms(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), bigrams: bool = True, keep: tuple[str, ...] = (), least: int = 3) -> DataFrame:
-    """key, the kept columns, term, tf: words of `least` letters and, of those that aren't stop words, bigrams."""
-    every = worded(rows, key, text, stop, keep, least).select(key, *keep, F.explode(every_term(bigrams)).alias("term"))
-    return every.groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
+    """key, the kept columns, term, tf: words of `least` letters and, of those that aren't stop words, bigrams. Rows that share key and kept columns count as one."""
+    return vocabulary.counted(rows, key, text, stop, bigrams, keep, least).groupBy(key, *keep, "term").agg(F.sum("tf").alias("tf"))
 
 
 def documents_of(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), bigrams: bool = True, keep: tuple[str, ...] = (), least: int = 3) -> DataFrame:
@@ -32,7 +32,12 @@ def documents_of(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = (
 
 def document_frequency(t: DataFrame, key: str, least: int = 16, n_docs: int | None = None, most_share: float = 1.0) -> DataFrame:
     """term, type, df of terms in at least `least` documents and at most a share of them."""
-    df = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    return frequent(t.groupBy("term").agg(F.count("*").alias("df")), least, n_docs, most_share)
+
+
+def frequent(df: DataFrame, least: int = 16, n_docs: int | None = None, most_share: float = 1.0) -> DataFrame:
+    """The same from counted terms (term, df)."""
+    df = df.where(F.col("df") >= least)
     if n_docs is not None:
         df = df.where(F.col("df") <= most_share * n_docs)
     return df.select("term", F.when(F.instr("term", " ") > 0, "Bigram").otherwise("Unigram").alias("type"), "df")
@@ -53,8 +58,12 @@ def numbered(t: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def idf(train: DataFrame, n_docs: int, least: int = 5) -> DataFrame:
     """Smoothed idf of the training side: term, df, idf. n_docs counts all training documents, empty ones too."""
-    df = train.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    return df.withColumn("idf", F.ln((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1)
+    return idf_of(train.groupBy("term").agg(F.count("*").alias("df")), n_docs, least)
+
+
+def idf_of(df: DataFrame, n_docs: int, least: int = 5) -> DataFrame:
+    """The same from counted terms (term, df)."""
+    return df.where(F.col("df") >= least).withColumn("idf", F.ln((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1)
 
 
 def tfidf(t: DataFrame, weights: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import vocabulary
 from ..sources import connectors, feeds, tables
 from . import operations, study, textual
 from .study import P_SQL
@@ -71,9 +73,9 @@ def ledger_folds(spark: SparkSession, d: str) -> DataFrame:
 def matrix_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """TF-IDF rows as compressed-row matrices in numpy's archive format with their vocabulary, read back by binaryFile."""
     path = tables.scratch(spark)
-    rows, vocabulary = tables.sparse_rows(textual._tfidf(spark, d), "id", "term", "tfidf")
-    terms = [r["term"] for r in vocabulary.orderBy("column").collect()]
+    rows, words = textual._sparse(spark, d)
+    terms = words.orderBy("column").toArrow()["term"].to_pylist()
     connectors.write_matrix(rows, terms, path, 512)
     back, terms = connectors.read_matrix(spark, path)
-    names = spark.createDataFrame(list(enumerate(terms)), "column int, term string")
+    names = vocabulary.numbered(pa.table({"term": pa.array(terms, pa.string())}), spark)
     return tables.long_rows(back, names, "id", "term", "tfidf").withColumn("tfidf", R("tfidf"))

@@ -109,9 +109,9 @@ def wide_summary_long(spark: SparkSession, d: str) -> DataFrame:
 def sparse_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """TF-IDF rows written as sparse rows and a vocabulary, and read back."""
     folder = tables.scratch(spark)
-    rows, vocabulary = tables.sparse_rows(textual._tfidf(spark, d), "id", "term", "tfidf")
+    rows, words = textual._sparse(spark, d)
     rows.write.parquet(f"{folder}/rows")
-    vocabulary.write.parquet(f"{folder}/vocabulary")
+    words.write.parquet(f"{folder}/vocabulary")
     return tables.long_rows(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/vocabulary"), "id", "term", "tfidf").withColumn("tfidf", R("tfidf"))
 
 

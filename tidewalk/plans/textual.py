@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..functions import texts as T
-from ..operators import annotate, corpus
+from ..operators import annotate, corpus, vocabulary
 from ..sources import tables
 from . import study
 
@@ -41,8 +42,16 @@ def _letters(spark: SparkSession, d: str) -> DataFrame:
     return study.corpus(spark, d).withColumn("clean", T.letters("text", boilerplate=False))
 
 
+def _lower(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in lower case: their words of letters are those of the cleaned text."""
+    return study.corpus(spark, d).select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+STOP = T.STOP_WORDS + T.DOMAIN_WORDS
+
+
 def _terms(spark: SparkSession, d: str, bigrams: bool = True) -> DataFrame:
-    return corpus.terms(_letters(spark, d), "id", "clean", stop=T.STOP_WORDS + T.DOMAIN_WORDS, bigrams=bigrams)
+    return corpus.terms(_lower(spark, d), "id", "text", stop=STOP, bigrams=bigrams)
 
 
 def _documents_of(spark: SparkSession, d: str, bigrams: bool = True) -> DataFrame:
@@ -83,12 +92,12 @@ def text_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {G_SQL} SELECT term, CASE WHEN instr(term, ' ') > 0 THEN 'Bigram' ELSE 'Unigram' END AS type, count(*) AS df FROM ng GROUP BY 1, 2 HAVING count(*) >= 16")
 def ngram_df_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.document_frequency(_documents_of(spark, d), "id", 16)
+    return corpus.frequent(vocabulary.frequencies(_lower(spark, d), "text", STOP), 16)
 
 
 @query(f"WITH {G_SQL}, n AS (SELECT count(*) AS n FROM e) SELECT term, CASE WHEN instr(term, ' ') > 0 THEN 'Bigram' ELSE 'Unigram' END AS type, count(*) AS df FROM ng, n GROUP BY term, n HAVING count(*) >= 50 AND count(*) <= 0.7::DOUBLE * n")
 def ngram_df_capped(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.document_frequency(_documents_of(spark, d), "id", 50, study.corpus(spark, d).count(), 0.7)
+    return corpus.frequent(vocabulary.frequencies(_lower(spark, d), "text", STOP), 50, study.corpus(spark, d).count(), 0.7)
 
 
 @query(f"WITH {G_SQL} SELECT term, sum(tf)::BIGINT AS total FROM ug GROUP BY 1 ORDER BY total DESC, term LIMIT 200")
@@ -100,11 +109,36 @@ X_SQL = f"""{G_SQL}, nt AS (SELECT count(*) AS n FROM e WHERE id % 4 <> 0), vo A
 wt AS (SELECT id, term, tf, (1 + ln(tf)) * idf AS w FROM ug JOIN vo USING (term)), tx AS (SELECT id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS tfidf FROM wt)"""
 
 
-def _tfidf(spark: SparkSession, d: str) -> DataFrame:
-    """Fitted on ids that aren't divisible by four, applied to all."""
+FITTED = "id % 4 <> 0"
+
+
+def _weighted(spark: SparkSession, d: str, only: str = "true") -> tuple[DataFrame, pa.Table] | None:
+    """The rows of a condition on ids as vocabulary.weighted gives them, and the vocabulary; None where ids repeat or the vocabulary is too large for that."""
+    rows = _lower(spark, d)
+    if not vocabulary.unique(rows, "id"):
+        return None
+    train = rows.where(FITTED)
+    words = vocabulary.known(corpus.idf_of(vocabulary.frequencies(train, "text", STOP, False), train.count(), 5))
+    return None if words is None else (vocabulary.weighted(rows.where(only), "id", "text", words, STOP), words)
+
+
+def _tfidf(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
+    """Fitted on ids that aren't divisible by four, applied to all rows, or to those of a condition on ids."""
+    found = _weighted(spark, d, only)
+    if found is not None:
+        return vocabulary.named(*found, "id")
     t = _terms(spark, d, False)
-    n = study.corpus(spark, d).where("id % 4 <> 0").count()
-    return corpus.tfidf(t, corpus.idf(t.where("id % 4 <> 0"), n, 5), "id")
+    n = study.corpus(spark, d).where(FITTED).count()
+    return corpus.tfidf(t.where(only), corpus.idf(t.where(FITTED), n, 5), "id")
+
+
+def _sparse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(id, indices, values in order of column; term, column) of all documents' TF-IDF."""
+    found = _weighted(spark, d)
+    if found is None:
+        return tables.sparse_rows(_tfidf(spark, d), "id", "term", "tfidf")
+    rows, words = found
+    return rows.select("id", F.col("columns").alias("indices"), "values"), vocabulary.numbered(words, spark)
 
 
 @query(f"WITH {X_SQL} SELECT id, term, tf, round_even(tfidf, 6) AS tfidf FROM tx")
@@ -123,8 +157,8 @@ def tfidf_unseen_terms(spark: SparkSession, d: str) -> DataFrame:
 SELECT term, round_even((pos - q * total) * (pos - q * total) / (q * total) + (total - pos - (1 - q) * total) * (total - pos - (1 - q) * total) / ((1 - q) * total), 6) AS chi2 FROM ob, sh ORDER BY chi2 DESC, term LIMIT 500""")
 def chi2_topk(spark: SparkSession, d: str) -> DataFrame:
     """Terms by chi-squared of their summed TF-IDF on the labelled training side."""
-    labels = study.labelled(spark, d).where("id % 4 <> 0")
-    return corpus.chi2(_tfidf(spark, d), "id", labels, "y", "tfidf", 500)
+    labels = study.labelled(spark, d).where(FITTED)
+    return corpus.chi2(_tfidf(spark, d, FITTED), "id", labels, "y", "tfidf", 500)
 
 
 @query(f"WITH {E_SQL}, tk AS (SELECT id, list_filter(regexp_extract_all({LETTERS_SQL}, '[a-zA-Z]{{3,}}'), lambda x: NOT list_contains({STOPS}, x)) AS w FROM e), g AS (SELECT DISTINCT id % 3 AS fold, id, unnest(w) AS term FROM tk) SELECT n AS fold, count(DISTINCT term) AS n_terms FROM g, (VALUES (0), (1), (2)) v(n) WHERE fold <= n GROUP BY 1")
