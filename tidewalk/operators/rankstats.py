@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
+from ..sources import tables
 
 LONG, WIDE = "long", "decimal(19,0)"
 BUCKETS = 1 << 16
@@ -180,7 +181,7 @@ def thresholds(policy: str, validation: DataFrame | None = None, explicit: float
 
 
 #: Rows of a bucket whose resamples are counted apart, buckets at least and at most, and weights that are drawn at once.
-APART_ROWS, APART, MOST_APART, DRAWN = 1 << 18, 16, 4096, 4_000_000
+APART_ROWS, APART, MOST_APART, DRAWN = 1 << 18, 16, 4096, 1 << 18
 
 
 def bootstrap_auc(rows: DataFrame, keys: list[str], row_id: str = "id", y: str = "y_true", p: str = "y_prob", n: int = 500, seed: int = 42, alpha: float = 0.05) -> DataFrame:
@@ -189,6 +190,7 @@ def bootstrap_auc(rows: DataFrame, keys: list[str], row_id: str = "id", y: str =
     Rows travel once, slim, to buckets of about as many rows each, whose edges are approximate quantiles of all scores; there all resamples are counted in arrays, and one row for each bucket and resample
     goes on. Resamples with one class are skipped; fewer than ten give null.
     """
+    tables.shipped(rows.sparkSession)
     slim = rows.select(*keys, F.col(y).cast("double").alias("__y"), F.col(p).alias("score"), F.xxhash64(row_id, F.lit(seed)).alias("__h"))
     apart = min(max(APART, -(-slim.count() // APART_ROWS)), MOST_APART)
     edges = sorted(set(slim.agg(F.percentile_approx("score", F.array(*[F.lit(i / apart) for i in range(1, apart)]), F.lit(10 * apart))).first()[0] or []))
@@ -202,17 +204,21 @@ def bootstrap_auc(rows: DataFrame, keys: list[str], row_id: str = "id", y: str =
         steps.append(total)
         term /= k + 1
     steps = np.array(steps)
+    known = cells(steps)
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "__h"], ignore_index=True)
-        pos, h = pdf["__y"].to_numpy(), pdf["__h"].to_numpy().view(np.uint64)
-        new = np.concatenate([[0], np.flatnonzero(np.diff(pdf["score"].to_numpy()) != 0) + 1]) if len(pdf) > 1 else np.zeros(1, np.int64)
-        out, at_once = [], max(DRAWN // max(len(pdf), 1), 1)
+        pdf = pdf.sort_values(["score", "__y"], ignore_index=True)
+        pos, h, score = pdf["__y"].to_numpy() > 0, pdf["__h"].to_numpy().view(np.uint64), pdf["score"].to_numpy()
+        # runs of equal score and class, and the score's number of each
+        new = np.flatnonzero(np.concatenate([[True], (score[1:] != score[:-1]) | (pos[1:] != pos[:-1])]))
+        level = np.cumsum(np.concatenate([[0], score[new][1:] != score[new][:-1]]))
+        kind, out, at_once = pos[new].astype(np.int64), [], max(DRAWN // max(len(pdf), 1), 1)
         for start in range(0, n, at_once):
             b = np.arange(start, min(start + at_once, n), dtype=np.uint64)
-            u = (mixed(h[:, None] + (b + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-            w = np.searchsorted(steps, u, "right").astype(np.float64)
-            up, down = np.add.reduceat(w * pos[:, None], new, 0), np.add.reduceat(w * (1 - pos)[:, None], new, 0)
+            w = drawn(mixed(h[None, :] + ((b + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))[:, None]).ravel(), steps, known)
+            counts = np.zeros((2, level[-1] + 1, len(b)))
+            counts[kind, level] = np.add.reduceat(w.reshape(len(b), -1).astype(np.int64), new, axis=1).T
+            down, up = counts
             below = np.cumsum(down, 0) - down
             out.append(np.column_stack([b.astype(np.float64), up.sum(0), down.sum(0), (up * (below + down / 2)).sum(0)]))
         done = pd.DataFrame(np.concatenate(out), columns=["b", "pos", "neg", "won"])
@@ -228,6 +234,21 @@ def bootstrap_auc(rows: DataFrame, keys: list[str], row_id: str = "id", y: str =
     return s.groupBy(*keys).agg(F.count("*").alias("n_resamples"), enough(alpha / 2).alias("auc_lo"), enough(1 - alpha / 2).alias("auc_hi"))
 
 
+def cells(steps: np.ndarray) -> np.ndarray:
+    """For the first 16 of 64 random bits: how many of the steps (shares of 1) lie at or below the number; 255 where that takes more bits."""
+    cell = np.arange((1 << 16) + 1) / (1 << 16)
+    low = np.searchsorted(steps, cell, "right").astype(np.uint8)
+    return np.where(low[:-1] == low[1:], low[:-1], np.uint8(255))
+
+
+def drawn(x: np.ndarray, steps: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many of the steps lie at or below each of the numbers; `known` are the steps' cells."""
+    out = known[(x >> np.uint64(48)).astype(np.uint16)]
+    open_ = np.flatnonzero(out == 255)
+    out[open_] = np.searchsorted(steps, (x[open_] >> np.uint64(11)).astype(np.float64) / (1 << 53), "right")
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (fixed values of a public generator)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
