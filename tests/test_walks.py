@@ -245,3 +245,22 @@ def test_terms_of_few_rows_get_no_number(spark, small):
     one = df.withColumn("doc", F.when(F.col("id") < walks.LEAST_ROWS - 1, 99).otherwise(F.col("doc")))
     _, got = modelling.walk_blocks(one, "month", "y", NEVER, ENCODED, "doc", arms.Texts(texts.terms.unionByName(extra), texts.lexicon, texts.vectors, 2))
     assert "never" not in got and set(got) == set(names) and uses
+
+
+def test_driver_keeps_neither_broadcasts_nor_large_steps(spark, small):
+    import os
+
+    held, sent = small[3], spark.sparkContext._temp_dir
+    before = set(os.listdir(sent))
+    held.sums(lambda b, _: {"n": np.ones(1)}, np.zeros(1000))
+    assert set(os.listdir(sent)) == before
+    rng = np.random.default_rng(1)
+    few, many = walks.Steps(5), walks.Steps(walks.MANY + 1)
+    for _ in range(walks.KEPT + 3):
+        s, y = rng.normal(size=(2, 5))
+        few.add(s, y)
+        many.add(np.resize(s, walks.MANY + 1), np.resize(y, walks.MANY + 1))
+    assert isinstance(many.held, np.memmap) and len(few) == len(many) == walks.KEPT
+    for i in range(walks.KEPT):
+        assert all((a == b[:5]).all() for a, b in zip(few[i], many[i], strict=True))
+    assert (few[walks.KEPT - 1][0] == s).all()
