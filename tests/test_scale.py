@@ -73,3 +73,24 @@ def test_fits_take_as_many_tasks_as_cores(spark, monkeypatch):
     monkeypatch.setattr(models, "estimator", spied)
     models.fit_score(rows, rows, "Logistic", ["x"], "y")
     assert seen and seen[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_parts_of_values_are_found_in_steps(spark):
+    """More edges than a step, repeated ones too, give each value the part that a plain count gives; keys' values are not dealt by key."""
+    import numpy as np
+
+    from tidewalk.operators import quantiles
+
+    rng = np.random.default_rng(3)
+    edges = {0: sorted(rng.integers(0, 500, 1000).tolist()), 1: list(range(64)), 2: [7] * 130, 3: []}
+    found = quantiles.stepped(spark.createDataFrame([(k, [float(e) for e in v]) for k, v in edges.items()], "k int, e array<double>"), "e")
+    rows = spark.createDataFrame([(k, v / 2) for k in edges for v in range(-4, 1010, 3)], "k int, __v double")
+    for most in (quantiles.MOST_EDGES, 0):
+        old, quantiles.MOST_EDGES = quantiles.MOST_EDGES, most
+        try:
+            joined = quantiles.with_edges(rows, found, ["k"], 1000)
+        finally:
+            quantiles.MOST_EDGES = old
+        got = quantiles.parted(joined, "__v", "e", "part").collect()
+        assert len(got) == rows.count() and all(r["part"] == sum(e <= r["__v"] for e in edges[r["k"]]) for r in got)
+        assert ("BroadcastHashJoin" if most else "__salt") in joined._jdf.queryExecution().executedPlan().toString()

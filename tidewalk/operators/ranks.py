@@ -40,7 +40,7 @@ def edges(counted: DataFrame) -> DataFrame:
 
 def dealt(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows with the part of their column that their value falls into."""
-    return rows.join(F.broadcast(found), "column").withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("value")))).drop("edges")
+    return quantiles.parted(rows.join(F.broadcast(quantiles.stepped(found, "edges")), "column"), "value", "edges", "part")
 
 
 def _before(counted: DataFrame, found: DataFrame) -> DataFrame:
