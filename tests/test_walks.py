@@ -140,6 +140,20 @@ def test_boosting_equals_plain_boosting(spark, small, share, l2):
         np.testing.assert_allclose(fits[f.fold, "lexicon"].margins(x), want, atol=1e-9)
 
 
+def test_groups_of_fits_side_by_side_grow_the_same_trees(spark, small, monkeypatch):
+    held, learned, s = small[3], small[5], boosting.Settings(trees=3)
+    sizes = {(i, "a"): n for i, n in enumerate([9, 1, 8, 2, 7, 3])}
+    assert sorted(map(sorted, boosting.grouped(sizes, 3))) == [[(0, "a"), (1, "a")], [(2, "a"), (3, "a")], [(4, "a"), (5, "a")]]
+    assert boosting.grouped({}, 3) == []
+    got = boosting.fitted(held, learned, ("structured", "lexicon"), s)
+    monkeypatch.setattr(boosting, "SIDE_BY_SIDE", 1)
+    want = boosting.fitted(held, learned, ("structured", "lexicon"), s)
+    assert sorted(got) == sorted(want) and len(got) > 3
+    for key, model in want.items():
+        for a, b in zip(got[key].trees, model.trees, strict=True):
+            assert a.column.tolist() == b.column.tolist() and a.bin.tolist() == b.bin.tolist() and a.leaf == pytest.approx(b.leaf)
+
+
 def test_boosting_learns_and_cuts_lineage(spark, small, monkeypatch):
     monkeypatch.setattr(boosting, "CUT", 2)
     _, _, _, held, _, learned = small
