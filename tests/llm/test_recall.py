@@ -5,7 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tidewalk.llm import common, jaccard_join, passages
+from pyspark.sql import functions as F
+
+from tidewalk.llm import common, jaccard_join, links, passages
 
 
 def noise(rng, n):
@@ -121,3 +123,15 @@ def test_identical_passages_around_a_frequent_line_are_found(spark, n, line, doc
     assert sizes.max() <= 2  # the line alone links nothing
     found = [a for a, b in pairs if a["class_id"] == b["class_id"]]
     assert np.mean([n <= r["n_repeated_words"] <= n + 2 * line for r in found]) >= 0.95
+
+
+def test_links_and_roots_never_go_through_the_driver(spark):
+    """Small compressed files may hold millions of links: none of these tables is broadcast, however small Spark takes it for."""
+    edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    met = links.with_least(edges, edges.groupBy("u").agg(F.min("v").alias("m")))
+    passage = " ".join(noise(np.random.default_rng(8), 80))
+    found = passages.classes(spark.createDataFrame([(1, passage), (2, f"more {passage}"), (3, "none")], "doc_id long, text string"))
+    assert met.count() == 199 and {r["doc_id"]: r["class_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3}
+    for df in (met, found):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
