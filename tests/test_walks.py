@@ -278,3 +278,29 @@ def test_driver_keeps_neither_broadcasts_nor_large_steps(spark, small):
     for i in range(walks.KEPT):
         assert all((a == b[:5]).all() for a, b in zip(few[i], many[i], strict=True))
     assert (few[walks.KEPT - 1][0] == s).all()
+
+
+def test_fits_in_tasks_of_their_own_grow_the_same_trees(spark, small, monkeypatch):
+    """Fits of few rows start no pass for each level; those of more do, and both grow the same trees."""
+    held, learned, s = small[3], small[5], boosting.Settings(trees=4)
+    passes, real = [], boosting.summed
+    monkeypatch.setattr(boosting, "summed", lambda *a, **k: passes.append(1) or real(*a, **k))
+    got = boosting.fitted(held, learned, ("structured", "tfidf_chi2"), s)
+    assert len(passes) == 1  # the sketches'
+    monkeypatch.setattr(boosting, "NEAR", learned[0].n * (8 + len(got[learned[0].fold, "structured"].edges)))
+    mixed = boosting.fitted(held, learned, ("structured", "tfidf_chi2"), s)
+    monkeypatch.setattr(boosting, "NEAR", 0)
+    want = boosting.fitted(held, learned, ("structured", "tfidf_chi2"), s)
+    assert sorted(got) == sorted(want) == sorted(mixed) and len(passes) > 1 + 4 * s.depth
+    for key, model in want.items():
+        for other in (got[key], mixed[key]):
+            assert len(other.trees) == len(model.trees) == s.trees
+            for a, b in zip(other.trees, model.trees, strict=True):
+                assert a.column.tolist() == b.column.tolist() and a.bin.tolist() == b.bin.tolist() and a.leaf == pytest.approx(b.leaf) and a.gain == pytest.approx(b.gain)
+
+
+def test_columns_are_packed_whole():
+    starts = np.cumsum([0, 64, 2, 2, 300, 2, 25])
+    found = boosting.packs(starts)
+    assert sorted(j for own in found for j in own) == list(range(6))
+    assert all(len(own) == 1 or np.prod(np.diff(starts)[own]) <= 256 for own in found)
