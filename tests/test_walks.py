@@ -304,3 +304,12 @@ def test_columns_are_packed_whole():
     found = boosting.packs(starts)
     assert sorted(j for own in found for j in own) == list(range(6))
     assert all(len(own) == 1 or np.prod(np.diff(starts)[own]) <= 256 for own in found)
+
+
+def test_descents_end_after_few_passes(spark, small, monkeypatch):
+    """Steps are scaled by the curvature, of features that go together and of rare terms alike."""
+    held, learned = small[3], small[5]
+    passes, real = [], blocks.summed
+    monkeypatch.setattr(blocks, "summed", lambda *a, **k: passes.append(a[2].__name__) or real(*a, **k))
+    walks.logistic(held, learned, tuple(arms.ARMS))
+    assert passes.count("_slopes") <= 20, passes.count("_slopes")
