@@ -313,3 +313,35 @@ def test_descents_end_after_few_passes(spark, small, monkeypatch):
     monkeypatch.setattr(blocks, "summed", lambda *a, **k: passes.append(a[2].__name__) or real(*a, **k))
     walks.logistic(held, learned, tuple(arms.ARMS))
     assert passes.count("_slopes") <= 20, passes.count("_slopes")
+
+
+def test_numbers_by_fold_and_term_are_summed_for_some_folds_at_a_time(spark, small, monkeypatch):
+    """No task holds all folds' terms, and blocks that only need the best terms hold no others; what is learned stays the same."""
+    df, table, _, held, _, learned = small
+    sizes, real = [], blocks.summed
+
+    def summed(rdd, context, work, given, **k):
+        out = real(rdd, context, work, given, **k)
+        sizes.append(sum(np.size(v) for v in out.values() if np.shape(v)[-1:] == (held.layout.terms,)))
+        return out
+
+    monkeypatch.setattr(blocks, "summed", summed)
+    monkeypatch.setattr(walks, "PASSED", 2 * held.layout.terms)
+    got = modelling.learned_folds(df, table, "month", held, LOGGED, True, 2)
+    assert 0 < max(sizes) <= 2 * held.layout.terms < len(learned) * held.layout.terms
+    for a, b in zip(got, learned, strict=True):
+        assert a.idf.tolist() == b.idf.tolist() and a.best.tolist() == b.best.tolist() and a.mean == pytest.approx(b.mean)
+    best = [3, 1]
+    cut = held.rdd.map(lambda b: walks._with_lengths(b, (learned, np.sort(best)))).collect()
+    for whole, narrow in zip(held.rdd.collect(), cut, strict=True):
+        for i in range(len(whole.id)):
+            terms = whole.term[whole.start[i] : whole.start[i + 1]].tolist()
+            assert [sorted(best)[t] for t in narrow.term[narrow.start[i] : narrow.start[i + 1]]] == [t for t in terms if t in best]
+        assert set(narrow.lengths) == {f.fold for f in learned}
+
+
+def test_blocks_with_the_best_terms_alone_give_the_same_fits(spark, small):
+    held, learned = small[3], small[5]
+    want, got = walks.logistic(held, learned, ("tfidf_full", "tfidf_chi2")), walks.logistic(held, learned, ("lexicon", "tfidf_chi2"))
+    for f in learned:
+        np.testing.assert_allclose(got[f.fold, "tfidf_chi2"], want[f.fold, "tfidf_chi2"], atol=1e-9)
